@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, topk
+from . import bpe_words, exact_dedup, lang_id, mixing, token_stream, topk
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2,
     "op3_mixing": mixing.op3,
+    "op4_bpe_words": bpe_words.op4,
+    "op7_language_id": lang_id.op7,
+    "op9_token_stream": token_stream.op9,
     "op10_top_k": topk.op10,
 }
 
