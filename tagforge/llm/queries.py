@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_words, exact_dedup, lang_id, mixing, token_stream, topk
+from . import bpe_words, exact_dedup, jaccard_join, lang_id, mixing, token_stream, topk
 
 QUERIES = {
+    "op1_ngram_jaccard": jaccard_join.op1,
     "op2_exact_dedup": exact_dedup.op2,
     "op3_mixing": mixing.op3,
     "op4_bpe_words": bpe_words.op4,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_ngram_jaccard": jaccard_join.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op10_top_k": topk.OP10_SQL,
