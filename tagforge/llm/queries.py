@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_words, exact_dedup, jaccard_join, lang_id, mixing, token_stream, topk
+from . import bpe_words, exact_dedup, jaccard_join, lang_id, mixing, suffix_dedup, token_stream, topk
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard_join.op1,
     "op2_exact_dedup": exact_dedup.op2,
     "op3_mixing": mixing.op3,
     "op4_bpe_words": bpe_words.op4,
+    "op5_suffix_dedup": suffix_dedup.op5,
     "op7_language_id": lang_id.op7,
     "op9_token_stream": token_stream.op9,
     "op10_top_k": topk.op10,
