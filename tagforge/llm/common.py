@@ -169,3 +169,17 @@ def batches(it: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]
     for b in it:
         for i in range(0, b.num_rows, most):
             yield b.slice(i, most)
+
+
+def row_key() -> tuple[Column, Column]:
+    """What names a row of documents where a doc_id may be repeated: doc_id and a hash of the text."""
+    return F.col("doc_id").cast("long").alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs less the rows named in dropped (i, h), whatever other columns docs has. dropped is broadcast only if it is small."""
+    n = dropped.count()
+    i, h = row_key()
+    rows = docs.select(i, h, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    side = F.broadcast(dropped) if n <= BROADCAST_ROWS else dropped.hint("merge")
+    return rows.join(side, rows["i"].eqNullSafe(dropped["i"]) & (rows["h"] == dropped["h"]), "left_anti").select("row.*")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table, written
+from .common import partitions, row_key, table, without, written
 
 GAMMA = 1.5
 LEVELS = 40
@@ -29,7 +29,7 @@ BUCKET = 50_000
 HOT = 1000
 
 INDEX = pa.schema([("bucket", pa.int64()), ("marks", pa.binary()), ("sizes", pa.list_(pa.int64())), ("digests", pa.binary()), ("keep_id", pa.list_(pa.int64())), ("keep_chars", pa.list_(pa.int64())), ("group_size", pa.list_(pa.int64()))])
-FOUND = pa.schema([("row_id", pa.int64()), ("digest", pa.binary()), ("n_chars", pa.int64()), ("h_id", pa.int64()), ("h_chars", pa.int64()), ("h_size", pa.int64())])
+FOUND = pa.schema([("row_id", pa.int64()), ("digest", pa.binary()), ("n_chars", pa.int64()), ("h_id", pa.int64()), ("h_chars", pa.int64()), ("h_size", pa.int64()), ("h", pa.int64())])
 
 
 def _cells(words: np.ndarray, level: int, n: int) -> np.ndarray:
@@ -71,11 +71,12 @@ def lookup(marks: np.ndarray, sizes: list[int], digests: np.ndarray) -> np.ndarr
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_id, n_chars, digest) of every row."""
+    """(row_id, n_chars, h, digest) of every row; h is a hash of the text as it stands."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.col(id_col).cast("long").alias("row_id"),
         F.length(text).cast("long").alias("n_chars"),
+        F.xxhash64(text).alias("h"),
         F.unhex(F.sha2(F.translate(text, " \t\n\x0b\x0c\r", ""), 256)).alias("digest"),
     )
 
@@ -126,7 +127,7 @@ def _probe(key, rows, index):
         slot = np.where((slot >= 0) & (held[slot] == d).all(axis=1), slot, -1)
         take = pa.array(slot, pa.int64(), mask=slot < 0)
         h_id, h_chars, h_size = (x[k].values.take(take) for k in ("keep_id", "keep_chars", "group_size"))
-    return pa.table([rows.column("row_id"), rows.column("digest"), rows.column("n_chars"), pa.array(h_id, pa.int64()), pa.array(h_chars, pa.int64()), pa.array(h_size, pa.int64())], schema=FOUND)
+    return pa.table([rows.column("row_id"), rows.column("digest"), rows.column("n_chars"), pa.array(h_id, pa.int64()), pa.array(h_chars, pa.int64()), pa.array(h_size, pa.int64()), rows.column("h")], schema=FOUND)
 
 
 def probe(rows: DataFrame, index: DataFrame, n: int, hot: DataFrame) -> DataFrame:
@@ -139,12 +140,12 @@ def probe(rows: DataFrame, index: DataFrame, n: int, hot: DataFrame) -> DataFram
     rows = rows.join(F.broadcast(hot), "digest", "left").withColumn("bucket", _bucket(n)).withColumn("salt", salted)
     most = hot.withColumn("bucket", _bucket(n)).groupBy("bucket").agg(F.max("salts").alias("salts"))
     index = index.join(F.broadcast(most), "bucket", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-    left = rows.select("row_id", "digest", "n_chars", "bucket", "salt")
-    return left.groupBy("bucket", "salt").cogroup(index.drop("salts").groupBy("bucket", "salt")).applyInArrow(_probe, "row_id long, digest binary, n_chars long, h_id long, h_chars long, h_size long")
+    left = rows.select("row_id", "digest", "n_chars", "h", "bucket", "salt")
+    return left.groupBy("bucket", "salt").cogroup(index.drop("salts").groupBy("bucket", "salt")).applyInArrow(_probe, "row_id long, digest binary, n_chars long, h_id long, h_chars long, h_size long, h long")
 
 
-def dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def found_in(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs, with its winner (h_id, h_size), kept, and what names it (row_id, h).
 
     history: winners() of earlier batches. With it, a row whose digest the history has is a repeat of
     the history's winner (kept is false), and the others group among themselves. Without it, docs are
@@ -160,11 +161,28 @@ def dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_
     if history is not None:
         fresh = winners(found.where("h_id is null").select("row_id", "n_chars", "digest"))
         old = found.where("h_id is not null").withColumn("kept", F.lit(False))
-        new = found.where("h_id is null").drop("h_id", "h_chars", "h_size").join(fresh, "digest").select("row_id", "digest", "n_chars", F.col("keep_id").alias("h_id"), F.col("keep_chars").alias("h_chars"), F.col("group_size").alias("h_size")).withColumn("kept", F.col("row_id").eqNullSafe(F.col("h_id")))
+        new = found.where("h_id is null").drop("h_id", "h_chars", "h_size").join(fresh, "digest").select("row_id", "digest", "n_chars", F.col("keep_id").alias("h_id"), F.col("keep_chars").alias("h_chars"), F.col("group_size").alias("h_size"), "h").withColumn("kept", F.col("row_id").eqNullSafe(F.col("h_id")))
         found = old.unionByName(new)
     else:
         found = found.withColumn("kept", F.col("row_id").eqNullSafe(F.col("h_id")) & (F.col("n_chars") == F.col("h_chars")))
-    return found.select(F.col("row_id").alias(id_col), F.col("h_id").alias("keep_id"), F.col("h_size").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    return found
+
+
+def dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256; see found_in()."""
+    return found_in(docs, history, id_col, text_col).select(F.col("row_id").alias(id_col), F.col("h_id").alias("keep_id"), F.col("h_size").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def survivors(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that stay, all their columns; of identical rows one."""
+    found = written(found_in(docs, history).select(F.col("row_id").alias("i"), "h", "kept"), "found")
+    kept = found.where("kept")
+    out = without(docs, found.where("not kept").select("i", "h").distinct())
+    if kept.count() == kept.select("i", "h").distinct().count():
+        return out
+    i, h = row_key()
+    rows = out.select(i, h, F.struct(*[F.col(f"`{c}`") for c in out.columns]).alias("row"))
+    return rows.dropDuplicates(["i", "h"]).select("row.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hashes, byte_column, components, partitions, semi_by_id, shingle_hashes, signed, table, word_hashes, written
+from .common import Hashes, byte_column, components, partitions, row_key, semi_by_id, shingle_hashes, signed, table, without, word_hashes, written
 
 #: Entries of the table of shared n-grams at most, 9 bytes each in every worker.
 HEAVY = 1 << 19
@@ -46,7 +46,7 @@ IN_BLOCK = 200_000
 SPLIT_AT = 14
 PAIRS = 2_000_000
 
-FIRST = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("n", pa.int64()), ("id", pa.int64())])
+FIRST = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("h", pa.int64())])
 POSTING = pa.schema([("tok", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 POSTING_DDL = "tok long, salt int, salts int, id long, n int, pos int"
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("c", pa.int32())])
@@ -65,7 +65,7 @@ def _signatures(k: int):
         """n-grams that two documents of the chunk share."""
         tok, n = np.unique(np.concatenate(held), return_counts=True)
         some = n >= 2
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(some.sum(), np.int8)), signed(tok[some]), pa.array(n[some].astype(np.int64)), pa.array(np.zeros(some.sum(), np.int64))], schema=FIRST)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(some.sum(), np.int8)), signed(tok[some]), pa.array(n[some].astype(np.int64)), *[pa.array(np.zeros(some.sum(), np.int64))] * 2], schema=FIRST)
 
     def run(it):
         memo, held, size, seen = Hashes(), [], 0, set()
@@ -82,7 +82,7 @@ def _signatures(k: int):
                 if size >= CHUNK:
                     yield local(held)
                     held, size, seen = [], 0, set()
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], schema=FIRST)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), b.column("h")], schema=FIRST)
         if held:
             yield local(held)
 
@@ -264,11 +264,13 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: in
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text), its set's id and h, a hash of its text."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = written(docs.mapInArrow(_signatures(k), "kind byte, a long, n long, id long"), "signatures")
-    sets = first.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), "id")
+    i, h = row_key()
+    keyed = docs.select(i.alias("doc_id"), h, "text")
+    docs = keyed.drop("h")
+    first = written(keyed.mapInArrow(_signatures(k), "kind byte, a long, n long, id long, h long"), "signatures")
+    sets = first.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), "id", "h")
     reps = sets.where("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
     heavy = spark.sparkContext.broadcast(heavy_table(first.where("kind = 1")))
     total = sets.agg(F.sum(F.floor(F.col("n_shingles") * (den - num) / den) + 1)).first()[0] or 0
@@ -301,12 +303,21 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
 
     named = sets.join(roots.withColumnRenamed("a", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = named.where("n_shingles > 0").join(least, "root").select("doc_id", "n_shingles", "component_id")
-    return out.union(named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = named.where("n_shingles > 0").join(least, "root").select("doc_id", "n_shingles", "component_id", "id", "h")
+    return out.union(named.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "id", "h"))
+
+
+def survivors(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs less all but one of each component: the smallest doc_id's, of its texts the one of least h."""
+    got = written(join(docs, k, num, den), "joined")
+    some = got.where("n_shingles > 0 and component_id is not null")
+    best = some.where("doc_id = component_id").groupBy("component_id").agg(F.min("h").alias("best"))
+    dropped = some.join(best, "component_id").where(~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("best"))))
+    return without(docs, dropped.select(F.col("doc_id").alias("i"), "h").distinct())
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    return join(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 OP1_SQL = r"""

@@ -153,6 +153,22 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], dim: int = DIM
     return docs.mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in docs.dtypes if k != "text") + ", lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.05, dim: int = DIM, seed: int = SEED) -> DataFrame:
+    """The rows of docs, all their columns, whose text has letters and is as near as least to a language."""
+    languages, protos = model
+
+    def run(it):
+        p = profiles(dim, seed)
+        for b in batches(it, 512):
+            keep = []
+            for text in b.column("text").to_pylist():
+                v = p.vector(text) if languages else None
+                keep.append(v is not None and float((protos @ v).max()) >= least)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
