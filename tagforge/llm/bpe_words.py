@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,15 +32,15 @@ from pyspark.sql import functions as F
 from .common import batches, partitions, table, written
 
 #: Bytes of text in a block, about, and of words in a hash range of the corpus.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 RANGE_ROWS = 8192
 #: White space as the tokenizer's regular expressions have it; Python's also has 1C to 1F (hex).
 WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: Texts of these characters alone are already composed, and lower() goes by single characters.
 PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-įı-ɏ]*")
 
-SPLIT = pa.schema([("block", pa.int64()), ("range", pa.int32()), ("words", pa.list_(pa.string())), ("at", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("codes", pa.binary())])
-CODED = pa.schema([("block", pa.int64()), ("at", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
+SPLIT = pa.schema([("block", pa.int64()), ("range", pa.int32()), ("words", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("codes", pa.binary()), ("at", pa.binary())])
+CODED = pa.schema([("block", pa.int64()), ("range", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())])
 IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 _tokenizers: dict[str, tuple] = {}
@@ -84,7 +85,19 @@ def encode_words(words: list[str], path: str) -> list[list[int]]:
     return out
 
 
+def packed(a: np.ndarray) -> bytes:
+    """Whole numbers below 2^32, byte by byte of their places, compressed."""
+    planes = np.ascontiguousarray(a, np.uint32).view(np.uint8).reshape(-1, 4)
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes.T).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1)
+
+
 def _block(texts: list, doc_ids: list, block: int, ranges: int, path: str):
+    """A row for each hash range with its words in order, and one with the documents as positions in the block's words, frequent ones first."""
     place: dict[str, int] = {}
     sizes, codes = [], []
     for text in texts:
@@ -93,19 +106,20 @@ def _block(texts: list, doc_ids: list, block: int, ranges: int, path: str):
         for w in set(words).difference(place):
             place[w] = len(place)
         codes.append(np.fromiter(map(place.__getitem__, words), np.uint32, len(words)))
-    words = list(place)
-    of = np.fromiter((xxhash.xxh3_64_intdigest(w) % ranges for w in words), np.int64, len(words))
-    order = np.argsort(of, kind="stable")
-    ends = np.searchsorted(of[order], np.arange(ranges + 1))
-    array = pa.array(words, pa.string())
+    flat, words = np.concatenate(codes), list(place)
+    often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+    rank = np.empty(len(words), np.uint32)
+    rank[often] = np.arange(len(words))
+    of = [xxhash.xxh3_64_intdigest(w) % ranges for w in words]
+    order = sorted(range(len(words)), key=lambda i: (of[i], words[i]))
+    ends = np.searchsorted(np.array(of, np.int64)[order], np.arange(ranges + 1)) if words else np.zeros(ranges + 1, np.int64)
     rows = {k: [] for k in SPLIT.names}
     for r in range(ranges):
-        at = order[ends[r] : ends[r + 1]]
-        if len(at):
-            for k, v in zip(SPLIT.names, (block, r, array.take(pa.array(at)).to_pylist(), at.astype(np.uint32).tobytes(), None, None, None), strict=True):
+        mine = "\n".join([words[i] for i in order[ends[r] : ends[r + 1]]])
+        if mine:
+            for k, v in zip(SPLIT.names, (block, r, zstandard.ZstdCompressor(level=3).compress(mine.encode()), None, None, None, None), strict=True):
                 rows[k].append(v)
-    flat = np.concatenate(codes)
-    for k, v in zip(SPLIT.names, (block, None, None, None, doc_ids, np.array(sizes, np.uint32).tobytes(), (flat.astype(np.uint16) if len(words) <= 65536 else flat).tobytes()), strict=True):
+    for k, v in zip(SPLIT.names, (block, None, None, doc_ids, packed(np.array(sizes)), packed(rank[flat]), packed(rank[np.array(order, np.int64)])), strict=True):
         rows[k].append(v)
     return pa.RecordBatch.from_pydict(rows, schema=SPLIT)
 
@@ -131,8 +145,10 @@ def _splitter(ranges: int, path: str):
 def _encoder(path: str):
     def run(key, tab):
         """The blocks' words of one hash range: each distinct one is encoded once."""
-        words = tab.column("words").combine_chunks()
-        coded = words.flatten().dictionary_encode()
+        words = [zstandard.ZstdDecompressor().decompress(x).decode().split("\n") for x in tab.column("words").to_pylist()]
+        ends = np.cumsum([0, *map(len, words)])
+        coded = pa.chunked_array([pa.array(w, pa.string()) for w in words]).combine_chunks().dictionary_encode()
+        del words
         ids: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         for i in range(0, len(coded.dictionary), 20_000):
@@ -141,11 +157,11 @@ def _encoder(path: str):
             ids.append(np.fromiter((x for y in got for x in y), np.uint32, int(sizes[-1].sum())))
         size, flat = np.concatenate(sizes), np.concatenate(ids)
         start = np.cumsum(size) - size
-        index, ends, out = coded.indices.to_numpy(), words.offsets.to_numpy(), []
+        index, out = coded.indices.to_numpy(), []
         for k in range(tab.num_rows):
-            w = index[ends[k] - ends[0] : ends[k + 1] - ends[0]]
-            out.append((size[w].astype(np.uint32).tobytes(), gather(flat, start[w], size[w]).tobytes()))
-        return pa.table([tab.column("block"), tab.column("at"), [x[0] for x in out], [x[1] for x in out]], schema=CODED)
+            w = index[ends[k] : ends[k + 1]]
+            out.append((packed(size[w]), packed(gather(flat, start[w], size[w]))))
+        return pa.table([tab.column("block"), tab.column("range"), [x[0] for x in out], [x[1] for x in out]], schema=CODED)
 
     return run
 
@@ -160,25 +176,24 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _assemble(key, docs, coded):
+    """Ids joined back by position: a block's documents and its words' ids."""
     if not docs.num_rows:
         return IDS.empty_table()
-    n = sum(len(x.as_py()) for x in coded.column("at")) // 4
-    size, start, parts, base = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
-    for at, sizes, ids in zip(*(coded.column(k).to_pylist() for k in ("at", "sizes", "ids")), strict=True):
-        a, s = np.frombuffer(at, np.uint32), np.frombuffer(sizes, np.uint32).astype(np.int64)
-        size[a], start[a] = s, base + np.cumsum(s) - s
-        parts.append(np.frombuffer(ids, np.uint32))
-        base += len(parts[-1])
+    coded = coded.sort_by("range")
+    at, codes, words = (unpacked(docs.column(k)[0].as_py()) for k in ("at", "codes", "sizes"))
+    each = [unpacked(x) for x in coded.column("sizes").to_pylist()]
+    in_order = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
+    parts = [unpacked(x) for x in coded.column("ids").to_pylist()]
     flat = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
-    codes = np.frombuffer(docs.column("codes")[0].as_py(), np.uint16 if n <= 65536 else np.uint32)
-    words = np.frombuffer(docs.column("sizes")[0].as_py(), np.uint32).astype(np.int64)
+    size, start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    size[at], start[at] = in_order, np.cumsum(in_order) - in_order
     ids = docs.column("doc_ids")[0].values
-    out, ends = [], np.concatenate([[0], np.cumsum(words)])
+    out, ends = [], np.concatenate([[0], np.cumsum(words.astype(np.int64))])
     for i in range(0, len(words), 1000):
         j = min(i + 1000, len(words))
         c = codes[ends[i] : ends[j]]
-        each = np.concatenate([[0], np.cumsum(size[c])])
-        lists = pa.ListArray.from_arrays(pa.array(each[ends[i : j + 1] - ends[i]].astype(np.int32)), pa.array(gather(flat, start[c], size[c])))
+        cum = np.concatenate([[0], np.cumsum(size[c])])
+        lists = pa.ListArray.from_arrays(pa.array(cum[ends[i : j + 1] - ends[i]].astype(np.int32)), pa.array(gather(flat, start[c], size[c])))
         out.append(pa.record_batch([ids[i:j], lists], schema=IDS))
     return pa.Table.from_batches(out, schema=IDS)
 
@@ -187,9 +202,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) of every row, as the tokenizers library encodes its text without adding special tokens."""
     ranges = partitions(docs.sparkSession, docs.count(), RANGE_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    t = written(rows.mapInArrow(_splitter(ranges, path), "block long, range int, words array<string>, at binary, doc_ids array<long>, sizes binary, codes binary"), "words")
-    coded = t.where("range is not null").select("block", "range", "words", "at").groupBy("range").applyInArrow(_encoder(path), "block long, at binary, sizes binary, ids binary")
-    blocks = t.where("range is null").select("block", "doc_ids", "sizes", "codes")
+    t = written(rows.mapInArrow(_splitter(ranges, path), "block long, range int, words binary, doc_ids array<long>, sizes binary, codes binary, at binary"), "words")
+    coded = t.where("range is not null").select("block", "range", "words").groupBy("range").applyInArrow(_encoder(path), "block long, range int, sizes binary, ids binary")
+    blocks = t.where("range is null").select("block", "doc_ids", "sizes", "codes", "at")
     return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
 
 
