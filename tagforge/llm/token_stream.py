@@ -1,7 +1,7 @@
 """Token-id output as Arrow files of equal-length sequences and masks.
 
-A shard is one Arrow IPC file whose record batches hold two fixed-size lists, `tokens` (uint32) and `mask`
-(uint8: 0 padding, 1 token, 2 last token of a document), so sequence i is row i % BATCH of batch
+A shard is one Arrow IPC file whose record batches hold two fixed-size lists, `tokens` (uint16 if
+the vocabulary allows, else uint32) and `mask` (bits: token or padding), so sequence i is row i % BATCH of batch
 i // BATCH, read without copying from a memory map. Beside it a file with the documents of the shard: id, first
 token in the shard, number of tokens. Shards follow doc_id; a manifest row per shard gives the tokens before it.
 
@@ -10,12 +10,12 @@ memory is one batch of texts and one batch of sequences. A file is written under
 and moved into place, so a task that is run again overwrites whole files with the same content.
 
 Defined cases: a null text is empty and has only the end id; null ids come first; rows that repeat an id keep all, those
-of one id ordered by text; an empty table gives no rows; very long texts are cut into pieces only at
-places where the tokenizer itself splits; other columns are ignored.
+of one id ordered by text; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -38,46 +38,54 @@ DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa
 SHARD = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())])
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
-#: A space that white space goes before and white space or the end after: splitting at spaces could then differ from the tokenizer's own split.
-ODD_SPACE = re.compile(r"\s (?:\s|\Z)")
+#: How byte-level BPE splits text before its merges: a fixed value.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters that all regular expression libraries class alike.
+PLAIN = re.compile("[\t-\r\x20-\x7e\xa0-\u024f]*")
 
 
-class ByteBpe(dict):
-    """Encodes text; keeps the ids of pieces that begin at a space, up to a number of pieces.
+class ByteBpe:
+    """Encodes text as the tokenizers library does with the file at path.
 
-    The tokenizer splits before a space that a non-space follows, so ids of such pieces do not
-    depend on their neighbours. Texts with odd spaces or special tokens go to the library whole.
+    The file's own merges run in tiktoken's faster loop if it can take them: their order must be that of the ids, and
+    the text of well-known characters, without special tokens. All else goes to the library itself.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
-        super().__init__()
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.library(piece)
-        if len(self) >= self.most:
-            self.clear()
-        self[piece] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of the text."""
-        if not text:
-            return b""
-        if ODD_SPACE.search(text) or any(s in text for s in self.special):
-            return self.library(text)
-        first, *rest = text.split(" ")
-        head = self[first] if first else b""
-        return head + b"".join(map(self.__getitem__, [" " + x for x in rest])) if rest else head
+        with open(path, encoding="utf-8") as f:
+            self.fast = self._fast(json.load(f))
+
+    @staticmethod
+    def _fast(spec: dict):
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        if model.get("type") != "BPE" or spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return None
+        vocab = model["vocab"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        made = [vocab[x + y] for x, y in pairs]
+        special = {t["content"] for t in spec.get("added_tokens", [])}
+        if made != sorted(set(made)) or len(made) + 256 != len(vocab.keys() - special):
+            return None
+        # the printable stand-ins of byte-level vocabularies: bytes that print stand for themselves, others follow from 256 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        stand = dict(zip(map(chr, printable), printable, strict=True)) | {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in printable)}
+        import tiktoken
+
+        ranks = {bytes(stand[c] for c in token): i for token, i in vocab.items() if token not in special}
+        return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        """The text's ids."""
+        if self.fast and PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 _encoders: dict[str, ByteBpe] = {}
@@ -90,35 +98,32 @@ def encoder(path: str) -> ByteBpe:
     return _encoders[path]
 
 
-def file_schema(length: int) -> pa.Schema:
-    return pa.schema([("tokens", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def file_schema(length: int, wide: bool) -> pa.Schema:
+    return pa.schema([("tokens", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class ShardWriter:
     """Streams documents' ids into one shard."""
 
-    def __init__(self, sink, length: int, batch: int = BATCH):
-        self.schema, self.length, self.size = file_schema(length), length, length * batch
+    def __init__(self, sink, length: int, wide: bool = True, batch: int = BATCH):
+        self.schema, self.length, self.size = file_schema(length, wide), length, length * batch
+        self.kind = np.uint32 if wide else np.uint16
         self.out = pa.ipc.new_file(sink, self.schema)
         self.parts: list[np.ndarray] = []
-        self.masks: list[np.ndarray] = []
         self.held = self.total = 0
 
     def add(self, ids: np.ndarray) -> None:
-        mask = np.ones(len(ids), np.uint8)
-        mask[-1:] = 2
-        self.parts.append(ids)
-        self.masks.append(mask)
+        self.parts.append(ids.astype(self.kind))
         self.held += len(ids)
         self.total += len(ids)
         if self.held >= self.size:
             self._flush(self.held // self.size * self.size)
 
     def _flush(self, n: int) -> None:
-        ids, mask = np.concatenate(self.parts), np.concatenate(self.masks)
+        ids = np.concatenate(self.parts)
         for i in range(0, n, self.size):
-            self._write(ids[i : i + self.size], mask[i : i + self.size])
-        self.parts, self.masks, self.held = [ids[n:]], [mask[n:]], len(ids) - n
+            self._write(ids[i : i + self.size], np.ones(self.size, bool))
+        self.parts, self.held = [ids[n:]], len(ids) - n
 
     def _write(self, ids: np.ndarray, mask: np.ndarray) -> None:
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
@@ -126,12 +131,9 @@ class ShardWriter:
 
     def close(self) -> None:
         if self.held:
-            pad = -self.held % self.length
-            self.parts.append(np.zeros(pad, np.uint32))
-            self.masks.append(np.zeros(pad, np.uint8))
-            ids, mask = np.concatenate(self.parts), np.concatenate(self.masks)
-            for i in range(0, len(ids), self.size):
-                self._write(ids[i : i + self.size], mask[i : i + self.size])
+            ids = np.concatenate(self.parts)
+            pad = -len(ids) % self.length
+            self._write(np.concatenate([ids, np.zeros(pad, self.kind)]), np.arange(len(ids) + pad) < len(ids))
         self.out.close()
 
 
@@ -150,7 +152,7 @@ class TokenFile:
 
     def column(self, name: str, batch: int) -> np.ndarray:
         """Whole batch, one row for each sequence."""
-        return self.reader.get_batch(batch).column(name).flatten().to_numpy().reshape(-1, self.length)
+        return self.reader.get_batch(batch).column(name).flatten().to_numpy(zero_copy_only=name == "tokens").reshape(-1, self.length)
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         return self.column("tokens", i // BATCH)[i % BATCH], self.column("mask", i // BATCH)[i % BATCH]
@@ -174,14 +176,14 @@ def _writer(folder: str, tokenizer: str, end_id: int | None, length: int):
         own = f".{name}-{context.taskAttemptId()}"
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        bpe, end = encoder(tokenizer), np.array([] if end_id is None else [end_id], "<u4").tobytes()
+        bpe, end = encoder(tokenizer), np.array([] if end_id is None else [end_id], np.uint32)
         docs = 0
         with fs.open_output_stream(f"{base}/{own}") as sink, fs.open_output_stream(f"{base}/{own}.docs") as doc_sink:
-            out, index = ShardWriter(sink, length), pa.ipc.new_file(doc_sink, DOCS)
+            out, index = ShardWriter(sink, length, bpe.tokenizer.get_vocab_size() > 1 << 16 or (end_id or 0) >= 1 << 16), pa.ipc.new_file(doc_sink, DOCS)
             for batch in batches(it, 512):
                 starts, sizes = [], []
                 for text in batch.column("text").to_pylist():
-                    ids = np.frombuffer(bpe.encode(text or "") + end, "<u4")
+                    ids = np.concatenate([bpe.encode(text or ""), end])
                     starts.append(out.total)
                     sizes.append(len(ids))
                     if len(ids):
