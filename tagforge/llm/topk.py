@@ -25,6 +25,7 @@ from .common import partitions, table
 
 QUERIES = 512
 CANDIDATES = 8192
+LEAST = 1024
 FAN_IN = 16
 EXACT = float(1 << 53)
 HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("shard", pa.int64())])
@@ -103,7 +104,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, scale: float =
     spark = candidates.sparkSession
     c, q = usable(candidates, id_col, vector_col), usable(queries, id_col, vector_col).dropDuplicates(["id"])
     n_c, n_q = candidates.count(), queries.count()
-    shards, blocks = partitions(spark, n_c, CANDIDATES), max(1, -(-n_q // QUERIES))
+    # small tables still get a shard for each task, but none of fewer rows than LEAST
+    shards, blocks = max(-(-n_c // CANDIDATES), min(partitions(spark, 0, 1), -(-n_c // LEAST)), 1), max(1, -(-n_q // QUERIES))
     # each shard meets each query block: the shards' packs are sent to as many tiles as there are blocks
     qs = packed(q, blocks, QUERIES, scale).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("dim").alias("q_dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("tile"))
     cs = packed(c, shards, CANDIDATES, scale).withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)))
