@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_words, exact_dedup, jaccard_join, lang_id, mixing, suffix_dedup, token_stream, topk, warc
+from . import bpe_words, chain_dedup, exact_dedup, jaccard_join, lang_id, mixing, suffix_dedup, token_stream, topk, warc
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard_join.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_suffix_dedup": suffix_dedup.op5,
     "op6_warc_revisit": warc.op6,
     "op7_language_id": lang_id.op7,
+    "op8_chain_dedup": chain_dedup.op8,
     "op9_token_stream": token_stream.op9,
     "op10_top_k": topk.op10,
 }
