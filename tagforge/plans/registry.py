@@ -2,5 +2,602 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tagforge.functions import rng
+from tagforge.functions import text as T
+from tagforge.operators import bio, cascade, dynamic, evaluation, metrics, prompts, quality, sampling, spans
+from tagforge.operators.taxonomy import SYNONYM_LINES, Taxonomy, synonym_map, synonyms
+from tagforge.plans import views
+from tagforge.plans.sql import TOKEN, WS, sql
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(body: str | None = None, plain: bool = False):
+    """Registers a query under its function's name, with SQL over the views (or, plain, over the tables only)."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if body is not None:
+            SQL[f.__name__] = body if plain else sql(body)
+        return f
+
+    return put
+
+
+def tax() -> Taxonomy:
+    return Taxonomy.of()
+
+
+def joined(c: Column | str, by: str = "|") -> Column:
+    return F.array_join(c, by)
+
+
+def leaves(spark: SparkSession) -> DataFrame:
+    return tax().leaf_table(spark)
+
+
+# the ontology
+
+
+@query("SELECT level, parent, name FROM edges")
+def taxonomy_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(tax().edges(), "level int, parent string, name string")
+
+
+@query("SELECT n.name AS category, coalesce(parent, n.name) AS parent FROM nodes n LEFT JOIN par USING (name)")
+def taxonomy_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tax().parent_table(spark)
+
+
+@query("SELECT name AS category, branch FROM branch")
+def taxonomy_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tax().branch_table(spark)
+
+
+@query("SELECT l3 AS category, l2 AS parent FROM leaf")
+def taxonomy_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaves(spark)
+
+
+@query("SELECT name AS category, l1, l2, l3 FROM paths")
+def taxonomy_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tax().path_table(spark)
+
+
+@query("SELECT parent AS category, array_to_string(children, '|') AS children FROM kids")
+def taxonomy_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tax().children_table(spark).select("category", joined("children").alias("children"))
+
+
+@query("""
+, s AS (SELECT n.name AS category, CASE WHEN coalesce(p.parent, n.name) = n.name THEN (SELECT list(name) FROM firsts) ELSE k.children END AS sib, p.parent, c.children
+   FROM nodes n LEFT JOIN par p USING (name) LEFT JOIN kids k ON k.parent = p.parent LEFT JOIN kids c ON c.parent = n.name)
+SELECT category, array_to_string(list_sort(list_distinct(list_concat(list_concat(coalesce(sib, []), coalesce(children, [])), CASE WHEN parent IS NULL OR parent = category THEN [] ELSE [parent] END))), '|') AS related FROM s
+""")
+def taxonomy_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tax().related_table(spark).select("category", joined("related").alias("related"))
+
+
+@query("""
+SELECT level::INTEGER AS level, name AS category, array_to_string(CASE level WHEN 1 THEN (SELECT o FROM opt1)
+  WHEN 2 THEN coalesce((SELECT any_value(o) FROM optl x WHERE x.level = 2 AND x.name = n.name), (SELECT list(x.name ORDER BY ord) FROM edges x WHERE x.level = 2 AND x.parent = n.name), [])
+  ELSE coalesce((SELECT any_value(o) FROM optl x WHERE x.level = 3 AND x.name = n.name), []) END, '|') AS options
+FROM nodes n, (VALUES (1), (2), (3)) v(level)
+""")
+def taxonomy_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tax().options_table(spark).select("level", "category", joined("options").alias("options"))
+
+
+@query("SELECT name AS category, synonym FROM syn")
+def synonym_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.createDataFrame(list(enumerate(SYNONYM_LINES.splitlines())), "line_no int, value string")
+    return synonyms(lines)
+
+
+# text
+
+
+@query("SELECT doc_id, t AS cleaned FROM cleaned")
+def text_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.read(spark, sf_dir, "documents").select("doc_id", T.clean(F.col("text")).alias("cleaned"))
+
+
+@query("SELECT doc_id, unnest(range(len(p)))::INTEGER AS n, unnest(p) AS sentence FROM pieces")
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = views.read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(T.sentences(T.clean(F.col("text")))).alias("n", "sentence"))
+
+
+@query(rf"""
+, x AS (SELECT doc_id, unnest(list_transform(string_split(regexp_replace(t, '([.]){WS}+([A-Z])', '\1' || chr(30) || '\2', 'g'), chr(30)), lambda x: trim(x))) AS sentence FROM cleaned)
+SELECT doc_id, count(*) AS n, sum(length(sentence))::BIGINT AS chars FROM x WHERE length(sentence) > 40 GROUP BY doc_id
+""")
+def sentence_split_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = views.read(spark, sf_dir, "documents").select("doc_id", F.explode(T.sentences(T.clean(F.col("text")), strict=True)).alias("sentence"))
+    return d.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("sentence")).alias("chars"))
+
+
+@query(f"SELECT doc_id, len(t)::INTEGER AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS t FROM documents)")
+def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = views.read(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").alias("n_tokens"), F.md5(joined("t", " ")).alias("tokens_md5"))
+
+
+@query("SELECT item_id, length(text)::INTEGER AS n_chars, md5(array_to_string(list_reverse(list_reverse(regexp_extract_all(text, '(?s).'))), ' ')) AS chars_md5 FROM benchmark", plain=True)
+def tokenize_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = views.read(spark, sf_dir, "benchmark").select("item_id", T.characters(F.col("text")).alias("t"))
+    return t.select("item_id", F.size("t").alias("n_chars"), F.md5(joined("t", " ")).alias("chars_md5"))
+
+
+@query("SELECT doc_id, pos, CASE WHEN strpos(sentence, entity) > 0 THEN substr(sentence, 1, strpos(sentence, entity) - 1) || '##' || entity || '##' || substr(sentence, strpos(sentence, entity) + length(entity)) ELSE sentence END AS marked FROM ment")
+def mark_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.mentions(spark, sf_dir).select("doc_id", "pos", T.mark_first(F.col("sentence"), F.col("entity")).alias("marked"))
+
+
+@query("SELECT doc_id, replace(replace(substr(text, 1, 200), chr(8217), ''''), '`', '''') AS plain FROM documents", plain=True)
+def apostrophes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composed already in the tables, which the SQL relies on."""
+    return views.read(spark, sf_dir, "documents").select("doc_id", F.substring(T.apostrophes(F.col("text")), 1, 200).alias("plain"))
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(lower(trim(entity)), '\\s+', ' ', 'g'), '^[.]+|[.]+$', '', 'g') AS form, count(*) AS n FROM ment GROUP BY ALL")
+def synonym_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.mentions(spark, sf_dir).select("doc_id", T.synonym_form(F.col("entity")).alias("form")).groupBy("doc_id", "form").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type AS answer, count(*) AS n, count(TRY_CAST(props AS JSON)) AS parsed, sum(CASE WHEN TRY_CAST(props AS JSON) IS NULL THEN 1 ELSE 0 END)::BIGINT AS bad FROM events GROUP BY 1", plain=True)
+def jsonl_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of JSON in a column, bad ones counted."""
+    e = views.read(spark, sf_dir, "events").withColumn("j", F.from_json("props", "_bad string, _k string", {"columnNameOfCorruptRecord": "_bad"}))
+    ok = (F.col("props").isNotNull() & F.col("j._bad").isNull()).cast("int")
+    return e.groupBy(F.col("event_type").alias("answer")).agg(F.count("*").alias("n"), F.sum(ok).cast("long").alias("parsed"), F.sum(1 - ok).cast("long").alias("bad"))
+
+
+# tags
+
+
+@query("SELECT doc_id, pos, token, tag FROM tag")
+def bio_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bio.token_rows(views.tagged(spark, sf_dir).withColumnRenamed("ord", "doc_id"), "doc_id")
+
+
+@query("SELECT doc_id, token AS entity, substr(tag, 3) AS category, pos AS start FROM tag WHERE tag <> 'O'")
+def bio_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bio.decode(bio.token_rows(views.tagged(spark, sf_dir).withColumnRenamed("ord", "doc_id"), "doc_id"), "doc_id")
+
+
+@query("""
+, r AS (SELECT *, CASE WHEN tag IS DISTINCT FROM lag(tag) OVER (PARTITION BY doc_id ORDER BY pos) THEN 1 ELSE 0 END AS s FROM (SELECT doc_id, pos, token, CASE WHEN length(token) > 5 THEN 'LONG' ELSE 'O' END AS tag FROM tag)),
+g AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM r),
+e AS (SELECT doc_id, g, tag, string_agg(token, ' ' ORDER BY pos) AS e FROM g GROUP BY doc_id, g, tag)
+SELECT doc_id, string_agg(e, ' ' ORDER BY g) AS text, coalesce(array_to_string(list_sort(list_distinct(list(e) FILTER (WHERE tag <> 'O'))), '|'), '') AS entities FROM e GROUP BY doc_id
+""")
+def io_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column files, one for each document, whose tags have no B- and I-."""
+    rows = bio.token_rows(views.tagged(spark, sf_dir), "ord")
+    lines = rows.select(F.col("ord").alias("file"), F.col("pos").alias("line_no"), F.concat("token", F.when(F.length("token") > 5, " x LONG").otherwise(" x O")).alias("value"))
+    return bio.decode_plain(lines).select(F.col("file").alias("doc_id"), "text", joined("entities").alias("entities"))
+
+
+@query("""
+, l AS (SELECT doc_id, pos, ['ARTIST', 'ORG', 'Facility', 'NOVEL', 'SYMPTOM'][1 + doc_id % 5] AS label FROM ment),
+k AS (SELECT * FROM (VALUES ('ARTIST', 'artist'), ('ORG', 'other non-commercial organization'), ('FACILITY', 'other facility'), ('SYMPTOM', 'symptom')) v(label, leaf))
+SELECT coalesce(leaf, upper(l.label)) AS name, CASE WHEN leaf IS NULL THEN 'unmapped' END AS problem, count(*) AS n FROM l LEFT JOIN k ON k.label = upper(l.label) GROUP BY ALL
+""")
+def label_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = F.array(*map(F.lit, ["ARTIST", "ORG", "Facility", "NOVEL", "SYMPTOM"]))
+    m = views.mentions(spark, sf_dir).select("doc_id", "pos", F.get(labels, (F.col("doc_id") % 5).cast("int")).alias("category"))
+    got = bio.to_leaves(m, leaves(spark))
+    return got.groupBy(F.coalesce("leaf", F.upper("category")).alias("name"), "problem").agg(F.count("*").alias("n"))
+
+
+# training rows
+
+
+@query("SELECT row_id, level::INTEGER AS level, answer FROM cls")
+def stage2_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.options(spark, sf_dir).select("row_id", "level", "answer")
+
+
+@query("""
+, c AS (SELECT a.doc_id, a.sentence, a.entity AS e0, b.entity AS e1, d.entity AS e2, strpos(a.sentence, a.entity) AS p0
+   FROM (SELECT * FROM ment WHERE pos = 0) a LEFT JOIN (SELECT doc_id, entity FROM ment WHERE pos = 1) b USING (doc_id) LEFT JOIN (SELECT doc_id, entity FROM ment WHERE pos = 2) d USING (doc_id)),
+c1 AS (SELECT *, p0 + length(e0) AS k0 FROM c),
+c2 AS (SELECT *, CASE WHEN strpos(substr(sentence, k0), e1) > 0 THEN strpos(substr(sentence, k0), e1) + k0 - 1 END AS p1 FROM c1),
+c3 AS (SELECT *, coalesce(p1 + length(e1), k0) AS k1 FROM c2),
+c4 AS (SELECT *, CASE WHEN strpos(substr(sentence, k1), e2) > 0 THEN strpos(substr(sentence, k1), e2) + k1 - 1 END AS p2 FROM c3),
+q AS (SELECT doc_id, sentence, unnest([0, 1, 2]) AS pos, unnest([e0, e1, e2]) AS e, unnest([p0, p1, p2]) AS p FROM c4),
+h AS (SELECT doc_id, pos, e, CASE WHEN p IS NULL THEN sentence ELSE substr(sentence, 1, p - 1) || '##' || e || '##' || substr(sentence, p + length(e)) END AS s FROM q WHERE e IS NOT NULL)
+SELECT (h.doc_id * 3 + h.pos) * 3 + k AS row_id, 'The ##' || h.e || '## in the sentence: "' || s || '" belongs to which entity in the list: ' || array_to_string(CASE k WHEN 0 THEN (SELECT o FROM opt1)
+   WHEN 1 THEN (SELECT list(x.name ORDER BY ord) FROM edges x WHERE level = 2 AND x.parent = m.l1) ELSE (SELECT list(x.name ORDER BY ord) FROM edges x WHERE level = 3 AND x.parent = m.l2) END, ', ') || '?' AS prompt
+FROM h JOIN ment m ON m.doc_id = h.doc_id AND m.pos = h.pos, range(3) r(k)
+""")
+def stage2_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.options(spark, sf_dir).select("row_id", "prompt")
+
+
+@query()
+def stage1_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A greedy choice over all occurrences; held against a plain version in the tests."""
+    return prompts.stage1(views.base(spark, sf_dir)).select(F.col("ord").alias("doc_id"), "answer")
+
+
+RECORDS = "CASE WHEN doc_id % 17 = 0 THEN 'no such leaf' ELSE l3 END"
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotated records with planted faults: a wrong leaf, or an entity that the text lacks."""
+    m = views.mentions(spark, sf_dir)
+    category = F.when(F.col("doc_id") % 17 == 0, "no such leaf").otherwise(F.col("l3"))
+    entity = F.when((F.col("doc_id") % 19 == 0) & (F.col("pos") == 1), "zzzzzz").otherwise(F.col("entity"))
+    e = m.select("doc_id", "sentence", F.struct("pos", entity.alias("text"), category.alias("category")).alias("e"))
+    g = e.groupBy("doc_id", "sentence").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    return g.select(F.col("doc_id").alias("ord"), F.col("sentence").alias("text"), F.transform("e", lambda x: F.struct(x["text"].alias("text"), x["category"].alias("category"))).alias("entities"))
+
+
+FAULTS = f"""
+, e AS (SELECT doc_id, pos, sentence, CASE WHEN doc_id % 19 = 0 AND pos = 1 THEN 'zzzzzz' ELSE entity END AS entity, {RECORDS} AS category FROM ment),
+f AS (SELECT *, CASE WHEN category NOT IN (SELECT l3 FROM leaf) THEN 'invalid_category' WHEN strpos(sentence, entity) = 0 THEN 'not_in_text' END AS fault FROM e),
+b AS (SELECT doc_id, arg_min(fault, pos) FILTER (WHERE fault IS NOT NULL) AS reason, count(*) AS n FROM f GROUP BY doc_id)
+"""
+
+
+@query(FAULTS + "SELECT 'sentence' || (doc_id + 1) AS sentence_id, n::INTEGER AS n FROM b WHERE reason IS NULL")
+def base_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prompts.base_sentences(records(spark, sf_dir), leaves(spark)).where("reason is null").select("sentence_id", F.size("mentions").alias("n"))
+
+
+@query(FAULTS + "SELECT coalesce(reason, 'converted') AS reason, count(*) AS n FROM b GROUP BY 1")
+def base_reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = prompts.base_sentences(records(spark, sf_dir), leaves(spark))
+    return b.groupBy(F.coalesce("reason", F.lit("converted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(FAULTS + """SELECT 0::BIGINT AS empty_record, count(*) FILTER (WHERE fault = 'invalid_category') AS invalid_category, count(*) FILTER (WHERE fault = 'not_in_text') AS span_not_found,
+  (SELECT count(*) FROM (SELECT doc_id FROM f GROUP BY doc_id HAVING count(*) FILTER (WHERE fault IS NULL) = 0)) AS no_valid_entity FROM f""")
+def synthetic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.filter_synthetic(records(spark, sf_dir), leaves(spark))[1]
+
+
+# spans
+
+
+@query("SELECT doc_id, 0 AS ord, entity AS text, strpos(sentence, entity)::INTEGER - 1 AS start FROM ment WHERE pos = 0")
+def span_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = views.responses(spark, sf_dir).where("ord = 0")
+    return r.select("doc_id", "ord", F.explode(spans.extract(F.col("query"), F.col("response"))).alias("s")).select("doc_id", "ord", "s.text", "s.start")
+
+
+@query()
+def span_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ordered fold; held against a plain version in the tests."""
+    got = spans.merged_responses(views.responses(spark, sf_dir))
+    return got.select("query", F.explode("spans").alias("s")).select("query", "s.*")
+
+
+# metrics
+
+
+@query("SELECT answer, n FROM hist")
+def category_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.histogram(views.options(spark, sf_dir))
+
+
+def rounded(m: DataFrame, *keep: str) -> DataFrame:
+    return m.select(*[F.round(c, 6).alias(c) if dict(m.dtypes)[c] == "double" else F.col(c) for c in keep or m.columns])
+
+
+@query("SELECT round(cohesion_score, 6) AS cohesion_score FROM met")
+def metric_cohesion_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.evaluate(views.options(spark, sf_dir), tax()), "cohesion_score")
+
+
+@query("SELECT round(normalized_entropy, 6) AS normalized_entropy FROM met")
+def metric_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.evaluate(views.options(spark, sf_dir), tax()), "normalized_entropy")
+
+
+@query("SELECT round(gini_coefficient, 6) AS gini_coefficient FROM met")
+def metric_gini(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.evaluate(views.options(spark, sf_dir), tax()), "gini_coefficient")
+
+
+@query("SELECT round(coefficient_of_variation, 6) AS coefficient_of_variation FROM met")
+def metric_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.evaluate(views.options(spark, sf_dir), tax()), "coefficient_of_variation")
+
+
+@query("SELECT round(cohesion_score, 6) AS cohesion_score, round(normalized_entropy, 6) AS normalized_entropy, round(gini_coefficient, 6) AS gini_coefficient, round(coefficient_of_variation, 6) AS coefficient_of_variation, n_rows, n_classes FROM met")
+def metric_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.evaluate(views.options(spark, sf_dir), tax()))
+
+
+@query("SELECT round(.4 * cohesion_score + .3 * normalized_entropy + .2 * (1 - gini_coefficient) + .1 * (2.5 - least(coefficient_of_variation, 2.5)) / 2.5, 6)::DOUBLE AS health FROM met")
+def health_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = metrics.evaluate(views.options(spark, sf_dir), tax())
+    return m.select(F.round(metrics.health(m), 6).alias("health"))
+
+
+@query("SELECT event_type AS answer, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1", plain=True)
+def event_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.histogram(views.read(spark, sf_dir, "events").select(F.col("event_type").alias("answer")))
+
+
+@query("""
+WITH u AS (SELECT label, list_transform(embedding::DOUBLE[], lambda x: x / greatest(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))), 1e-9)) AS u FROM embeddings),
+d AS (SELECT label, unnest(range(len(u))) AS d, unnest(u) AS x FROM u),
+s AS (SELECT label, d, sum(x) AS s, sum(x * x) AS q, count(*) AS n FROM d GROUP BY label, d),
+l AS (SELECT (sum(s * s) - sum(q)) / (max(n) * (max(n) - 1)) AS c FROM s GROUP BY label HAVING max(n) >= 2)
+SELECT round(coalesce(avg(c), 0), 6) AS cohesion FROM l
+""", plain=True)
+def metric_cohesion_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.embedding_cohesion(views.read(spark, sf_dir, "embeddings")))
+
+
+# rewrites
+
+U = "('0x' || substr(md5('42|' || {row} || '|' || {slot}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+def u(row: str, slot: str) -> str:
+    return U.format(row=row, slot=f"'{slot}'")
+
+
+LISTS = """
+, lst AS (SELECT row_id, doc_id, pos, level, answer, CASE level WHEN 1 THEN (SELECT o FROM opt1) WHEN 2 THEN (SELECT list(x.name ORDER BY ord) FROM edges x WHERE x.level = 2 AND x.parent = m.l1)
+   ELSE (SELECT list(x.name ORDER BY ord) FROM edges x WHERE x.level = 3 AND x.parent = m.l2) END AS o FROM cls JOIN ment m USING (doc_id, pos))
+"""
+
+
+def brief(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("row_id", joined(T.tail_options(F.col("prompt"))).alias("options"), "answer", *more)
+
+
+@query(LISTS + f""", g AS (SELECT a.row_id // 3 AS g, a.row_id, a.o AS o1, b.answer AS second, list_filter(b.o, lambda x: x <> b.answer) AS others FROM lst a JOIN lst b ON a.row_id % 3 = 0 AND b.row_id = a.row_id + 1),
+h AS (SELECT *, {u('g', 'merge')} < (SELECT CASE WHEN cohesion_score < 0.04 THEN 0.6 ELSE 0.4 END FROM met) AS hit FROM g),
+rel AS (SELECT n.name AS category, list_distinct(list_concat(list_concat(coalesce(CASE WHEN coalesce(p.parent, n.name) = n.name THEN (SELECT list(name) FROM firsts) ELSE k.children END, []), coalesce(c.children, [])), CASE WHEN p.parent IS NULL THEN [] ELSE [p.parent] END)) AS r
+   FROM nodes n LEFT JOIN par p USING (name) LEFT JOIN kids k ON k.parent = p.parent LEFT JOIN kids c ON c.parent = n.name),
+t AS (SELECT h.*, list_prepend(second, (SELECT coalesce(list(x ORDER BY NOT list_contains(r, x), md5('42|' || g || '|type|' || x)), [])[1:2] FROM (SELECT unnest(others) AS x))) AS types FROM h JOIN rel ON category = second WHERE hit),
+k AS (SELECT t.*, list_distinct(list_concat(list_filter(o1, lambda o: NOT list_contains((SELECT list(coalesce(p.parent, y)) FROM (SELECT unnest(types) AS y) LEFT JOIN par p ON p.name = y), o)), types)) AS al FROM t),
+pr AS (SELECT row_id, y, coalesce(p.parent, y) AS p FROM (SELECT row_id, unnest(al) AS y FROM k) LEFT JOIN par p ON p.name = y),
+f AS (SELECT row_id, string_agg(y, '|' ORDER BY y) AS options FROM pr a WHERE NOT EXISTS (SELECT 1 FROM pr b WHERE b.row_id = a.row_id AND b.y <> a.y AND b.p = a.y) GROUP BY row_id)
+SELECT k.row_id, f.options, k.second AS answer FROM k JOIN f USING (row_id)
+UNION ALL SELECT row_id, array_to_string(o, '|'), answer FROM lst WHERE row_id % 3 = 2 OR row_id // 3 IN (SELECT g FROM h WHERE NOT hit)
+""")
+def dyn_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brief(dynamic.merge(views.options(spark, sf_dir), tax()))
+
+
+@query(LISTS + f""", p AS (SELECT CASE WHEN coefficient_of_variation > 2.0 THEN 0.2 ELSE 0.4 END AS p, gini_coefficient > 0.6 AS high, (SELECT list_sort(list(n))[len(list(n)) // 2 + 1] FROM hist) AS med FROM met),
+w AS (SELECT n.name, CASE WHEN CASE WHEN high THEN coalesce(h.n, 0) > med ELSE coalesce(h.n, 0) < med END AND s.synonym IS NOT NULL THEN s.synonym ELSE n.name END AS to_ FROM nodes n CROSS JOIN p LEFT JOIN hist h ON h.answer = n.name LEFT JOIN syn s ON s.name = n.name),
+x AS (SELECT lst.*, {u('row_id', 'synonym')} <= (SELECT p FROM p) AS hit FROM lst),
+q AS (SELECT row_id, string_agg(to_, '|' ORDER BY i) AS options FROM (SELECT row_id, unnest(range(len(o))) AS i, unnest(o) AS name FROM x WHERE hit) JOIN w USING (name) GROUP BY row_id)
+SELECT x.row_id, CASE WHEN hit THEN q.options ELSE array_to_string(o, '|') END AS options, CASE WHEN hit THEN w.to_ ELSE answer END AS answer FROM x LEFT JOIN q USING (row_id) JOIN w ON w.name = answer
+""")
+def dyn_synonym(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brief(dynamic.swap_synonyms(views.options(spark, sf_dir), tax()))
+
+
+def sort_by(items: str, row: str, slot: str) -> str:
+    """An array in the order of its items' hashes, in SQL."""
+    return f"list_transform(list_sort(list_transform({items}, lambda v: {{'k': md5('42|' || {row} || '|{slot}|' || v), 'v': v}})), lambda s: s.v)"
+
+
+@query(LISTS + f""", x AS (SELECT *, len(o) > 3 AND {u('row_id', 'reduce')} < (SELECT CASE WHEN normalized_entropy < 0.8 THEN 0.24 ELSE 0.3 END FROM met) AS hit,
+   (2 + floor({u('row_id', 'keep')} * (len(o) + CASE WHEN list_contains(o, answer) THEN 0 ELSE 1 END - 2)))::INTEGER AS take FROM lst),
+y AS (SELECT *, {sort_by('list_filter(o, lambda v: v <> answer)', 'row_id', 'pick')} AS others FROM x),
+z AS (SELECT *, list_prepend(answer, others[1:take]) AS kept FROM y)
+SELECT row_id, array_to_string(CASE WHEN hit THEN {sort_by('kept', 'row_id', 'order')} ELSE o END, '|') AS options, answer FROM z
+""")
+def dyn_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brief(dynamic.reduce_options(views.options(spark, sf_dir), tax()))
+
+
+@query(LISTS + f""", m AS (SELECT *, .4 * cohesion_score + .3 * normalized_entropy + .2 * (1 - gini_coefficient) + .1 * (2.5 - least(coefficient_of_variation, 2.5)) / 2.5 < 0.4 AS weak FROM met),
+p AS (SELECT (CASE WHEN weak THEN 0.2 ELSE 0.3 END)::DOUBLE * (CASE WHEN cohesion_score < 0.03 THEN 0.8 ELSE 1.0 END)::DOUBLE AS p, CASE WHEN weak THEN 0.1 ELSE 0.2 END AS w0, CASE WHEN weak THEN 0.3 ELSE 0.5 END AS w1, CASE WHEN weak THEN 0.5 ELSE 0.8 END AS w2 FROM m),
+a AS (SELECT *, list_filter(o, lambda v: starts_with(v, 'miscellaneous') OR starts_with(v, 'other'))[1] AS sp FROM lst),
+b AS (SELECT *, list_filter(o, lambda v: NOT (starts_with(v, 'miscellaneous') OR starts_with(v, 'other')) OR v = sp) AS o2, coalesce(sp, 'unknown') AS new FROM a),
+c AS (SELECT b.*, len(o2) >= 3 AND {u('row_id', 'special')} < p AS hit, CASE WHEN list_contains(o2, new) THEN o2 ELSE list_append(o2, new) END AS o3, {u('row_id', 'drop')} AS dr, w0, w1, w2 FROM b, p),
+d AS (SELECT *, greatest(0, least(CASE WHEN dr < w0 THEN 0 WHEN dr < w1 THEN 1 WHEN dr < w2 THEN 2 ELSE 3 END, len(o3) - 3)) AS cut FROM c),
+e AS (SELECT *, {sort_by('list_filter(o3, lambda v: v <> new)', 'row_id', 'gone')}[1:cut] AS gone FROM d),
+f AS (SELECT *, list_filter(o3, lambda v: NOT list_contains(gone, v)) AS kept FROM e)
+SELECT row_id, array_to_string(CASE WHEN hit THEN {sort_by('kept', 'row_id', 'order4')} ELSE o END, '|') AS options, CASE WHEN hit THEN new ELSE answer END AS answer, CASE WHEN hit THEN answer END AS original_answer FROM f
+""")
+def dyn_special(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brief(dynamic.special_answers(views.options(spark, sf_dir), tax()), "original_answer")
+
+
+@query()
+def dyn_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four stages in a row; each is held against SQL by itself."""
+    return brief(dynamic.pipeline(views.options(spark, sf_dir), tax()))
+
+
+@query(LISTS + f""", x AS (SELECT *, floor({u('row_id', 'strategy')} * 4)::INTEGER + 1 AS s FROM lst),
+y AS (SELECT x.*, CASE s WHEN 1 THEN coalesce(l.l2, answer) WHEN 2 THEN coalesce(syn.synonym, answer) WHEN 4 THEN CASE WHEN {u('row_id', 'catch')} < 0.5 THEN 'miscellaneous' ELSE 'other' END ELSE answer END AS new
+   FROM x LEFT JOIN leaf l ON l.l3 = answer LEFT JOIN syn ON syn.name = answer),
+z AS (SELECT *, list_transform(o, lambda v: CASE WHEN v = answer THEN new ELSE v END) AS o2 FROM y),
+w AS (SELECT *, list_position(o2, new) AS at, (2 + floor({u('row_id', 'fewer')} * (len(o2) - 2)))::INTEGER - 1 AS take FROM z),
+r AS (SELECT *, {sort_by('list_concat(o2[1:at - 1], o2[at + 1:])', 'row_id', 'some')}[1:take] AS some FROM w)
+SELECT row_id, array_to_string(CASE WHEN s = 3 AND len(o2) > 3 AND at > 0 THEN {sort_by('list_prepend(new, some)', 'row_id', 'mix')} ELSE o2 END, '|') AS options, new AS answer FROM r
+""")
+def true_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = views.options(spark, sf_dir).select("row_id", F.col("prompt").alias("query"), F.col("answer").alias("response"))
+    return brief(dynamic.random_variant(r, tax()).select("row_id", F.col("query").alias("prompt"), F.col("response").alias("answer")))
+
+
+# samples
+
+
+@query("""
+WITH q AS (SELECT round_even(500 / count(DISTINCT source), 0)::INTEGER AS q FROM documents),
+r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id || '|sample'), doc_id) AS rn FROM documents)
+SELECT doc_id, source FROM r, q WHERE rn <= q
+""", plain=True)
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.stratified(views.read(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 500)
+
+
+@query("SELECT l3 AS category FROM leaf WHERE l3 NOT IN (SELECT category FROM pred)")
+def sample_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.missing(leaves(spark).select("category"), views.predictions(spark, sf_dir), "category")
+
+
+@query("""
+WITH r AS (SELECT conv_id * 100000 + turn // 2 AS pair, turn % 2 AS half, role || (conv_id % 7) AS answer FROM conversations),
+k AS (SELECT answer, count(*) AS n FROM r WHERE half = 1 GROUP BY answer), q AS (SELECT least(60 // count(*), min(n))::INTEGER AS q FROM k),
+c AS (SELECT pair, row_number() OVER (PARTITION BY answer ORDER BY md5('42|' || pair || '|pair'), pair) AS rn FROM r WHERE half = 1)
+SELECT pair, half, answer FROM r WHERE pair IN (SELECT pair FROM c, q WHERE rn <= q)
+""", plain=True)
+def uniform_pair_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = views.read(spark, sf_dir, "conversations")
+    r = c.select((F.col("conv_id") * 100000 + F.floor(F.col("turn") / 2)).cast("long").alias("pair"), (F.col("turn") % 2).alias("half"), F.concat("role", (F.col("conv_id") % 7).cast("string")).alias("answer"))
+    return sampling.uniform_pairs(r, 60)
+
+
+# coverage
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.mentions(spark, sf_dir).select(F.concat(F.lit("f"), (F.col("doc_id") % 3).cast("string")).alias("file"), F.when(F.col("doc_id") % 29 == 0, "invented").otherwise(F.col("l3")).alias("category"))
+
+
+FOUND = ", fnd AS (SELECT 'f' || (doc_id % 3) AS file, CASE WHEN doc_id % 29 = 0 THEN 'invented' ELSE l3 END AS category FROM ment), perleaf AS (SELECT l3 AS category, l2 AS parent, count(f.category) AS n FROM leaf LEFT JOIN fnd f ON f.category = l3 GROUP BY 1, 2) "
+
+
+@query(FOUND + "SELECT file, count(*) AS n, count(DISTINCT category) AS categories FROM fnd GROUP BY ROLLUP (file)")
+def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.counts(found(spark, sf_dir))
+
+
+@query(FOUND + "SELECT category, count(*) AS n FROM fnd WHERE category NOT IN (SELECT l3 FROM leaf) GROUP BY 1")
+def coverage_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.unknown(found(spark, sf_dir), leaves(spark))
+
+
+@query(FOUND + "SELECT count(*) AS leaves, count(*) FILTER (WHERE n > 0) AS covered, count(*) FILTER (WHERE n = 0) AS missing, round(100.0::DOUBLE * count(*) FILTER (WHERE n > 0) / count(*), 4) AS covered_percent FROM perleaf")
+def coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.summary(found(spark, sf_dir), leaves(spark))
+
+
+@query(FOUND + "SELECT parent, string_agg(category, '|' ORDER BY category) AS missing FROM perleaf WHERE n = 0 GROUP BY 1")
+def coverage_missing_by_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.missing_by_parent(found(spark, sf_dir), leaves(spark)).select("parent", joined("missing").alias("missing"))
+
+
+@query(FOUND + "SELECT category, parent, n FROM perleaf WHERE n > 0 AND n < 30")
+def coverage_thin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.thin(found(spark, sf_dir), leaves(spark), 30).select("category", "parent", "n")
+
+
+@query(LISTS + "SELECT row_id, list_contains(o, answer) AND doc_id % 23 <> 0 AS listed FROM lst")
+def answer_in_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = views.options(spark, sf_dir).withColumn("answer", F.when(F.col("ord") % 23 == 0, "nowhere").otherwise(F.col("answer")))
+    return quality.answer_listed(r).select("row_id", "listed")
+
+
+@query(LISTS + "SELECT row_id FROM lst WHERE list_contains(o, answer) AND doc_id % 23 <> 0")
+def prune_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = views.options(spark, sf_dir).withColumn("answer", F.when(F.col("ord") % 23 == 0, "nowhere").otherwise(F.col("answer")))
+    return quality.pruned(r).select("row_id")
+
+
+@query(FOUND + """, need AS (SELECT category FROM perleaf WHERE n = 0 OR n < 30), o AS (SELECT t.parent, t.name, t.ord, (row_number() OVER (PARTITION BY t.parent ORDER BY t.ord) - 1) // 8 AS batch FROM thirds t JOIN need ON category = name)
+SELECT parent, batch::INTEGER AS batch, string_agg(name, '|' ORDER BY ord) AS leaves FROM o GROUP BY 1, 2""")
+def gap_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    need = quality.gaps(found(spark, sf_dir), leaves(spark), below=30)
+    return quality.batches(need, tax()).select("parent", "batch", joined("leaves").alias("leaves"))
+
+
+# scores
+
+SCORE = """
+, tr AS (SELECT DISTINCT doc_id AS id, lower(entity) AS e, lower(l3) AS c FROM ment), pr AS (SELECT DISTINCT doc_id AS id, lower(entity) AS e, lower(category) AS c FROM pred),
+com AS (SELECT DISTINCT id FROM tr INTERSECT SELECT DISTINCT id FROM pr),
+t AS (SELECT DISTINCT id, {k} AS k FROM tr WHERE id IN (SELECT id FROM com)), p AS (SELECT DISTINCT id, {k} AS k FROM pr WHERE id IN (SELECT id FROM com) {strict}),
+n AS (SELECT (SELECT count(*) FROM t JOIN p USING (id, k)) AS tp, (SELECT count(*) FROM p) AS n_predicted, (SELECT count(*) FROM t) AS n_truth)
+SELECT tp, n_predicted, n_truth, round(tp / n_predicted, 6) AS precision, round(tp / n_truth, 6) AS recall, round(2 * tp / (n_predicted + n_truth), 6) AS f1 FROM n
+"""
+KNOWN = "AND {k} IN (SELECT {k} FROM tr WHERE id IN (SELECT id FROM com))"
+PAIR = "e || chr(1) || c"
+
+
+def scored(spark: SparkSession, sf_dir: str, keys: list[str], strict: bool = False) -> DataFrame:
+    t = views.mentions(spark, sf_dir).select(F.col("doc_id").alias("id"), "entity", F.col("l3").alias("category"))
+    return rounded(evaluation.score(t, views.predictions(spark, sf_dir).withColumnRenamed("doc_id", "id"), keys, strict=strict))
+
+
+@query(SCORE.format(k="e", strict=KNOWN.format(k="e")))
+def prf_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir, ["entity"])
+
+
+@query(SCORE.format(k=PAIR, strict=KNOWN.format(k=PAIR)))
+def prf_entity_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir, ["entity", "category"])
+
+
+@query(SCORE.format(k=PAIR, strict=""))
+def prf_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir, ["entity", "category"], strict=True)
+
+
+def sets(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.collect_set("entity").alias("entities"))
+
+
+@query("SELECT t.doc_id AS idx, t.n AS n_truth, coalesce(p.n, 0) AS n_predicted FROM (SELECT doc_id, count(DISTINCT entity) AS n FROM ment GROUP BY 1) t LEFT JOIN (SELECT doc_id, count(DISTINCT entity) AS n FROM pred GROUP BY 1) p USING (doc_id)")
+def count_compare_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, p = views.mentions(spark, sf_dir), views.predictions(spark, sf_dir)
+    return evaluation.compare_counts(sets(t.withColumnRenamed("doc_id", "idx"), "idx"), sets(p.withColumnRenamed("doc_id", "idx"), "idx"), "idx")
+
+
+@query("SELECT md5(t.sentence) AS text, t.n AS n_truth, coalesce(p.n, 0) AS n_predicted FROM (SELECT sentence, count(DISTINCT entity) AS n FROM ment GROUP BY 1) t LEFT JOIN (SELECT sentence, count(DISTINCT entity) AS n FROM pred JOIN sent USING (doc_id) GROUP BY 1) p USING (sentence)")
+def count_compare_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = views.mentions(spark, sf_dir)
+    p = views.predictions(spark, sf_dir).join(t.select("doc_id", "sentence").distinct(), "doc_id")
+    return evaluation.compare_counts(sets(t.select(F.md5("sentence").alias("text"), "entity"), "text"), sets(p.select(F.md5("sentence").alias("text"), "entity"), "text"), "text")
+
+
+# cascade
+
+
+def answered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Entities, and a table of replies: right ones, with 'Unknown' at the second level of some and nonsense for some sentences."""
+    m = views.mentions(spark, sf_dir)
+    key = F.concat_ws("|", F.col("doc_id").cast("string"), F.col("pos").cast("string"))
+    reply = F.get(F.array("l1", "l2", "l3"), F.col("level") - 1)
+    r = m.select("doc_id", "pos", "l1", "l2", "l3", key.alias("key"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("level"))
+    r = r.withColumn("reply", F.when((F.col("level") == 2) & ((F.col("doc_id") + F.col("pos")) % 6 == 0), "Unknown").when((F.col("level") == 3) & (F.col("doc_id") % 10 == 0) & (F.col("pos") == 1), "nonsense").otherwise(F.upper(reply)))
+    return m.select(F.col("doc_id").alias("id"), "pos", "entity", "sentence"), r.select("key", "level", "reply")
+
+
+@query("""
+SELECT doc_id AS id, pos, CASE WHEN bool_or(doc_id % 10 = 0 AND pos = 1 AND (doc_id + pos) % 6 <> 0) OVER (PARTITION BY doc_id) THEN 'unknown' WHEN (doc_id + pos) % 6 = 0 THEN 'unknown' ELSE l3 END AS category FROM ment
+""")
+def cascade_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities, replies = answered(spark, sf_dir)
+    return cascade.classify(entities, tax(), cascade.by_table(replies)).select("id", "pos", "category")
+
+
+@query("""
+, c AS (SELECT doc_id AS id, pos, CASE WHEN bool_or(doc_id % 10 = 0 AND pos = 1 AND (doc_id + pos) % 6 <> 0) OVER (PARTITION BY doc_id) THEN 'unknown' WHEN (doc_id + pos) % 6 = 0 THEN 'unknown' ELSE l3 END AS category FROM ment)
+SELECT id, string_agg(category, '|' ORDER BY pos) AS categories FROM c GROUP BY id
+""")
+def cascade_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities, replies = answered(spark, sf_dir)
+    return cascade.predictions(cascade.classify(entities, tax(), cascade.by_table(replies))).select("id", joined("category").alias("categories"))
+
+
+@query("""
+, q AS (SELECT sentence, doc_id FROM sent), ids AS (SELECT sentence, 'ref' || max(doc_id) AS id FROM q WHERE doc_id % 2 = 0 GROUP BY sentence), d AS (SELECT DISTINCT sentence FROM q)
+SELECT md5(d.sentence) AS query, coalesce(id, 'sentence' || row_number() OVER (PARTITION BY id IS NULL ORDER BY d.sentence)) AS id FROM d LEFT JOIN ids USING (sentence)
+""")
+def named_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = views.sentences(spark, sf_dir)
+    reference = s.where("doc_id % 2 = 0").select("sentence", F.concat(F.lit("ref"), F.col("doc_id").cast("string")).alias("id"), F.col("doc_id").alias("ord"))
+    return cascade.named(s.select(F.col("sentence").alias("query")).distinct(), reference).select(F.md5("query").alias("query"), "id")
