@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import Hashes, byte_column, components, partitions, row_key, semi_by_id, shingle_hashes, signed, table, without, word_hashes, written
 
 #: Entries of the table of shared n-grams at most, 9 bytes each in every worker.
-HEAVY = 1 << 19
+HEAVY = 1 << 20
 #: n-grams held while a task counts its own, and rows of a column block, about.
 CHUNK = 3_000_000
 IN_BLOCK = 200_000
@@ -93,7 +93,7 @@ def heavy_table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(sorted n-grams, log2 of their documents) of the most shared, HEAVY at most: the smallest power of two is chosen that keeps to it."""
     df = counts.groupBy("a").agg(F.sum("n").alias("n")).withColumn("c", F.floor(F.log2("n")).cast("int"))
     levels = {r["c"]: r["k"] for r in df.groupBy("c").agg(F.count("*").alias("k")).collect()}
-    least, total = 64, 0
+    least, total = max(levels, default=0) + 1, 0
     for c in sorted(levels, reverse=True):
         total += levels[c]
         if total > HEAVY:
