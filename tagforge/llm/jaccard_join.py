@@ -7,8 +7,8 @@ n-grams):
 * All sets are put in one order of n-grams: those that many documents share last, else by hash. A linked
   pair shares an n-gram among the first n - ceil(t n) + 1 of each, so only those columns are kept, and of those
   only the ones with two rows.
-* First product, sparse: in each column neighbours in size, and each row with the smallest row that may
-  link to it. Pairs are checked on their whole sets; links give components. A group of near copies
+* First product, sparse: in each column each row with the smallest row that may link to it, and in some long columns
+  neighbours in size. Pairs are checked on their whole sets; links give components. A group of near copies
   becomes one component here from a few pairs a row.
 * Second product, whole: in each column all pairs of rows of different components within the size
   bound; counts are added up over the blocks, and a pair is dropped when its count plus what lies
@@ -45,6 +45,8 @@ IN_BLOCK = 200_000
 #: log2 of the documents from which an n-gram's column is dealt to sub-blocks of half as many rows.
 SPLIT_AT = 14
 PAIRS = 2_000_000
+#: Rows of a column in which neighbours in size are tried too.
+NEIGHBOURS = 8
 
 FIRST = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("h", pa.int64())])
 POSTING = pa.schema([("tok", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
@@ -187,7 +189,9 @@ def _sparse(num: int, den: int):
         width = int(n.max()) + 1
         key = g * width + n
         head = np.searchsorted(key, g * width + -(-num * n.astype(np.int64) // den))
-        pairs = [(row[:-1], row[1:])] if len(row) > 1 else []
+        # heads do for short columns; in some of the long ones neighbours are tried as well
+        some = (np.bincount(g)[g] > NEIGHBOURS) & (tok % 4 == 0)
+        pairs = [(row[:-1][some[1:]], row[1:][some[1:]])]
         pairs.append((head, row))
         i, j = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
         ok = (g[i] == g[j]) & (i != j) & (ids[i] != ids[j])
