@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as Unicode has it.
 WS = r"[\t-\r \x1c-\x1f\x85\p{Z}]"
@@ -18,14 +19,18 @@ def strip(s: Column) -> Column:
     return F.regexp_replace(s, rf"^{WS}+|{WS}+$", "")
 
 
-@F.pandas_udf("string")
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+def _nfc(s: Column) -> Column:
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
 
+    return F.pandas_udf(run, T.StringType())(s)
 
-@F.pandas_udf("string")
-def _ascii_fold(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKD", x.lower()).encode("ascii", "ignore").decode(), na_action="ignore")
+
+def _ascii_fold(s: Column) -> Column:
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: unicodedata.normalize("NFKD", v.lower()).encode("ascii", "ignore").decode(), na_action="ignore")
+
+    return F.pandas_udf(run, T.StringType())(s)
 
 
 def fold(s: Column, ascii_only: bool = False) -> Column:

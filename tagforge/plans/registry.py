@@ -266,7 +266,11 @@ def synthetic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 # spans
 
 
-@query("SELECT doc_id, 0 AS ord, entity AS text, strpos(sentence, entity)::INTEGER - 1 AS start FROM ment WHERE pos = 0")
+@query("""
+, m AS (SELECT doc_id, sentence, substr(sentence, 1, strpos(sentence, entity) - 1) || '##' || entity || '##' || substr(sentence, strpos(sentence, entity) + length(entity)) AS r FROM ment WHERE pos = 0),
+x AS (SELECT doc_id, sentence, unnest(regexp_extract_all(r, '##(.*?)##', 1)) AS text FROM m)
+SELECT doc_id, 0 AS ord, text, (strpos(sentence, text) - 1)::INTEGER AS start FROM x WHERE strpos(sentence, text) > 0 OR text = ''
+""")
 def span_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = views.responses(spark, sf_dir).where("ord = 0")
     return r.select("doc_id", "ord", F.explode(spans.extract(F.col("query"), F.col("response"))).alias("s")).select("doc_id", "ord", "s.text", "s.start")
@@ -362,7 +366,8 @@ h AS (SELECT *, {u('g', 'merge')} < (SELECT CASE WHEN cohesion_score < 0.04 THEN
 rel AS (SELECT n.name AS category, list_distinct(list_concat(list_concat(coalesce(CASE WHEN coalesce(p.parent, n.name) = n.name THEN (SELECT list(name) FROM firsts) ELSE k.children END, []), coalesce(c.children, [])), CASE WHEN p.parent IS NULL THEN [] ELSE [p.parent] END)) AS r
    FROM nodes n LEFT JOIN par p USING (name) LEFT JOIN kids k ON k.parent = p.parent LEFT JOIN kids c ON c.parent = n.name),
 t AS (SELECT h.*, list_prepend(second, (SELECT coalesce(list(x ORDER BY NOT list_contains(r, x), md5('42|' || g || '|type|' || x)), [])[1:2] FROM (SELECT unnest(others) AS x))) AS types FROM h JOIN rel ON category = second WHERE hit),
-k AS (SELECT t.*, list_distinct(list_concat(list_filter(o1, lambda o: NOT list_contains((SELECT list(coalesce(p.parent, y)) FROM (SELECT unnest(types) AS y) LEFT JOIN par p ON p.name = y), o)), types)) AS al FROM t),
+up AS (SELECT row_id, list(coalesce(p.parent, y)) AS ups FROM (SELECT row_id, unnest(types) AS y FROM t) LEFT JOIN par p ON p.name = y GROUP BY row_id),
+k AS (SELECT t.*, list_distinct(list_concat(list_filter(o1, lambda o: NOT list_contains(ups, o)), types)) AS al FROM t JOIN up USING (row_id)),
 pr AS (SELECT row_id, y, coalesce(p.parent, y) AS p FROM (SELECT row_id, unnest(al) AS y FROM k) LEFT JOIN par p ON p.name = y),
 f AS (SELECT row_id, string_agg(y, '|' ORDER BY y) AS options FROM pr a WHERE NOT EXISTS (SELECT 1 FROM pr b WHERE b.row_id = a.row_id AND b.y <> a.y AND b.p = a.y) GROUP BY row_id)
 SELECT k.row_id, f.options, k.second AS answer FROM k JOIN f USING (row_id)
@@ -421,9 +426,9 @@ def dyn_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 y AS (SELECT x.*, CASE s WHEN 1 THEN coalesce(l.l2, answer) WHEN 2 THEN coalesce(syn.synonym, answer) WHEN 4 THEN CASE WHEN {u('row_id', 'catch')} < 0.5 THEN 'miscellaneous' ELSE 'other' END ELSE answer END AS new
    FROM x LEFT JOIN leaf l ON l.l3 = answer LEFT JOIN syn ON syn.name = answer),
 z AS (SELECT *, list_transform(o, lambda v: CASE WHEN v = answer THEN new ELSE v END) AS o2 FROM y),
-w AS (SELECT *, list_position(o2, new) AS at, (2 + floor({u('row_id', 'fewer')} * (len(o2) - 2)))::INTEGER - 1 AS take FROM z),
-r AS (SELECT *, {sort_by('list_concat(o2[1:at - 1], o2[at + 1:])', 'row_id', 'some')}[1:take] AS some FROM w)
-SELECT row_id, array_to_string(CASE WHEN s = 3 AND len(o2) > 3 AND at > 0 THEN {sort_by('list_prepend(new, some)', 'row_id', 'mix')} ELSE o2 END, '|') AS options, new AS answer FROM r
+w AS (SELECT *, list_position(o2, new) AS place, (2 + floor({u('row_id', 'fewer')} * (len(o2) - 2)))::INTEGER - 1 AS take FROM z),
+r AS (SELECT *, {sort_by('list_concat(o2[1:(place - 1)], o2[(place + 1):])', 'row_id', 'some')}[1:take] AS chosen FROM w)
+SELECT row_id, array_to_string(CASE WHEN s = 3 AND len(o2) > 3 AND place > 0 THEN {sort_by('list_prepend(new, chosen)', 'row_id', 'mix')} ELSE o2 END, '|') AS options, new AS answer FROM r
 """)
 def true_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = views.options(spark, sf_dir).select("row_id", F.col("prompt").alias("query"), F.col("answer").alias("response"))
