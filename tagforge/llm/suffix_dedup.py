@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, byte_column, mixed, partitions, semi_by_id, signed, table, written
+from .common import byte_column, mixed, partitions, semi_by_id, signed, table, written
 
 LENGTH = 200
 GRAM = 48
@@ -327,7 +327,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
     # copies of a text give equal rows: a place counts once
     met = anchors.groupBy("a").agg(F.count("*").alias("k"), F.min(F.struct("d", "at")).alias("lo"), F.max(F.struct("d", "at")).alias("hi")).where("k > 1 and lo <> hi").select("a")
     met = written(met, "met")
-    again = written(semi_by_id(anchors, met, "a", met.count()).distinct(), "again")
+    again = written(semi_by_id(anchors, met, "a").distinct(), "again")
     spans = again.groupBy("a", "s").agg(F.count("*").alias("c"), F.min(F.struct("d", "at")).alias("w"))
     per_anchor = spans.groupBy("a").agg(F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("open"), F.count("*").alias("classes"))
     spans = spans.join(per_anchor.where("classes > 1 or open = 0"), "a")
@@ -337,11 +337,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
     marked = again.join(spans, ["a", "s"]).select("d", "at", state.cast("int").alias("state"))
     states = marked.groupBy("d").agg(F.collect_list(F.struct("at", "state")).alias("x")).select("d", F.col("x.at").alias("at"), F.col("x.state").alias("state"))
     states = written(states.join(texts.select("d", "rep"), "d"), "states")
-    n_states = states.count()
 
-    small = n_states <= BROADCAST_ROWS and (states.agg(F.sum(F.size("at"))).first()[0] or 0) <= 20 * BROADCAST_ROWS
-    side = F.broadcast(states) if small else states.hint("merge")
-    chosen = rows.join(side, (rows["d"] == states["d"]) & rows["doc_id"].eqNullSafe(states["rep"])).select(rows["d"], "text", "at", "state")
+    chosen = rows.join(states.hint("merge"), (rows["d"] == states["d"]) & rows["doc_id"].eqNullSafe(states["rep"])).select(rows["d"], "text", "at", "state")
     parts = written(chosen.mapInArrow(_pieces(length), "kind byte, d long, s long, e long, a long, h long, bytes binary"), "spans")
     to_sort = parts.where("kind in (1, 2)").dropDuplicates(["d", "s"])
     size = parts.where("kind in (1, 2)").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
@@ -359,11 +356,9 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, kept (binary), n_bytes, n_removed, n_spans of every row of docs."""
     rows, runs = repeats(docs, length)
-    n = runs.count()
-    small = n <= BROADCAST_ROWS and (runs.agg(F.sum(F.size("starts"))).first()[0] or 0) <= 10 * BROADCAST_ROWS
     data = F.col("text").cast("binary")
     size = F.octet_length("text").cast("long")
-    got = rows.join(F.broadcast(runs) if small else runs.hint("merge"), "d", "left")
+    got = rows.join(runs.hint("merge"), "d", "left")
     # what is kept lies before the first run, between runs and after the last
     gaps = F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), "ends").alias("s"), F.concat("starts", F.array(size)).alias("e"))
     kept = F.aggregate(gaps, F.lit(b""), lambda acc, g: F.concat(acc, F.substring(data, g["s"].cast("int") + 1, (g["e"] - g["s"]).cast("int"))))
