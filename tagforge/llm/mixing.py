@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, row_key, table, written
+from .common import row_key, table, written
 
 SPACE = " \t\n\x0b\x0c\r"
 SEED = 42
@@ -109,10 +109,9 @@ def mixed_rows(docs: DataFrame, quality: DataFrame | None = None, **how) -> Data
     got = mix(docs.select(i.alias("doc_id"), "source", "text", h), quality, keep=("h",), **how)
     # rows of one doc_id and text have one size and nearly always one decision; the first of them is taken for all
     got = written(got.where("taken > 0").groupBy("doc_id", "h", "source_size").agg(F.first("size").alias("size"), F.max("taken").alias("taken")).drop("source_size"), "taken")
-    n = got.count()
     rows = docs.select(i, h, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     got = got.select(F.col("doc_id").alias("gi"), F.col("h").alias("gh"), "size", "taken")
-    rows = rows.join(F.broadcast(got) if n <= BROADCAST_ROWS else got.hint("merge"), rows["i"].eqNullSafe(got["gi"]) & (rows["h"] == got["gh"]))
+    rows = rows.join(got.hint("merge"), rows["i"].eqNullSafe(got["gi"]) & (rows["h"] == got["gh"]))
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")).cast("long"))).alias("copy")
     rows = rows.select("row", "size", "taken", copy).withColumn("words", F.least("size", F.col("taken") - (F.col("copy") - 1) * F.col("size")))
     cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)), 1, F.col("words").cast("int")), " ")
