@@ -36,7 +36,7 @@ def evaluate(rows: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     running = F.aggregate(F.array_sort(ns), F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("all")), lambda s, n: F.struct((s["run"] + n).alias("run"), (s["all"] + s["run"] + n).alias("all")), lambda s: s["all"])
     mean = total / k
     return g.select(
-        F.when(total < 2, 0.0).otherwise(F.coalesce(F.col("close"), F.lit(0.0)) / pairs(total)).alias(NAMES[0]),
+        F.when(F.coalesce(total, F.lit(0.0)) < 2, 0.0).otherwise(F.coalesce(F.col("close"), F.lit(0.0)) / pairs(total)).alias(NAMES[0]),
         F.when(k <= 1, 0.0).otherwise(-sum_of(lambda n: n / total * F.log2(n / total)) / F.log2(k)).alias(NAMES[1]),
         F.when(k < 1, 0.0).otherwise((k + 1 - 2 * running / total) / k).alias(NAMES[2]),
         F.when(k < 1, 0.0).otherwise(F.sqrt(sum_of(lambda n: (n - mean) * (n - mean)) / k) / mean).alias(NAMES[3]),

@@ -120,9 +120,10 @@ def normalised_rows(rows: DataFrame) -> DataFrame:
 
     def part(flat: str, role: str) -> Column:
         tries = [F.col(flat)] if flat in cols else []
-        for c, who, value in (("messages", "role", "content"), ("conversations", "from", "value")):
-            if c in cols:
-                tries.append(F.try_element_at(F.filter(c, lambda m, who=who: m[who] == role), F.lit(-1)).getField(value))
+        if "messages" in cols:
+            tries.append(F.try_element_at(F.filter("messages", lambda m: m["role"] == role), F.lit(-1)).getField("content"))
+        if "conversations" in cols:
+            tries.append(F.try_element_at(F.filter("conversations", lambda m: m["from"] == role), F.lit(-1)).getField("value"))
         return F.coalesce(*tries) if tries else F.lit(None).cast("string")
 
     return rows.withColumn("query", part("query", "user")).withColumn("response", part("response", "assistant")).where("query <> '' and response <> ''")

@@ -98,7 +98,7 @@ def write_base(rows: DataFrame, path: str) -> None:
 
 def write_audit(sample: DataFrame, path: str) -> None:
     """The sheet for annotators: numbered rows with two blank columns."""
-    sample.select("id", "split", "sentence", "entity", F.col("category").alias("category_llm"), F.lit("").alias("corretto (S/N)"), F.lit("").alias("note")).write.mode("overwrite").option("header", True).csv(path)
+    sample.select("id", "split", "sentence", "entity", F.col("category").alias("category_llm"), F.lit("").alias("corretto (S/N)"), F.lit("").alias("note")).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
