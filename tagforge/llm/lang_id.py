@@ -26,6 +26,7 @@ DIM = 512
 SEED = 7
 SLOTS = 64
 PER_LANGUAGE = 1500
+PARTS = 64
 UNKNOWN = "und"
 #: Languages of a model at most; it is sent to all tasks. More are an error, not a cut.
 LANGUAGES = 2000
@@ -106,8 +107,12 @@ def profiles(dim: int, seed: int) -> Profiles:
 
 def train(labelled: DataFrame, dim: int = DIM, seed: int = SEED, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """(languages, prototypes of length 1) from (doc_id, text, lang), bounded by per_language rows of each language."""
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = written(labelled.where("lang is not null and doc_id is not null").select("doc_id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("doc_id"), "sample")
+    # a language with most rows is ranked in PARTS parts first
+    h = F.xxhash64("doc_id")
+    rows = labelled.where("lang is not null and doc_id is not null").select("doc_id", "lang", h.alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)).alias("part"))
+    for by in (["lang", "part"], ["lang"]):
+        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("r") <= per_language)
+    ids = written(rows.select("doc_id"), "sample")
     sample = semi_by_id(labelled.where("lang is not null").select("doc_id", "text", "lang"), ids.distinct(), "doc_id", ids.count())
 
     def sums(it):

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, table, written
+from .common import BROADCAST_ROWS, row_key, table, written
 
 SPACE = " \t\n\x0b\x0c\r"
 SEED = 42
@@ -83,7 +83,9 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, share: float = 1.5, m
         F.ceil(F.col("docs") / IN_BIN).cast("long").alias("bins"),
     ).withColumn("rest", F.floor(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"))
     plan = written(plan, "mix-plan")
-    r = rows.join(plan, rows["source"].eqNullSafe(plan["src"])).drop("src")
+    few = plan.count() <= BROADCAST_ROWS  # a row for each source; many sources are joined by shuffle
+    side = lambda t: F.broadcast(t) if few else t
+    r = rows.join(side(plan), rows["source"].eqNullSafe(plan["src"])).drop("src")
     key = -F.log(uniform(seed, F.col("doc_id"))) / F.coalesce("weight", F.lit(1.0))
     # exp(-key) falls evenly into bins for weight 1 and keeps the order of keys
     r = r.withColumn("key", key).withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * F.col("bins")).cast("long"))
@@ -91,7 +93,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, share: float = 1.5, m
     run = Window.partitionBy("source").orderBy("bin")
     per_bin = per_bin.withColumn("before", F.sum("in_bin").over(run) - F.col("in_bin"))
     edges = per_bin.where((F.col("before") < F.col("budget")) & (F.col("before") + F.col("in_bin") > F.col("budget"))).select(F.col("source").alias("s"), F.col("bin").alias("edge"), "before")
-    r = r.join(edges, r["source"].eqNullSafe(edges["s"]), "left").drop("s")
+    r = r.join(side(edges), r["source"].eqNullSafe(edges["s"]), "left").drop("s")
     inner = r.where((F.col("bin") == F.col("edge")) & (F.col("rest") > 0))
     order = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size")
     inner = inner.withColumn("at", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
