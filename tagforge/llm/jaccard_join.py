@@ -261,7 +261,8 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: in
     """Those of the pairs (a, b, na, nb) that link, by their whole sets. Only texts of documents in a pair are split again."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps, "id"), tag + "-ids")
     chosen = semi_by_id(docs, ids.select("doc_id").distinct(), "doc_id")
-    sets = written(chosen.mapInArrow(_sets(k), "id long, s array<long>").dropDuplicates(["id"]), tag + "-sets")
+    # a set may come twice, of rows that repeat a doc_id; links are made distinct later
+    sets = written(chosen.mapInArrow(_sets(k), "id long, s array<long>"), tag + "-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
     return both.withColumn("o", inter).where(F.col("o") * den >= (F.col("na") + F.col("nb") - F.col("o")) * num).select("a", "b")
