@@ -34,12 +34,13 @@ from .common import batches, partitions, table, written
 #: Bytes of text in a block, about, and of words in a hash range of the corpus.
 BLOCK_BYTES = 16 << 20
 RANGE_ROWS = 8192
+LEVEL = 9
 #: White space as the tokenizer's regular expressions have it; Python's also has 1C to 1F (hex).
 WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: Texts of these characters alone are already composed, and lower() goes by single characters.
 PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-įı-ɏ]*")
 
-SPLIT = pa.schema([("block", pa.int64()), ("range", pa.int32()), ("words", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("codes", pa.binary()), ("at", pa.binary())])
+SPLIT = pa.schema([("block", pa.int64()), ("range", pa.int32()), ("words", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("codes", pa.list_(pa.binary())), ("counts", pa.binary())])
 CODED = pa.schema([("block", pa.int64()), ("range", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())])
 IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
@@ -85,10 +86,14 @@ def encode_words(words: list[str], path: str) -> list[list[int]]:
     return out
 
 
+def squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=LEVEL).compress(data)
+
+
 def packed(a: np.ndarray) -> bytes:
     """Whole numbers below 2^32, byte by byte of their places, compressed."""
     planes = np.ascontiguousarray(a, np.uint32).view(np.uint8).reshape(-1, 4)
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes.T).tobytes())
+    return squeezed(np.ascontiguousarray(planes.T).tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -96,6 +101,31 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1)
 
 
+def coded(ranks: np.ndarray) -> list[bytes]:
+    """Positions of words, frequent ones first: a byte for the first 255, two for most others, four for the rest, each in its own stream."""
+    more = ranks[ranks >= 255] - np.uint32(255)
+    high = more >> np.uint32(8)
+    rest = high[high >= 255] - np.uint32(255)
+    if len(rest) and int(rest.max()) >= 1 << 16:
+        raise ValueError("too many words in a block")
+    return [squeezed(x.astype(np.uint8).tobytes()) for x in (np.minimum(ranks, 255), np.minimum(high, 255), more & np.uint32(255), rest & np.uint32(255), rest >> np.uint32(8))]
+
+
+def uncoded(streams: list[bytes]) -> np.ndarray:
+    a, high, low, rest, top = (np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).astype(np.uint32) for x in streams)
+    high[high == 255] = 255 + (rest | top << np.uint32(8))
+    a[a == 255] = 255 + (high << np.uint32(8) | low)
+    return a
+
+
+def positions(counts: np.ndarray) -> np.ndarray:
+    """The position of each word of a block, words being in order of (range, word): frequent ones first, else in that order."""
+    often = np.argsort(-counts.astype(np.int64), kind="stable")
+    at = np.empty(len(counts), np.uint32)
+    at[often] = np.arange(len(counts))
+    return at
+
+
 def _block(texts: list, doc_ids: list, block: int, ranges: int, path: str):
     """A row for each hash range with its words in order, and one with the documents as positions in the block's words, frequent ones first."""
     place: dict[str, int] = {}
@@ -107,19 +137,19 @@ def _block(texts: list, doc_ids: list, block: int, ranges: int, path: str):
             place[w] = len(place)
         codes.append(np.fromiter(map(place.__getitem__, words), np.uint32, len(words)))
     flat, words = np.concatenate(codes), list(place)
-    often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-    rank = np.empty(len(words), np.uint32)
-    rank[often] = np.arange(len(words))
     of = [xxhash.xxh3_64_intdigest(w) % ranges for w in words]
     order = sorted(range(len(words)), key=lambda i: (of[i], words[i]))
+    counts = np.bincount(flat, minlength=len(words))[np.array(order, np.int64)]
+    rank = np.empty(len(words), np.uint32)
+    rank[np.array(order, np.int64)] = positions(counts)
     ends = np.searchsorted(np.array(of, np.int64)[order], np.arange(ranges + 1)) if words else np.zeros(ranges + 1, np.int64)
     rows = {k: [] for k in SPLIT.names}
     for r in range(ranges):
         mine = "\n".join([words[i] for i in order[ends[r] : ends[r + 1]]])
         if mine:
-            for k, v in zip(SPLIT.names, (block, r, zstandard.ZstdCompressor(level=3).compress(mine.encode()), None, None, None, None), strict=True):
+            for k, v in zip(SPLIT.names, (block, r, squeezed(mine.encode()), None, None, None, None), strict=True):
                 rows[k].append(v)
-    for k, v in zip(SPLIT.names, (block, None, None, doc_ids, packed(np.array(sizes)), packed(rank[flat]), packed(rank[np.array(order, np.int64)])), strict=True):
+    for k, v in zip(SPLIT.names, (block, None, None, doc_ids, packed(np.array(sizes)), coded(rank[flat]), packed(counts)), strict=True):
         rows[k].append(v)
     return pa.RecordBatch.from_pydict(rows, schema=SPLIT)
 
@@ -180,7 +210,8 @@ def _assemble(key, docs, coded):
     if not docs.num_rows:
         return IDS.empty_table()
     coded = coded.sort_by("range")
-    at, codes, words = (unpacked(docs.column(k)[0].as_py()) for k in ("at", "codes", "sizes"))
+    counts, words = (unpacked(docs.column(k)[0].as_py()) for k in ("counts", "sizes"))
+    at, codes = positions(counts), uncoded(docs.column("codes")[0].as_py())
     each = [unpacked(x) for x in coded.column("sizes").to_pylist()]
     in_order = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
     parts = [unpacked(x) for x in coded.column("ids").to_pylist()]
@@ -202,9 +233,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) of every row, as the tokenizers library encodes its text without adding special tokens."""
     ranges = partitions(docs.sparkSession, docs.count(), RANGE_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    t = written(rows.mapInArrow(_splitter(ranges, path), "block long, range int, words binary, doc_ids array<long>, sizes binary, codes binary, at binary"), "words")
+    t = written(rows.mapInArrow(_splitter(ranges, path), "block long, range int, words binary, doc_ids array<long>, sizes binary, codes array<binary>, counts binary"), "words")
     coded = t.where("range is not null").select("block", "range", "words").groupBy("range").applyInArrow(_encoder(path), "block long, range int, sizes binary, ids binary")
-    blocks = t.where("range is null").select("block", "doc_ids", "sizes", "codes", "at")
+    blocks = t.where("range is null").select("block", "doc_ids", "sizes", "codes", "counts")
     return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
 
 

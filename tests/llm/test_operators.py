@@ -228,6 +228,8 @@ def test_bpe_words(spark):
 def test_packing_round_trip():
     for a in (np.array([], np.uint32), np.array([0, 1, 2**32 - 1, 70000], np.uint32), np.arange(1000, dtype=np.uint32)):
         assert (bpe_words.unpacked(bpe_words.packed(a)) == a).all()
+    for a in (np.array([], np.uint32), np.array([0, 254, 255, 256, 510, 511, 65534, 65535, 65536, 1 << 20, (1 << 24) - 1], np.uint32), np.arange(70_000, dtype=np.uint32)):
+        assert (bpe_words.uncoded(bpe_words.coded(a)) == a).all()
 
 
 def plain_repeats(docs, length=200):
