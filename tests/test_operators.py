@@ -363,8 +363,8 @@ def test_files(spark, tmp_path):
         put(f"{s}.jsonl", "{}\n\n{}\n")
     assert corpus.copy_splits(spark, f"file://{tmp_path}", f"file://{tmp_path}/copy") == {"train": 2, "dev": 2, "test": 2}
     assert one(corpus.rename_splits(spark.createDataFrame([("validation",)], "split string"))).split == "dev"
-    blocks = spark.createDataFrame([(0, "x" * 30), (7, "Gazzetta " + "y" * 50), (7, "z" * 50), (20, "w" * 50)], "page int, block string")
-    assert corpus.blocks(blocks, "gazzetta", 40, 6, 10).count() == 1
+    blocks = spark.createDataFrame([(0, "x" * 30), (7, "Header " + "y" * 50), (7, "z" * 50), (20, "w" * 50)], "page int, block string")
+    assert corpus.blocks(blocks, "header", 40, 6, 10).count() == 1
 
 
 def test_streams(spark, tmp_path):
