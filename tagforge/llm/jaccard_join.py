@@ -11,8 +11,8 @@ n-grams):
   neighbours in size. Pairs are checked on their whole sets; links give components. A group of near copies
   becomes one component here from a few pairs a row.
 * Second product, whole: in each column all pairs of rows of different components within the size
-  bound; counts are added up over the blocks, and a pair is dropped when its count plus what lies
-  beyond the columns stays below the overlap that its sizes ask for. The rest is checked on whole sets. So no
+  bound, as far as their places in both sets leave room for the overlap that the sizes ask for; counts are added up
+  over the blocks, and a pair with fewer than COMMON is dropped. The rest is checked on whole sets. So no
   link between different components is lost, and links inside one would change nothing.
 
 A column that very many rows share is dealt to sub-blocks by row; delegates of these meet in the first
@@ -47,6 +47,8 @@ SPLIT_AT = 14
 PAIRS = 2_000_000
 #: Rows of a column in which neighbours in size are tried too.
 NEIGHBOURS = 8
+#: n-grams that a pair must have in common at the beginning of both sets, where their sizes allow it.
+COMMON = 3
 
 FIRST = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("h", pa.int64())])
 POSTING = pa.schema([("tok", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
@@ -233,8 +235,10 @@ def _whole(num: int, den: int):
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
                 ok = (root[i] != root[j]) & (~across[i] | (salt[i] != salt[j]))
                 i, j = i[ok], j[ok]
-                most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-                ok = most >= _least_overlap(n[i], n[j], num, den)
+                # of a linked pair, the first n - overlap + m n-grams of each have m in common
+                need = _least_overlap(n[i], n[j], num, den)
+                m = np.minimum(COMMON, need + 1 + np.minimum(-num * n[i].astype(np.int64) // den, -num * n[j].astype(np.int64) // den))
+                ok = (pos[i] < n[i] - need + m) & (pos[j] < n[j] - need + m)
                 found.append((ids[i[ok]], ids[j[ok]], n[i[ok]], n[j[ok]]))
                 at = to
         parts = [np.concatenate(p) for p in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
@@ -300,8 +304,10 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     tile = F.pmod(F.xxhash64("tok", "i", "j"), F.lit(blocks)).alias("block")
     far = alone.unionByName(tiles).select("tok", "i", "j", "salt", "id", "n", "pos", "root", tile).groupBy("block").applyInArrow(_whole(num, den), pair_ddl)
     far = far.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
-    beyond = lambda n: F.ceil(F.col(n) * num / den) - 1
-    far = far.where(F.col("c") + F.greatest(beyond("na"), beyond("nb")) >= F.ceil((F.col("na") + F.col("nb")) * num / F.lit(den + num)))
+    up = lambda x, d: -F.floor(-x / F.lit(d))
+    need = up((F.col("na") + F.col("nb")) * num, den + num)
+    least = F.least(F.lit(COMMON), *[need + 1 - up(F.col(n) * num, den) for n in ("na", "nb")])
+    far = far.where(F.col("c") >= least)
     far = written(far, "far")
     more = verified(far, docs, reps, k, num, den, "far")
     roots = components(links.union(more))
