@@ -139,14 +139,47 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
+def _forest(it):
+    """Edges of a spanning forest, for each FOREST edges that come by."""
+
+    def out(root):
+        rows = [(k, find(root, k)) for k in root]
+        a, b = ([r[i] for r in rows if r[0] != r[1]] for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def find(root, x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    root, seen = {}, 0
+    for batch in it:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = find(root, root.setdefault(a, a)), find(root, root.setdefault(b, b))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        seen += batch.num_rows
+        if seen >= FOREST:
+            yield out(root)
+            root, seen = {}, 0
+    yield out(root)
+
+
+#: Edges that a task turns into a spanning forest at once.
+FOREST = 200_000
+
+
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(a, root) for every node of edges (a, b): root is the smallest id of its component.
 
     Large-star and small-star rounds; each round's edges are a written table, so nothing is
-    collected and a lost executor costs one round. A node's neighbours are never gathered in one
+    collected and a lost executor costs one round. First each FOREST edges give way to a spanning forest of theirs,
+    so that a dense component brings as many edges as nodes. A node's neighbours are never gathered in one
     row: the least of them is a map-side combined minimum, joined back (AQE splits a hot node).
     """
-    e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), tag)
+    e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), tag)
+    e = written(e.coalesce(max(1, e.count() // FOREST)).mapInArrow(_forest, "a long, b long").distinct(), tag)
     seen = _fingerprint(e)
     while seen[0]:
         both = e.union(e.select("b", "a"))

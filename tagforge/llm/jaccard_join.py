@@ -292,7 +292,12 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     # of a column in sub-blocks, every 64th row (by name) of each also meets the others' in one list
     delegates = shared.where("salts > 1 and pmod(xxhash64(id), salts * 64) < 64").withColumn("salt", F.lit(-1))
     near = shared.union(delegates).select("*", block).groupBy("block").applyInArrow(_sparse(num, den), pair_ddl)
-    near = written(near.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb")), "near")
+    up = lambda x, d: -F.floor(-x / F.lit(d))
+    need = up((F.col("na") + F.col("nb")) * num, den + num)
+    enough = F.col("c") >= F.least(F.lit(COMMON), *[need + 1 - up(F.col(n) * num, den) for n in ("na", "nb")])
+    sums = [F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c")]
+    # a pair met in fewer columns is left to the second product
+    near = written(near.groupBy("a", "b").agg(*sums).where(enough).drop("c"), "near")
     links = written(verified(near, docs, reps, k, num, den, "near"), "links")
     roots = components(links)
 
@@ -303,12 +308,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     alone = rows.where("salts = 1").withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
     tile = F.pmod(F.xxhash64("tok", "i", "j"), F.lit(blocks)).alias("block")
     far = alone.unionByName(tiles).select("tok", "i", "j", "salt", "id", "n", "pos", "root", tile).groupBy("block").applyInArrow(_whole(num, den), pair_ddl)
-    far = far.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c"))
-    up = lambda x, d: -F.floor(-x / F.lit(d))
-    need = up((F.col("na") + F.col("nb")) * num, den + num)
-    least = F.least(F.lit(COMMON), *[need + 1 - up(F.col(n) * num, den) for n in ("na", "nb")])
-    far = far.where(F.col("c") >= least)
-    far = written(far, "far")
+    far = written(far.groupBy("a", "b").agg(*sums).where(enough), "far")
     more = verified(far, docs, reps, k, num, den, "far")
     roots = components(links.union(more))
 
