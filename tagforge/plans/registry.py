@@ -389,7 +389,7 @@ def dyn_synonym(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sort_by(items: str, row: str, slot: str) -> str:
     """An array in the order of its items' hashes, in SQL."""
-    return f"list_transform(list_sort(list_transform({items}, lambda v: {{'k': md5('42|' || {row} || '|{slot}|' || v), 'v': v}})), lambda s: s.v)"
+    return f"list_transform(list_sort(list_transform({items}, lambda v: {{'k': md5('42|' || {row} || '|{slot}|' || v), 'v': v}})), lambda kv: kv.v)"
 
 
 @query(LISTS + f""", x AS (SELECT *, len(o) > 3 AND {u('row_id', 'reduce')} < (SELECT CASE WHEN normalized_entropy < 0.8 THEN 0.24 ELSE 0.3 END FROM met) AS hit,
