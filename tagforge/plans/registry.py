@@ -144,6 +144,12 @@ def apostrophes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.read(spark, sf_dir, "documents").select("doc_id", F.substring(T.apostrophes(F.col("text")), 1, 200).alias("plain"))
 
 
+@query("SELECT doc_id, replace(replace(text, chr(8217), ''''), '`', '''') AS plain FROM documents", plain=True)
+def apostrophes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, where apostrophes has the first 200 characters that its SQL names."""
+    return views.read(spark, sf_dir, "documents").select("doc_id", T.apostrophes(F.col("text")).alias("plain"))
+
+
 @query("SELECT doc_id, regexp_replace(regexp_replace(lower(trim(entity)), '\\s+', ' ', 'g'), '^[.]+|[.]+$', '', 'g') AS form, count(*) AS n FROM ment GROUP BY ALL")
 def synonym_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.mentions(spark, sf_dir).select("doc_id", T.synonym_form(F.col("entity")).alias("form")).groupBy("doc_id", "form").agg(F.count("*").alias("n"))

@@ -41,3 +41,10 @@ def test_without_the_training_data_folder(tmp_path):
     shutil.rmtree(tmp_path / "tagforge/llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'metric_all' in q and not any(n.startswith('op1') for n in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_apostrophes_of_whole_texts(spark, tmp_path):
+    head = "x" * 250
+    spark.createDataFrame([(1, head + "l’e\u0301cole `a"), (2, None), (3, "d’")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.plain for r in QUERIES["apostrophes_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: head + "l'école 'a", 2: None, 3: "d'"}
