@@ -612,3 +612,27 @@ def named_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.sentences(spark, sf_dir)
     reference = s.where("doc_id % 2 = 0").select("sentence", F.concat(F.lit("ref"), F.col("doc_id").cast("string")).alias("id"), F.col("doc_id").alias("ord"))
     return cascade.named(s.select(F.col("sentence").alias("query")).distinct(), reference).select(F.md5("query").alias("query"), "id")
+
+
+# whole documents: the queries over the views once more, with every sentence and mention. Their SQL has the views' caps, so these have none
+
+
+@query()
+def sentences_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document and place of each sentence's number, which is doc_id in the queries below."""
+    return views.all_sentences(spark, sf_dir)
+
+
+OVER_VIEWS = (
+    "mark_first", "synonym_forms", "bio_encode", "bio_decode", "io_decode", "label_leaves", "stage2_answers", "stage2_prompts", "stage1_mark", "base_build", "base_reject_reasons", "synthetic_filter", "span_extract", "span_merge",
+    "category_freq", "metric_cohesion_proxy", "metric_entropy", "metric_gini", "metric_cv", "metric_all", "health_score", "dyn_merge", "dyn_synonym", "dyn_reduce", "dyn_special", "dyn_pipeline", "true_random", "sample_missing",
+    "coverage_counts", "coverage_unknown", "coverage_summary", "coverage_missing_by_parent", "coverage_thin", "answer_in_options", "prune_rows", "gap_batches", "prf_entity", "prf_entity_category", "prf_strict",
+    "count_compare_by_index", "count_compare_by_text", "cascade_classify", "cascade_predictions", "named_sentences",
+)
+
+
+def whole(f):
+    return lambda spark, sf_dir: f(spark, views.Whole(sf_dir))
+
+
+QUERIES |= {f"{name}_whole": whole(QUERIES[name]) for name in OVER_VIEWS}

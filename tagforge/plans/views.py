@@ -7,25 +7,42 @@ from pyspark.sql import functions as F
 
 from tagforge.functions import text as T
 from tagforge.operators import bio, prompts
+from tagforge.operators.numbering import numbered
 from tagforge.operators.taxonomy import Taxonomy
 
 LEAVES = 155
 
 
+class Whole(str):
+    """A folder whose views have every sentence and every mention; doc_id and ord are then the sentence's number.
+
+    The plain views stop at a document's first sentence and its first three mentions, as FIXTURES.md and the SQL have them.
+    """
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def all_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(number, doc_id, n, sentence): every long sentence, numbered from 0 by document and place."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(T.clean(F.col("text")))).alias("n", "sentence"))
+    return numbered(d, "doc_id", "n", "sentence", name="number").select("number", "doc_id", "n", "sentence")
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, sentence): the first long sentence of each document."""
+    """(doc_id, sentence): the first long sentence of each document; of a Whole folder (number, sentence) of all."""
+    if isinstance(sf_dir, Whole):
+        return all_sentences(spark, sf_dir).select(F.col("number").alias("doc_id"), "sentence")
     d = read(spark, sf_dir, "documents").select("doc_id", T.sentences(T.clean(F.col("text"))).alias("s"))
     return d.select("doc_id", F.get("s", F.lit(0)).alias("sentence")).where("sentence is not null")
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, sentence, pos, entity, l1, l2, l3): the first three long words, with a leaf each."""
+    """(doc_id, sentence, pos, entity, l1, l2, l3): the first three long words (of a Whole folder all), with a leaf each."""
     s = sentences(spark, sf_dir)
-    found = F.slice(F.regexp_extract_all("sentence", F.lit(r"[\p{L}]{6,}"), F.lit(0)), 1, 3)
+    found = F.regexp_extract_all("sentence", F.lit(r"[\p{L}]{6,}"), F.lit(0))
+    found = found if isinstance(sf_dir, Whole) else F.slice(found, 1, 3)
     m = s.select("doc_id", "sentence", F.posexplode(found).alias("pos", "entity"))
     i = F.pmod(F.col("doc_id") * F.col("doc_id") + 31 * F.col("pos"), F.lit(LEAVES)).cast("int")
     return m.withColumn("i", i).join(F.broadcast(Taxonomy.of().leaf_index(spark)), "i").select("doc_id", "sentence", F.col("pos").cast("int").alias("pos"), "entity", "l1", "l2", "l3", "i")
@@ -49,6 +66,8 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, ord, pos, level, prompt, answer, options): three rows for each mention."""
+    if isinstance(sf_dir, Whole):  # stage2's own row_id has room for any number of mentions
+        return prompts.stage2(base(spark, sf_dir), Taxonomy.of())
     return prompts.stage2(base(spark, sf_dir), Taxonomy.of()).withColumn("row_id", (F.col("ord") * 3 + F.col("pos")) * 3 + F.col("level") - 1)
 
 
