@@ -337,6 +337,23 @@ def test_chains_are_best():
         assert score(best) == pytest.approx(max(score(w) for p in parts for w in ways([p])))
 
 
+def test_chains_within_reach():
+    """With the operator's reach: a long match far before hides no near predecessor."""
+    far, near = (0, 0, 200), [(300, 300, 9), (312, 312, 9), (324, 325, 9), (336, 337, 9)]
+    assert chain_dedup.chains([far, *near]) == [[far], near]
+    r = random.Random(12)
+    for _ in range(200):
+        parts = sorted({(r.randrange(300), r.randrange(300), r.randrange(3, 60)) for _ in range(9)})
+        scores = [float(p[2]) for p in parts]
+        for i, (x, y, n) in enumerate(parts):
+            for j, (a, b, m) in enumerate(parts[:i]):
+                if 0 <= x - a - m <= chain_dedup.REACH and 0 <= y - b - m <= chain_dedup.REACH:
+                    scores[i] = max(scores[i], scores[j] + n - chain_dedup.GAP * (x - a - m + y - b - m))
+        best = chain_dedup.chains(parts)[0]
+        cost = sum(b[0] - a[0] - a[2] + b[1] - a[1] - a[2] for a, b in zip(best, best[1:], strict=False))
+        assert sum(p[2] for p in best) - chain_dedup.GAP * cost == pytest.approx(max(scores))
+
+
 def test_token_stream(spark):
     path, t = tokenizers_file("byte_bpe_50k.json")
     docs = texts() + [(80, prose(4000, 81)), (81, "a  b   c \n\n d\n \ne 'll it's don't é 漢字 \x1c x　y")]
