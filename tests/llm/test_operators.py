@@ -337,6 +337,18 @@ def test_chains_are_best():
         assert score(best) == pytest.approx(max(score(w) for p in parts for w in ways([p])))
 
 
+def test_chaining_of_passages_with_edits_throughout(spark):
+    """A word in every 8 is changed, so equal runs have 7 words; or a single run of 7 in the middle of edits."""
+    p = prose(96, 90).split()
+    every = [f"edit{i}" if i % 8 == 7 else w for i, w in enumerate(p)]
+    q = prose(45, 91).split()
+    one = [f"other{i}" if i in (3, 7, 11, 15, 26, 30, 34, 38) else w for i, w in enumerate(q)]
+    docs = [(1, f"{prose(60, 92)} {' '.join(p)} {prose(60, 93)}"), (2, f"{prose(70, 94)} {' '.join(every)} {prose(50, 95)}"), (3, f"{prose(60, 96)} {' '.join(q)}"), (4, f"{prose(50, 97)} {' '.join(one)} {prose(20, 98)}")]
+    got = {tuple(sorted((r.doc_id, r.source_id))): r for r in chain_dedup.passages(frame(spark, docs)).collect()}
+    assert set(got) == {(1, 2), (3, 4)}
+    assert got[1, 2].end - got[1, 2].start >= 90 and got[3, 4].end - got[3, 4].start >= 40
+
+
 def test_chains_within_reach():
     """With the operator's reach: a long match far before hides no near predecessor."""
     far, near = (0, 0, 200), [(300, 300, 9), (312, 312, 9), (324, 325, 9), (336, 337, 9)]
