@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -349,6 +350,26 @@ def test_chaining_of_passages_with_edits_throughout(spark):
     assert got[1, 2].end - got[1, 2].start >= 90 and got[3, 4].end - got[3, 4].start >= 40
 
 
+def test_chaining_of_passages_of_stock_phrases(spark):
+    """Every seed of a shared passage is also in other texts, whose names are the least and the greatest of the seed's places."""
+    p = prose(56, 110).split()
+    other = [(10 + i, f"{prose(30, 120 + i)} {' '.join(p[i % 49 : i % 49 + 8])} {prose(30, 320 + i)}") for i in range(147)]
+    q = [f"edit{i}" if i == 28 else w for i, w in enumerate(p)]
+    docs = [(1, f"{prose(40, 111)} {' '.join(p)} {prose(40, 112)}"), (2, f"{prose(50, 113)} {' '.join(q)} {prose(50, 114)}"), *other]
+    got = [r for r in chain_dedup.passages(frame(spark, docs)).collect() if {r.doc_id, r.source_id} == {1, 2}]
+    assert len(got) == 1 and got[0].end - got[0].start >= 56
+
+
+def test_links_of_frequent_seeds():
+    """A seed of many contexts: places amid the same words are linked, however many others there are."""
+    n = 200
+    around = np.arange(n, dtype=np.uint64)
+    around[150] = around[50]
+    tab = pa.table({"block": [0], "names": [np.arange(n, dtype=np.int64).tobytes()], "of": [np.arange(n, dtype=np.uint16).tobytes()], "at": [np.zeros(n, np.uint32).tobytes()], "seed": [np.zeros(n, np.uint64).tobytes()], "around": [around.tobytes()]})
+    got = {(r["d"], r["o"]) for r in chain_dedup._links(tab).to_pylist()}
+    assert got == {(i, 0) for i in range(1, n)} | {(i, n - 1) for i in range(1, n - 1)} | {(150, 50)}
+
+
 def test_chains_within_reach():
     """With the operator's reach: a long match far before hides no near predecessor."""
     far, near = (0, 0, 200), [(300, 300, 9), (312, 312, 9), (324, 325, 9), (336, 337, 9)]
