@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hashes, byte_column, components, partitions, row_key, semi_by_id, shingle_hashes, signed, table, without, word_hashes, written
+from .common import Hashes, byte_column, components, partitions, row_key, shingle_hashes, signed, table, without, word_hashes, written
 
 #: Entries of the table of shared n-grams at most, 9 bytes each in every worker.
 HEAVY = 1 << 20
@@ -264,8 +264,10 @@ def _sets(k: int):
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, tag: str) -> DataFrame:
     """Those of the pairs (a, b, na, nb) that link, by their whole sets. Only texts of documents in a pair are split again."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps, "id"), tag + "-ids")
-    chosen = semi_by_id(docs, ids.select("doc_id").distinct(), "doc_id")
-    # a set may come twice, of rows that repeat a doc_id; links are made distinct later
+    # ids may be null or repeated, so that a row is named by its text's hash too
+    named = ids.select(F.col("doc_id").alias("i"), F.col("h").alias("text_h")).distinct()
+    chosen = docs.join(named.hint("merge"), docs["doc_id"].eqNullSafe(named["i"]) & (docs["h"] == named["text_h"]), "left_semi")
+    # a set may come twice, of equal rows; links are made distinct later
     sets = written(chosen.mapInArrow(_sets(k), "id long, s array<long>"), tag + "-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
@@ -280,7 +282,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     docs = keyed.drop("h")
     first = written(keyed.mapInArrow(_signatures(k), "kind byte, a long, n long, id long, h long"), "signatures")
     sets = first.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), "id", "h")
-    reps = sets.where("n_shingles > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    reps = sets.where("n_shingles > 0").groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h")).alias("r")).select("id", "r.doc_id", "r.h")
     heavy = spark.sparkContext.broadcast(heavy_table(first.where("kind = 1")))
     total = sets.agg(F.sum(F.floor(F.col("n_shingles") * (den - num) / den) + 1)).first()[0] or 0
     blocks = partitions(spark, math.ceil(total), IN_BLOCK)
@@ -298,7 +300,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     sums = [F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("c").alias("c")]
     # a pair met in fewer columns is left to the second product
     near = written(near.groupBy("a", "b").agg(*sums).where(enough).drop("c"), "near")
-    links = written(verified(near, docs, reps, k, num, den, "near"), "links")
+    links = written(verified(near, keyed, reps, k, num, den, "near"), "links")
     roots = components(links)
 
     rows = shared.join(roots.withColumnRenamed("a", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -309,7 +311,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     tile = F.pmod(F.xxhash64("tok", "i", "j"), F.lit(blocks)).alias("block")
     far = alone.unionByName(tiles).select("tok", "i", "j", "salt", "id", "n", "pos", "root", tile).groupBy("block").applyInArrow(_whole(num, den), pair_ddl)
     far = written(far.groupBy("a", "b").agg(*sums).where(enough), "far")
-    more = verified(far, docs, reps, k, num, den, "far")
+    more = verified(far, keyed, reps, k, num, den, "far")
     roots = components(links.union(more))
 
     named = sets.join(roots.withColumnRenamed("a", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))

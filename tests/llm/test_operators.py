@@ -98,6 +98,18 @@ def test_jaccard_near_copies_of_one_text(spark):
     assert got == want
 
 
+def test_jaccard_through_a_null_id(spark):
+    """Documents 1 and 2 are linked only by the text between them, which has no id."""
+    w = prose(100, 400).split()
+    rows = [(i, " ".join(f"edit{j}" if j in edits else x for j, x in enumerate(w))) for i, edits in ((1, ()), (None, (0,)), (2, (0, 99)))]
+    rows += [(3, prose(90, 401)), (None, prose(90, 402)), (3, prose(90, 403))]
+    sets = [{tuple(x[i : i + 3]) for i in range(len(x) - 2)} for x in (t.split() for _, t in rows[:3])]
+    of = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert of(0, 1) >= 0.97 and of(1, 2) >= 0.97 > of(0, 2)
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.join(frame(spark, rows), 3, 97, 100).collect()}
+    assert (2, 1) in got and (None, 1) in got
+
+
 def test_sub_blocks_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SPLIT_AT", 1)
     test_jaccard_near_copies_of_one_text(spark)
@@ -360,6 +372,14 @@ def test_chaining_of_passages_of_stock_phrases(spark):
     assert len(got) == 1 and got[0].end - got[0].start >= 56
 
 
+def test_chaining_with_a_null_id(spark):
+    """A passage shared with a text without id, and one under an id that other texts have too."""
+    p, q = prose(60, 410), prose(60, 411)
+    docs = [(1, f"{prose(40, 412)} {p}"), (None, f"{prose(40, 413)} {p} {prose(40, 414)}"), (None, prose(50, 415)), (7, f"{q} {prose(40, 416)}"), (8, f"{prose(30, 417)} {q}"), *[(7, prose(200, 418 + i)) for i in range(6)]]
+    got = [{r.doc_id, r.source_id} for r in chain_dedup.passages(frame(spark, docs)).collect()]
+    assert {1, None} in got and {7, 8} in got and len(got) == 2
+
+
 def test_links_of_frequent_seeds():
     """A seed of many contexts: places amid the same words are linked, however many others there are."""
     n = 200
