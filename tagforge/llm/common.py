@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -50,14 +52,25 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(df: DataFrame) -> None:
-    """Deletes a table of written(), once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        if "/tagforge" in f:
-            p = jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def remove(*tables: DataFrame) -> None:
+    """Deletes tables of written(), once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            if "/tagforge" in f:
+                p = jvm.org.apache.hadoop.fs.Path(f)
+                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release() -> None:
+    """Gives freed memory back to the system, as Python workers stay for later tasks, of other operators too."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 
 
 def partitions(spark: SparkSession, rows: int, each: int, least: int = 0) -> int:
@@ -73,7 +86,7 @@ def semi_by_id(df: DataFrame, ids: DataFrame, key: str, count: int | None = None
 class Hashes(dict):
     """64-bit hashes of byte strings, kept up to a number of entries; the rest is computed anew."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
@@ -139,49 +152,63 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
-def _forest(it):
-    """Edges of a spanning forest, for each FOREST edges that come by."""
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the least node of each one's component) of the edges a-b."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(i):
+        lo, hi = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+        live = lo != hi
+        i, j = i[live], j[live]
+        np.minimum.at(root, hi[live], lo[live])
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    return nodes, nodes[root]
 
-    def out(root):
-        rows = [(k, find(root, k)) for k in root]
-        a, b = ([r[i] for r in rows if r[0] != r[1]] for i in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    def find(root, x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+def _forest(it):
+    """Edges of a spanning forest, each from a node to its root, for each FOREST edges that come by."""
+
+    def out():
+        a, b = (np.concatenate([x[i] for x in held]) if held else np.zeros(0, np.int64) for i in (0, 1))
+        nodes, root = _roots(a, b)
+        some = nodes != root
+        return pa.RecordBatch.from_arrays([pa.array(nodes[some], pa.int64()), pa.array(root[some], pa.int64())], names=["a", "b"])
 
-    root, seen = {}, 0
+    held, seen = [], 0
     for batch in it:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            x, y = find(root, root.setdefault(a, a)), find(root, root.setdefault(b, b))
-            if x != y:
-                root[max(x, y)] = min(x, y)
+        held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
         seen += batch.num_rows
         if seen >= FOREST:
-            yield out(root)
-            root, seen = {}, 0
-    yield out(root)
+            yield out()
+            held, seen = [], 0
+    yield out()
 
 
 #: Edges that a task turns into a spanning forest at once.
-FOREST = 200_000
+FOREST = 1_000_000
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(a, root) for every node of edges (a, b): root is the smallest id of its component.
 
-    Large-star and small-star rounds; each round's edges are a written table, so nothing is
-    collected and a lost executor costs one round. First each FOREST edges give way to a spanning forest of theirs,
-    so that a dense component brings as many edges as nodes. A node's neighbours are never gathered in one
-    row: the least of them is a map-side combined minimum, joined back (AQE splits a hot node).
+    Each FOREST edges first give way to a spanning forest of theirs, so that a dense component brings as many edges as
+    nodes. As long as more than FOREST edges are left, large-star and small-star rounds follow; each round's edges
+    are a written table, so nothing is collected and a lost executor costs one round. The last FOREST edges are one task's.
+    A node's neighbours are never gathered in one row: the least of them is a map-side combined minimum, joined back.
     """
     e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), tag)
-    e = written(e.coalesce(max(1, e.count() // FOREST)).mapInArrow(_forest, "a long, b long").distinct(), tag)
-    seen = _fingerprint(e)
-    while seen[0]:
+    n, last = e.count(), None
+    while n:
+        new = written(e.coalesce(max(1, n // FOREST)).mapInArrow(_forest, "a long, b long"), tag)
+        remove(e)
+        e, one = new, n <= FOREST
+        if one:
+            break
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -190,9 +217,10 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         small = down.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
         new = written(small, tag)
         remove(e)
-        e, last, seen = new, seen, _fingerprint(new)
-        if last == seen:
+        e, seen = new, _fingerprint(new)
+        if seen == last:
             break
+        n, last = seen[0], seen
     roots = e.select(F.col("b").alias("a")).distinct().select("a", F.col("a").alias("root"))
     return e.select("a", F.col("b").alias("root")).union(roots)
 
