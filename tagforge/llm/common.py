@@ -78,7 +78,7 @@ def partitions(spark: SparkSession, rows: int, each: int, least: int = 0) -> int
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / each))
 
 
-def semi_by_id(df: DataFrame, ids: DataFrame, key: str, count: int | None = None) -> DataFrame:
+def semi_by_id(df: DataFrame, ids: DataFrame, key: str | list[str], count: int | None = None) -> DataFrame:
     """Rows of df whose key is in ids, which grow with df and are shuffled; with a count, as for a bounded sample, they are broadcast if few."""
     return df.join(F.broadcast(ids) if count is not None and count <= BROADCAST_ROWS else ids.hint("merge"), key, "left_semi")
 

@@ -5,12 +5,18 @@ the first rotated twice, the second once, which binds order; a document bundles
 weighted by the root of their counts, and a language bundles its training documents. A document's language
 is the prototype with the greatest cosine. Texts are lower-cased; what is not a letter is one boundary slot.
 
-Training reads a bounded sample, PER_LANGUAGE labelled rows of each language at most (those with the
-smallest hash of doc_id); it never reads the held-out third. Only texts enter a prediction.
+Training reads a bounded sample of the rows that it is given, PER_LANGUAGE of each language at most (those with the
+smallest hash of doc_id); op7 and the pipeline give it none of the held-out third. Only texts enter a prediction.
 
-Defined cases: a text that is null or has no letter is `und` with score 0; so is every text if there is nothing to learn from; equal
-cosines go to the smaller language; a null doc_id is not held out and not learned from; rows with the
-same doc_id are predicted each; an empty table gives no rows; whole texts are read, whatever their length.
+`accepted` keeps a text whose greatest cosine is NOISE deviations of the cosine of unrelated vectors, 1 / sqrt(DIM), or more. The
+cosine says little about a text of fewer than SURE letters, so these all stay.
+
+Vectors of runs are kept between texts, KEPT at most in each worker process.
+
+Defined cases: a text that is null or has no letter is `und` with score 0, and not accepted; if there is nothing to learn from every text is
+`und` and none of SURE letters is accepted; equal cosines go to the smaller language; a null doc_id is not held out and not learned
+from; rows with the same doc_id are predicted each, equal ones are learned from once; an empty table gives no rows; whole texts are
+read, whatever their length.
 """
 
 from __future__ import annotations
@@ -20,14 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, semi_by_id, table, written
+from .common import batches, release, semi_by_id, table, written
 
 DIM = 512
 SEED = 7
-SLOTS = 64
+SLOTS = 128
 PER_LANGUAGE = 1500
 PARTS = 64
 UNKNOWN = "und"
+#: Run vectors that a worker keeps (DIM bytes each), and runs of a text handled at once.
+KEPT = 1 << 15
+AT_ONCE = 4096
+NOISE = 3.2
+SURE = 40
 #: Languages of a model at most; it is sent to all tasks. More are an error, not a cut.
 LANGUAGES = 2000
 
@@ -52,19 +63,22 @@ class Profiles:
         self.letters = rng.choice(np.array([-1, 1], np.int8), (SLOTS, dim))
         self.slots = letter_slots()
         self.row = np.full(SLOTS**3, -1, np.int32)
-        self.vectors = np.empty((4096, dim), np.int8)
+        self.vectors = np.empty((KEPT, dim), np.int8)
         self.used = 0
 
-    def _add(self, codes: np.ndarray) -> None:
-        need = self.used + len(codes)
-        if need > len(self.vectors):
-            grown = np.empty((max(need, 2 * len(self.vectors)), self.dim), np.int8)
-            grown[: self.used] = self.vectors[: self.used]
-            self.vectors = grown
-        a, b, c = codes // SLOTS**2, codes // SLOTS % SLOTS, codes % SLOTS
-        self.vectors[self.used : need] = np.roll(self.letters, 2, axis=1)[a] * np.roll(self.letters, 1, axis=1)[b] * self.letters[c]
-        self.row[codes] = np.arange(self.used, need)
-        self.used = need
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors of at most AT_ONCE runs."""
+        new = codes[self.row[codes] < 0]
+        if self.used + len(new) > KEPT:
+            self.row[:] = -1
+            self.used, new = 0, codes
+        if len(new):
+            to = self.used + len(new)
+            a, b, c = new // SLOTS**2, new // SLOTS % SLOTS, new % SLOTS
+            self.vectors[self.used : to] = np.roll(self.letters, 2, axis=1)[a] * np.roll(self.letters, 1, axis=1)[b] * self.letters[c]
+            self.row[new] = np.arange(self.used, to)
+            self.used = to
+        return self.vectors[self.row[codes]]
 
     def runs(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct runs of three slots whose middle is a letter, and their counts."""
@@ -83,17 +97,17 @@ class Profiles:
             return u, n[u]
         return np.unique(codes, return_counts=True)
 
-    def vector(self, text: str | None) -> np.ndarray | None:
-        """The text's bundle, of length 1; None without a letter."""
+    def vector(self, text: str | None) -> tuple[np.ndarray | None, int]:
+        """The text's bundle, of length 1, and how many letters it has; None without one."""
         codes, n = self.runs(text or "")
         if not len(codes):
-            return None
-        new = codes[self.row[codes] < 0]
-        if len(new):
-            self._add(new)
-        v = np.sqrt(n).astype(np.float32) @ self.vectors[self.row[codes]].astype(np.float32)
+            return None, 0
+        v = np.zeros(self.dim, np.float32)
+        weight = np.sqrt(n).astype(np.float32)
+        for at in range(0, len(codes), AT_ONCE):
+            v += weight[at : at + AT_ONCE] @ self.of(codes[at : at + AT_ONCE]).astype(np.float32)
         size = float(np.sqrt(v @ v))
-        return v / size if size else v
+        return v / size if size else v, int(n.sum())
 
 
 _profiles: dict[tuple, Profiles] = {}
@@ -108,19 +122,21 @@ def profiles(dim: int, seed: int) -> Profiles:
 def train(labelled: DataFrame, dim: int = DIM, seed: int = SEED, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """(languages, prototypes of length 1) from (doc_id, text, lang), bounded by per_language rows of each language."""
     # a language with most rows is ranked in PARTS parts first
-    h = F.xxhash64("doc_id")
-    rows = labelled.where("lang is not null and doc_id is not null").select("doc_id", "lang", h.alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)).alias("part"))
+    labelled = labelled.where("lang is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
+    rows = labelled.select("doc_id", "lang", "h", "t", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)).alias("part"))
+    rows = rows.groupBy("lang", "part", "h", "doc_id", "t").agg(F.count("*"))
     for by in (["lang", "part"], ["lang"]):
-        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("r") <= per_language)
-    ids = written(rows.select("doc_id"), "sample")
-    sample = semi_by_id(labelled.where("lang is not null").select("doc_id", "text", "lang"), ids.distinct(), "doc_id", ids.count())
+        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id", "t"))).where(F.col("r") <= per_language)
+    # at most LANGUAGES * per_language of these, as more languages are an error
+    ids = written(rows.select("doc_id", "lang", "t"), "sample")
+    sample = semi_by_id(labelled, ids, ["doc_id", "lang", "t"], ids.count()).dropDuplicates(["doc_id", "lang", "t"]).select("text", "lang")
 
     def sums(it):
         held: dict[str, np.ndarray] = {}
         p = profiles(dim, seed)
-        for b in it:
+        for b in batches(it, 512):
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                v = p.vector(text)
+                v, _ = p.vector(text)
                 if v is not None:
                     held[lang] = held.get(lang, 0) + v.astype(np.float64)
         yield pa.RecordBatch.from_pydict({"lang": list(held), "at": [list(range(dim)) for _ in held], "v": [x.tolist() for x in held.values()]}, schema=pa.schema([("lang", pa.string()), ("at", pa.list_(pa.int32())), ("v", pa.list_(pa.float64()))]))
@@ -144,7 +160,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], dim: int = DIM
         for b in batches(it, 512):
             lang, score = [], []
             for text in b.column("text").to_pylist():
-                v = p.vector(text) if languages else None
+                v = p.vector(text)[0] if languages else None
                 if v is None:
                     lang.append(UNKNOWN)
                     score.append(0.0)
@@ -154,22 +170,25 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], dim: int = DIM
                     lang.append(languages[best])
                     score.append(min(1.0, max(0.0, float(c[best]))))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names if k != "text"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*(k for k in names if k != "text"), "lang_pred", "score"])
+        release()
 
     return docs.mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in docs.dtypes if k != "text") + ", lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float = 0.05, dim: int = DIM, seed: int = SEED) -> DataFrame:
-    """The rows of docs, all their columns, whose text has letters and is as near as least to a language."""
+def accepted(docs: DataFrame, model: tuple[list[str], np.ndarray], dim: int = DIM, seed: int = SEED) -> DataFrame:
+    """The rows of docs, all their columns, whose text has letters and is nearer to a language than to noise, or too short to tell."""
     languages, protos = model
+    least = NOISE / np.sqrt(dim)
 
     def run(it):
         p = profiles(dim, seed)
         for b in batches(it, 512):
             keep = []
             for text in b.column("text").to_pylist():
-                v = p.vector(text) if languages else None
-                keep.append(v is not None and float((protos @ v).max()) >= least)
+                v, letters = p.vector(text)
+                keep.append(v is not None and (letters < SURE or bool(languages) and float((protos @ v).max()) >= least))
             yield b.filter(pa.array(keep, pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
