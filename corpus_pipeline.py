@@ -9,8 +9,8 @@ from tagforge.llm.common import table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose text has letters and is near to a language that the labelled ones teach."""
-    return lang_id.accepted(docs, lang_id.train(docs.select("doc_id", "text", "lang")))
+    """Keeps documents whose text has letters and is near to a language that the labelled ones teach, or too short to tell."""
+    return lang_id.accepted(docs, lang_id.train(docs.where(~lang_id.held_out()).select("doc_id", "text", "lang")))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
