@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, partitions, table, written
+from .common import batches, partitions, release, table, written
 
 #: Bytes of text in a block, about, and of words in a hash range of the corpus.
 BLOCK_BYTES = 16 << 20
@@ -102,18 +103,17 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def coded(ranks: np.ndarray) -> list[bytes]:
-    """Positions of words, frequent ones first: a byte for the first 255, two for most others, four for the rest, each in its own stream."""
+    """Positions of words, frequent ones first: a byte for the first 255, two for most others, up to seven for the rest, each in its own stream."""
     more = ranks[ranks >= 255] - np.uint32(255)
     high = more >> np.uint32(8)
     rest = high[high >= 255] - np.uint32(255)
-    if len(rest) and int(rest.max()) >= 1 << 16:
-        raise ValueError("too many words in a block")
-    return [squeezed(x.astype(np.uint8).tobytes()) for x in (np.minimum(ranks, 255), np.minimum(high, 255), more & np.uint32(255), rest & np.uint32(255), rest >> np.uint32(8))]
+    places = [(rest >> np.uint32(k)) & np.uint32(255) for k in (0, 8, 16, 24)]
+    return [squeezed(x.astype(np.uint8).tobytes()) for x in (np.minimum(ranks, 255), np.minimum(high, 255), more & np.uint32(255), *places)]
 
 
 def uncoded(streams: list[bytes]) -> np.ndarray:
-    a, high, low, rest, top = (np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).astype(np.uint32) for x in streams)
-    high[high == 255] = 255 + (rest | top << np.uint32(8))
+    a, high, low, *places = (np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).astype(np.uint32) for x in streams)
+    high[high == 255] = 255 + (places[0] | places[1] << np.uint32(8) | places[2] << np.uint32(16) | places[3] << np.uint32(24))
     a[a == 255] = 255 + (high << np.uint32(8) | low)
     return a
 
@@ -142,13 +142,10 @@ def _block(texts: list, doc_ids: list, block: int, ranges: int, path: str):
     counts = np.bincount(flat, minlength=len(words))[np.array(order, np.int64)]
     rank = np.empty(len(words), np.uint32)
     rank[np.array(order, np.int64)] = positions(counts)
-    ends = np.searchsorted(np.array(of, np.int64)[order], np.arange(ranges + 1)) if words else np.zeros(ranges + 1, np.int64)
     rows = {k: [] for k in SPLIT.names}
-    for r in range(ranges):
-        mine = "\n".join([words[i] for i in order[ends[r] : ends[r + 1]]])
-        if mine:
-            for k, v in zip(SPLIT.names, (block, r, squeezed(mine.encode()), None, None, None, None), strict=True):
-                rows[k].append(v)
+    for r, mine in groupby(order, key=of.__getitem__):
+        for k, v in zip(SPLIT.names, (block, r, squeezed("\n".join([words[i] for i in mine]).encode()), None, None, None, None), strict=True):
+            rows[k].append(v)
     for k, v in zip(SPLIT.names, (block, None, None, doc_ids, packed(np.array(sizes)), coded(rank[flat]), packed(counts)), strict=True):
         rows[k].append(v)
     return pa.RecordBatch.from_pydict(rows, schema=SPLIT)
@@ -168,6 +165,7 @@ def _splitter(ranges: int, path: str):
                     texts, ids, held, block = [], [], 0, block + 1
         if texts:
             yield _block(texts, ids, block, ranges, path)
+        release()
 
     return run
 

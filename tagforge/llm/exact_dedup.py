@@ -7,8 +7,9 @@ rank of its mark. Slots hold the full 32-byte digest and the winner's locator, s
 all bytes: a digest that is not in the history may fall on a slot but is not taken for its owner.
 
 Defined cases: a null text counts as empty; all empty texts are equal; of equal texts the row with the
-most code points stays, then the smallest doc_id (a null doc_id is last); among identical rows of the
-same doc_id all carry the same keep_id and all count in group_size; an empty table gives no rows; other
+most code points stays, then the smallest doc_id (a null doc_id is last); of rows with the
+same doc_id and as many code points the first by a hash of the text stays, of identical rows one, and all of them count in
+group_size; an empty table gives no rows; other
 columns are ignored. A digest shared by a third of all rows is one slot; its rows are spread by salt.
 """
 
@@ -29,7 +30,8 @@ BUCKET = 50_000
 HOT = 1000
 
 INDEX = pa.schema([("bucket", pa.int64()), ("marks", pa.binary()), ("sizes", pa.list_(pa.int64())), ("digests", pa.binary()), ("keep_id", pa.list_(pa.int64())), ("keep_chars", pa.list_(pa.int64())), ("group_size", pa.list_(pa.int64()))])
-FOUND = pa.schema([("row_id", pa.int64()), ("digest", pa.binary()), ("n_chars", pa.int64()), ("h_id", pa.int64()), ("h_chars", pa.int64()), ("h_size", pa.int64()), ("h", pa.int64())])
+FOUND = pa.schema([("row_id", pa.int64()), ("digest", pa.binary()), ("n_chars", pa.int64()), ("h_id", pa.int64()), ("h_chars", pa.int64()), ("h_size", pa.int64()), ("h", pa.int64()), ("first", pa.bool_()), ("top", pa.bool_())])
+FOUND_DDL = "row_id long, digest binary, n_chars long, h_id long, h_chars long, h_size long, h long, first boolean, top boolean"
 
 
 def _cells(words: np.ndarray, level: int, n: int) -> np.ndarray:
@@ -116,6 +118,17 @@ def _probe(key, rows, index):
         return FOUND.empty_table()
     rows = rows.combine_chunks()
     given = [None] * rows.num_rows
+    # equal rows are in one task: of each digest, doc_id and size the row of least h is the top, of identical ones one is first
+    code = rows.column("digest").combine_chunks().dictionary_encode().indices.to_numpy()
+    row_id = rows.column("row_id")
+    n, h, i, null = rows.column("n_chars").to_numpy(), rows.column("h").to_numpy(), row_id.fill_null(0).to_numpy(), row_id.is_null().to_numpy(zero_copy_only=False)
+    order = np.lexsort((h, n, i, null, code))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([v[order][1:] != v[order][:-1] for v in (n, i, null, code)], axis=0)
+    top, first = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    top[order] = new
+    new[1:] |= h[order][1:] != h[order][:-1]
+    first[order] = new
     h_id, h_chars, h_size = given, given, given
     if index.num_rows:
         x = {k: index.column(k)[0] for k in index.column_names}
@@ -127,7 +140,7 @@ def _probe(key, rows, index):
         slot = np.where((slot >= 0) & (held[slot] == d).all(axis=1), slot, -1)
         take = pa.array(slot, pa.int64(), mask=slot < 0)
         h_id, h_chars, h_size = (x[k].values.take(take) for k in ("keep_id", "keep_chars", "group_size"))
-    return pa.table([rows.column("row_id"), rows.column("digest"), rows.column("n_chars"), pa.array(h_id, pa.int64()), pa.array(h_chars, pa.int64()), pa.array(h_size, pa.int64()), rows.column("h")], schema=FOUND)
+    return pa.table([rows.column("row_id"), rows.column("digest"), rows.column("n_chars"), pa.array(h_id, pa.int64()), pa.array(h_chars, pa.int64()), pa.array(h_size, pa.int64()), rows.column("h"), pa.array(first), pa.array(top)], schema=FOUND)
 
 
 def probe(rows: DataFrame, index: DataFrame, n: int, hot: DataFrame) -> DataFrame:
@@ -141,11 +154,11 @@ def probe(rows: DataFrame, index: DataFrame, n: int, hot: DataFrame) -> DataFram
     most = hot.withColumn("bucket", _bucket(n)).groupBy("bucket").agg(F.max("salts").alias("salts"))
     index = index.join(F.broadcast(most), "bucket", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
     left = rows.select("row_id", "digest", "n_chars", "h", "bucket", "salt")
-    return left.groupBy("bucket", "salt").cogroup(index.drop("salts").groupBy("bucket", "salt")).applyInArrow(_probe, "row_id long, digest binary, n_chars long, h_id long, h_chars long, h_size long, h long")
+    return left.groupBy("bucket", "salt").cogroup(index.drop("salts").groupBy("bucket", "salt")).applyInArrow(_probe, FOUND_DDL)
 
 
 def found_in(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs, with its winner (h_id, h_size), kept, and what names it (row_id, h).
+    """One row per row of docs, with its winner (h_id, h_size), kept, what names it (row_id, h), and whether it is the first of the rows with that name.
 
     history: winners() of earlier batches. With it, a row whose digest the history has is a repeat of
     the history's winner (kept is false), and the others group among themselves. Without it, docs are
@@ -155,16 +168,17 @@ def found_in(docs: DataFrame, history: DataFrame | None = None, id_col: str = "d
     own = winners(rows)
     past = own if history is None else history
     total = rows.count()
-    index, n = build_index(past, total)
+    index, n = build_index(past, total if history is None else past.count())
     hot = own.where(F.col("group_size") * HOT > F.lit(max(total, 20 * HOT))).select("digest", F.ceil(F.col("group_size") / F.lit(max(1000, total // HOT))).cast("int").alias("salts"))
     found = probe(rows, index, n, hot)
+    best = F.col("row_id").eqNullSafe(F.col("h_id")) & (F.col("n_chars") == F.col("h_chars")) & F.col("top")
     if history is not None:
-        fresh = winners(found.where("h_id is null").select("row_id", "n_chars", "digest"))
-        old = found.where("h_id is not null").withColumn("kept", F.lit(False))
-        new = found.where("h_id is null").drop("h_id", "h_chars", "h_size").join(fresh, "digest").select("row_id", "digest", "n_chars", F.col("keep_id").alias("h_id"), F.col("keep_chars").alias("h_chars"), F.col("group_size").alias("h_size"), "h").withColumn("kept", F.col("row_id").eqNullSafe(F.col("h_id")))
-        found = old.unionByName(new)
+        fresh = winners(found.where("h_size is null").select("row_id", "n_chars", "digest"))
+        old = found.where("h_size is not null").withColumn("kept", F.lit(False))
+        new = found.where("h_size is null").drop("h_id", "h_chars", "h_size").join(fresh, "digest").withColumnsRenamed({"keep_id": "h_id", "keep_chars": "h_chars", "group_size": "h_size"})
+        found = old.unionByName(new.withColumn("kept", best))
     else:
-        found = found.withColumn("kept", F.col("row_id").eqNullSafe(F.col("h_id")) & (F.col("n_chars") == F.col("h_chars")))
+        found = found.withColumn("kept", best)
     return found
 
 
@@ -175,10 +189,9 @@ def dedup(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_
 
 def survivors(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """The rows of docs that stay, all their columns; of identical rows one."""
-    found = written(found_in(docs, history).select(F.col("row_id").alias("i"), "h", "kept"), "found")
-    kept = found.where("kept")
-    out = without(docs, found.where("not kept").select("i", "h").distinct())
-    if kept.count() == kept.select("i", "h").distinct().count():
+    found = written(found_in(docs, history).select(F.col("row_id").alias("i"), "h", "kept", "first"), "found")
+    out = without(docs, found.where("first and not kept").select("i", "h"))
+    if found.where("not first").isEmpty():
         return out
     i, h = row_key()
     rows = out.select(i, h, F.struct(*[F.col(f"`{c}`") for c in out.columns]).alias("row"))

@@ -108,12 +108,17 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, share: float = 1.5, m
 def mixed_rows(docs: DataFrame, quality: DataFrame | None = None, **how) -> DataFrame:
     """The mix itself: the rows of docs, all their columns, each as often as it is taken; where a budget ends, the text's leading words."""
     i, h = row_key()
-    got = mix(docs.select(i.alias("doc_id"), "source", "text", h), quality, keep=("h",), **how)
-    # rows of one doc_id and text have one size and nearly always one decision; the first of them is taken for all
-    got = written(got.where("taken > 0").groupBy("doc_id", "h", "source_size").agg(F.first("size").alias("size"), F.max("taken").alias("taken")).drop("source_size"), "taken")
-    rows = docs.select(i, h, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    got = got.select(F.col("doc_id").alias("gi"), F.col("h").alias("gh"), "size", "taken")
-    rows = rows.join(got.hint("merge"), rows["i"].eqNullSafe(got["gi"]) & (rows["h"] == got["gh"]))
+    got = mix(docs.select(i.alias("doc_id"), "source", "text", h, F.col("source").alias("of")), quality, keep=("h", "of"), **how)
+    # rows of one doc_id, text and source share their decisions: each takes least, and together they take extra more, step by step
+    got = got.where("taken > 0 or size > 0").groupBy("doc_id", "h", "of").agg(F.first("size").alias("size"), F.count("*").alias("n"), F.sum("taken").alias("sum"), F.min("taken").alias("least"), F.max("taken").alias("most"))
+    got = got.where("sum > 0").select(F.col("doc_id").alias("gi"), F.col("h").alias("gh"), F.col("of").alias("gs"), "size", "least", (F.col("most") - F.col("least")).alias("step"), (F.col("sum") - F.col("n") * F.col("least")).alias("extra"))
+    got = written(got, "taken")
+    rows = docs.select(i, h, F.col("source").alias("s"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(got.hint("merge"), rows["i"].eqNullSafe(got["gi"]) & (rows["h"] == got["gh"]) & rows["s"].eqNullSafe(got["gs"]))
+    # only equal rows at which a source's budget ends are told apart, one group of each source at most
+    number = F.row_number().over(Window.partitionBy("gi", "gh", "gs").orderBy("h")) - 1
+    ends = rows.where("extra > 0").withColumn("taken", F.col("least") + F.greatest(F.lit(0), F.least("step", F.col("extra") - number * F.col("step"))))
+    rows = rows.where("extra = 0").withColumn("taken", F.col("least")).unionByName(ends).where("taken > 0")
     copy = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")).cast("long"))).alias("copy")
     rows = rows.select("row", "size", "taken", copy).withColumn("words", F.least("size", F.col("taken") - (F.col("copy") - 1) * F.col("size")))
     cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)), 1, F.col("words").cast("int")), " ")

@@ -172,8 +172,9 @@ class TokenFile:
 def _writer(folder: str, tokenizer: str, end_id: int | None, length: int):
     def write(it):
         context = TaskContext.get()
-        shard, name = context.partitionId(), f"shard-{context.partitionId():06d}"
-        own = f".{name}-{context.taskAttemptId()}"
+        # each attempt has files of its own; the manifest, which Spark commits, names those of the one that counts
+        shard = context.partitionId()
+        own = f"shard-{shard:06d}-{context.taskAttemptId()}"
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         bpe, end = encoder(tokenizer), np.array([] if end_id is None else [end_id], np.uint32)
@@ -192,9 +193,7 @@ def _writer(folder: str, tokenizer: str, end_id: int | None, length: int):
                 docs += batch.num_rows
             out.close()
             index.close()
-        for end_of in ("", ".docs"):
-            fs.move(f"{base}/{own}{end_of}", f"{base}/{name}{end_of}")
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([f"{folder}/{name}"]), pa.array([docs], pa.int64()), pa.array([out.total], pa.int64())], schema=SHARD)
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([f"{folder}/{own}"]), pa.array([docs], pa.int64()), pa.array([out.total], pa.int64())], schema=SHARD)
 
     return write
 
@@ -203,7 +202,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None
     """Writes docs' ids under folder (a URI that executors reach); gives the manifest: shard, path, docs, tokens, before."""
     spark = docs.sparkSession
     n = partitions(spark, docs.count() if rows is None else rows, in_shard)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     shards = written(dealt.mapInArrow(_writer(folder, tokenizer, end_id, length), "shard long, path string, docs long, tokens long"), "shards")
     run = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     return shards.withColumn("before", F.coalesce(F.sum("tokens").over(run), F.lit(0)))

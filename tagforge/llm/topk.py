@@ -9,9 +9,9 @@ Components are quantised to floor(scale * x), x as double. The product runs in d
 its sums are below 2^53 and so exact, else in Python integers. Ties go to the smaller id.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part; only vectors of
-one length are compared; a null id takes no part; rows that repeat an id are separate candidates, except that a
-query never gets rows of its own id, and a repeated query row is asked once; an empty table gives no rows; a score
-beyond 64 bits is held at the limit; other columns are ignored.
+one length are compared; a null id takes no part; rows that repeat an id are separate candidates and separate queries,
+each with a list of its own, except that a query never gets rows of its own id; an empty table gives no rows; a score beyond 64 bits is
+held at the limit; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ CANDIDATES = 8192
 LEAST = 1024
 FAN_IN = 16
 EXACT = float(1 << 53)
-HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("shard", pa.int64())])
-PACKED = pa.schema([("ids", pa.binary()), ("vectors", pa.binary()), ("dim", pa.int32())])
+HITS = pa.schema([("query_id", pa.int64()), ("variant", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("shard", pa.int64())])
+PACKED = pa.schema([("ids", pa.binary()), ("variants", pa.binary()), ("vectors", pa.binary()), ("dim", pa.int32()), ("block", pa.int32())])
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -40,20 +40,21 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def _pack(most: int, scale: float):
     def pack(key, tab):
-        dim = tab.column("dim")[0].as_py()
-        ids = tab.column("id").combine_chunks().to_numpy()
+        dim, block = (tab.column(k)[0].as_py() for k in ("dim", "block"))
+        ids, variants = (tab.column(k).combine_chunks().to_numpy() for k in ("id", "variant"))
         flat = np.floor(scale * tab.column("v").combine_chunks().flatten().to_numpy()).reshape(-1, dim)
         order = np.argsort(ids, kind="stable")
         at = range(0, len(ids), most)
-        return pa.table([[ids[order[i : i + most]].tobytes() for i in at], [np.ascontiguousarray(flat[order[i : i + most]]).tobytes() for i in at], [dim for _ in at]], schema=PACKED)
+        parts = [[np.ascontiguousarray(x[order[i : i + most]]).tobytes() for i in at] for x in (ids, variants, flat)]
+        return pa.table([*parts, [dim for _ in at], [block for _ in at]], schema=PACKED)
 
     return pack
 
 
 def packed(rows: DataFrame, blocks: int, most: int, scale: float) -> DataFrame:
-    """(ids, vectors, dim): rows dealt to blocks by a hash of the id, each block cut into packs of at most so many."""
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)))
-    return dealt.groupBy("dim", "block").applyInArrow(_pack(most, scale), "ids binary, vectors binary, dim int")
+    """(ids, variants, vectors, dim, block): rows dealt to blocks by a hash of id and vector, each block cut into packs of at most so many."""
+    dealt = rows.withColumn("block", F.pmod("variant", F.lit(blocks)).cast("int"))
+    return dealt.groupBy("dim", "block").applyInArrow(_pack(most, scale), "ids binary, variants binary, vectors binary, dim int, block int")
 
 
 def tile_hits(q_ids, q, c_ids, c, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,11 +91,11 @@ def _tiles(k: int):
             cols = {x: b.column(x) for x in b.schema.names}
             for i in range(b.num_rows):
                 dim = cols["dim"][i].as_py()
-                q_ids, c_ids = (np.frombuffer(cols[x][i].as_py(), np.int64) for x in ("q_ids", "ids"))
+                q_ids, variants, c_ids = (np.frombuffer(cols[x][i].as_py(), np.int64) for x in ("q_ids", "q_variants", "ids"))
                 q, c = (np.frombuffer(cols[x][i].as_py(), np.float64).reshape(-1, dim) for x in ("q_vectors", "vectors"))
                 for at in range(0, len(q), QUERIES):
                     r, j, s = tile_hits(q_ids[at : at + QUERIES], q[at : at + QUERIES], c_ids, c, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[at : at + QUERIES][r]), pa.array(c_ids[j]), pa.array(s), pa.array(np.full(len(r), cols["shard"][i].as_py(), np.int64))], schema=HITS)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[at : at + QUERIES][r]), pa.array(variants[at : at + QUERIES][r]), pa.array(c_ids[j]), pa.array(s), pa.array(np.full(len(r), cols["shard"][i].as_py(), np.int64))], schema=HITS)
 
     return run
 
@@ -102,19 +103,24 @@ def _tiles(k: int):
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each query, never rows of the query's own id."""
     spark = candidates.sparkSession
-    c, q = usable(candidates, id_col, vector_col), usable(queries, id_col, vector_col).dropDuplicates(["id"])
+    # a query is known by its id and a hash of both, as an id may be repeated; equal rows are asked once
+    c, q = (usable(x, id_col, vector_col).withColumn("variant", F.xxhash64("id", "v")) for x in (candidates, queries))
+    again = q.groupBy("id", "variant").agg(F.count("*").alias("copies")).where("copies > 1")
+    q = q.dropDuplicates(["id", "variant"])
     n_c, n_q = candidates.count(), queries.count()
     # small tables still get a shard for each task, but none of fewer rows than LEAST
     shards, blocks = max(-(-n_c // CANDIDATES), min(partitions(spark, 0, 1), -(-n_c // LEAST)), 1), max(1, -(-n_q // QUERIES))
     # each shard meets each query block: the shards' packs are sent to as many tiles as there are blocks
-    qs = packed(q, blocks, QUERIES, scale).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("dim").alias("q_dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("tile"))
-    cs = packed(c, shards, CANDIDATES, scale).withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)))
-    tiles = cs.join(qs, (cs["shard"] == qs["tile"]) & (cs["dim"] == qs["q_dim"])).select("shard", "q_ids", "q_vectors", "ids", "vectors", "dim")
-    hits = tiles.mapInArrow(_tiles(k), "query_id long, vec_id long, score long, shard long")
+    qs = packed(q, blocks, QUERIES, scale).select(F.col("ids").alias("q_ids"), F.col("variants").alias("q_variants"), F.col("vectors").alias("q_vectors"), F.col("dim").alias("q_dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("tile"))
+    cs = packed(c, shards, CANDIDATES, scale).withColumnRenamed("block", "shard")
+    tiles = cs.join(qs, (cs["shard"] == qs["tile"]) & (cs["dim"] == qs["q_dim"])).select("shard", "q_ids", "q_variants", "q_vectors", "ids", "vectors", "dim")
+    hits = tiles.mapInArrow(_tiles(k), "query_id long, variant long, vec_id long, score long, shard long")
     best = [F.col("score").desc(), F.col("vec_id")]
-    group = Window.partitionBy("query_id", "g").orderBy(*best)
+    group = Window.partitionBy("query_id", "variant", "g").orderBy(*best)
     groups = hits.withColumn("g", F.pmod("shard", F.lit(max(1, shards // FAN_IN)))).withColumn("r", F.row_number().over(group)).where(F.col("r") <= k)
-    top = groups.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).where(F.col("rank") <= k)
+    top = groups.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "variant").orderBy(*best))).where(F.col("rank") <= k)
+    top = top.join(again.select(F.col("id").alias("query_id"), "variant", "copies"), ["query_id", "variant"], "left")
+    top = top.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long")))))
     return top.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

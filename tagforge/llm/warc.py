@@ -5,14 +5,16 @@ by canonical URL, to the latest full response strictly before it. The validators
 hold there (entity tags compared weakly; else the last-modified time; else the payload digest); then the
 response's headers are updated with those of the revisit that an update may change.
 
-The as-of join is a running maximum within (URL, time slice), with what earlier slices carry over: slices are
-summed map-side into one row each, so a URL with a third of all captures is spread over all slices. Payloads
-never take part; a resolved row names the response's record and digest.
+The as-of join is over instants: responses of one URL and time are one row, combined map-side, and so are revisits. It is a
+running maximum within (URL, time slice), with what earlier slices carry over: slices are summed map-side into one row each, so a
+URL with a third of all captures is spread over all slices. Payloads never take part; a resolved row names the response's
+record and digest.
 
 Defined cases: a null URL or date resolves to nothing (`no_earlier_response`); captures of one instant are not earlier than each
 other; of responses at one instant the one with the greatest record id counts; a revisit without any validator
 is `no_validator`; one whose validators differ is `validator_mismatch`; rows repeated stay repeated; null headers are empty;
-an empty table gives no rows; other columns are ignored.
+an empty table gives no rows; other columns are ignored. Read from a file, a record without a length in figures is left out,
+and repeated header fields are one, joined by commas, those of set-cookie by line ends.
 """
 
 from __future__ import annotations
@@ -28,7 +30,6 @@ from pyspark.sql import functions as F
 from .common import table
 
 IN_SLICE = 50_000
-SLICES = 1024
 #: Fields that an update may not change: fixed values (framing, content coding and hop-by-hop fields).
 KEPT_FIELDS = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
 #: Query parameters that do not choose a page: fixed values.
@@ -59,24 +60,21 @@ def resolve(records: DataFrame) -> DataFrame:
         "record_id", "warc_type", canonical_url(F.col("url")).alias("url_key"), F.col("date").cast("long").alias("date"),
         "etag", "last_modified", "payload_digest", F.coalesce("headers", empty).alias("headers"),
     )
-    n = r.count()
-    slices = min(SLICES, max(1, math.ceil(n / IN_SLICE)))
-    cuts = r.approxQuantile("date", [i / slices for i in range(1, slices)], 0.2 / slices) if slices > 1 else []
-    slice_ = F.lit(0)
-    for c in sorted({int(x) for x in cuts})[:SLICES]:
-        slice_ = slice_ + F.when(F.col("date") > c, 1).otherwise(0)
-    r = r.withColumn("slice", slice_.cast("int"))
-    is_full = (F.col("warc_type") == "response") & F.col("date").isNotNull()
+    n, first, last = r.agg(F.count("*"), F.min("date"), F.max("date")).first()
+    slices = max(1, math.ceil(n / IN_SLICE))
+    width = ((last or 0) - (first or 0) + 1) / slices
     # maps have no order: the greatest (date, id) carries the rest as a packed string
-    full = F.when(is_full, F.struct("date", "record_id", "etag", "last_modified", "payload_digest", F.to_json("headers").alias("h")))
-    r = r.withColumn("full", full)
-    before = Window.partitionBy("url_key", "slice").orderBy("date").rangeBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("near", F.max("full").over(before))
-    carried = r.where("url_key is not null").groupBy("url_key", "slice").agg(F.max("full").alias("last"))
+    full = F.struct("date", "record_id", "etag", "last_modified", "payload_digest", F.to_json("headers").alias("h"))
+    known = r.where("url_key is not null and date is not null")
+    instants = known.groupBy("url_key", "date").agg(F.max(F.when(F.col("warc_type") == "response", full)).alias("full"), F.max(F.col("warc_type") == "revisit").alias("asks"))
+    instants = instants.withColumn("slice", F.floor((F.col("date") - F.lit(first or 0)) / F.lit(width)).cast("long"))
+    before = Window.partitionBy("url_key", "slice").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    instants = instants.withColumn("near", F.max("full").over(before))
+    carried = instants.groupBy("url_key", "slice").agg(F.max("full").alias("last"))
     run = Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = carried.select("url_key", "slice", F.max("last").over(run).alias("far"))
-    v = r.where("warc_type = 'revisit'").join(carried, ["url_key", "slice"], "left")
-    v = v.withColumn("f", F.when(F.col("url_key").isNotNull() & F.col("date").isNotNull(), F.coalesce("near", "far")))
+    found = instants.where("asks").join(carried, ["url_key", "slice"], "left").select("url_key", "date", F.coalesce("near", "far").alias("f"))
+    v = r.where("warc_type = 'revisit'").join(found, ["url_key", "date"], "left")
     tag = lambda c: F.regexp_replace(c, r"^W/", "")
     holds = (
         F.when(F.col("etag").isNotNull(), F.coalesce(tag(F.col("etag")) == tag(F.col("f.etag")), F.lit(False)))
@@ -105,8 +103,11 @@ def parse(data: bytes):
         if not line.startswith(b"WARC/"):
             continue
         head = _fields(f)
-        body = f.read(int(head.get("content-length", "0")))
-        if len(body) < int(head.get("content-length", "0")):
+        size = head.get("content-length", "0")
+        if not (size.isascii() and size.isdigit()):
+            continue
+        body = f.read(int(size))
+        if len(body) < int(size):
             return
         status, fields, payload = None, {}, body
         if head.get("warc-type") in ("response", "revisit") and body.startswith(b"HTTP/"):
@@ -120,7 +121,8 @@ def _fields(f) -> dict[str, str]:
     out: dict[str, str] = {}
     while (line := f.readline().strip(b"\r\n")):
         name, _, value = line.decode("utf-8", "replace").partition(":")
-        out[name.strip().lower()] = value.strip()
+        name, value = name.strip().lower(), value.strip()
+        out[name] = out[name] + ("\n" if name == "set-cookie" else ", ") + value if name in out else value
     return out
 
 
