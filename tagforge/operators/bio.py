@@ -22,7 +22,7 @@ def first_match(text: Column, part: Column) -> Column:
     """Zero-based place of the first run of text (array) that equals part, -1 without one."""
     last = F.size(text) - F.size(part)
     places = F.when((last >= 0) & (F.size(part) > 0), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    hit = F.filter(places, lambda i: F.slice(text, i + 1, F.size(part)) == part)
+    hit = F.filter(places, lambda i: (F.get(text, i) == F.get(part, F.lit(0))) & (F.slice(text, i + 1, F.size(part)) == part))
     return F.coalesce(F.get(hit, F.lit(0)), F.lit(-1))
 
 

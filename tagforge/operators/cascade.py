@@ -1,7 +1,7 @@
 """Three-level classification, level by level over all entities of all sentences.
 
-A classifier is a function of a DataFrame: it gets rows with a column prompt and adds a column reply. A model's goes
-through mapInPandas with one load for each worker process (see `batched`); `by_table` answers from a table.
+A classifier is a function of a DataFrame: it gets rows with the columns asks and prompt and adds a column reply, null where asks
+is false. A model's goes through mapInPandas with one load for each worker process (see `batched`); `by_table` answers from a table.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagforge.functions.text import question
@@ -20,7 +20,7 @@ Classifier = Callable[[DataFrame], DataFrame]
 
 def by_table(replies: DataFrame) -> Classifier:
     """Replies by (key, level); other prompts get 'unknown'."""
-    return lambda rows: rows.join(replies.select("key", "level", F.col("reply").alias("r")), ["key", "level"], "left").withColumn("reply", F.coalesce("r", F.lit("unknown"))).drop("r")
+    return lambda rows: rows.join(replies.select("key", "level", F.col("reply").alias("r")), ["key", "level"], "left").withColumn("reply", F.when(F.col("asks"), F.coalesce("r", F.lit("unknown")))).drop("r")
 
 
 def batched(load: Callable[[], Callable[[list[str]], list[str]]], size: int = 32) -> Classifier:
@@ -29,8 +29,9 @@ def batched(load: Callable[[], Callable[[list[str]], list[str]]], size: int = 32
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for part in it:
-            prompts = part["prompt"].tolist()
-            yield part.assign(reply=[r for i in range(0, len(prompts), size) for r in model(prompts[i : i + size])])
+            prompts = part.loc[part["asks"], "prompt"].tolist()
+            replies = iter([r for i in range(0, len(prompts), size) for r in model(prompts[i : i + size])])
+            yield part.assign(reply=[next(replies) if a else None for a in part["asks"].tolist()])
 
     def classify(rows: DataFrame) -> DataFrame:
         return rows.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", reply string")
@@ -43,29 +44,32 @@ def classify(entities: DataFrame, taxonomy: Taxonomy, classifier: Classifier, ze
 
     Each level offers the options below the last answer. 'unknown' ends an entity's walk. An answer that is not offered fails the
     sentence, so does a second level without options; without third-level options the second answer stays. All entities of a
-    failed sentence are 'unknown'.
+    failed sentence are 'unknown'. All rows pass each level once, asked or not, so the plan grows with the levels and no faster.
     """
     choices = taxonomy.choices_table(entities.sparkSession)
     order = {1: taxonomy.first, 2: taxonomy.second, 3: taxonomy.third}
     lists = [(1, "", list(taxonomy.first))] + [(k, p.lower(), o) for k in (2, 3) for p, o in order[k].items()]
     offered = entities.sparkSession.createDataFrame(lists, "level int, parent_key string, options array<string>")
     depth = 1 if not taxonomy.second else 2 if not taxonomy.third else 3
-    state = entities.withColumns({"category": F.lit(""), "open": F.lit(True), "failed": F.lit(False)})
+    key = F.concat_ws("|", F.col("id").cast("string"), F.col("pos").cast("string"))
+    state = entities.withColumns({"category": F.lit(""), "open": F.lit(True), "failed": F.lit(False), "key": key})
     for level in range(1, depth + 1):
         o = F.broadcast(offered.where(F.col("level") == level).select(F.col("parent_key").alias("p"), "options"))
         s = state.join(o, F.lower("category") == F.col("p"), "left").drop("p")
         asks = F.col("open") & F.col("options").isNotNull()
         s = s.withColumn("asks", asks).withColumn("failed", F.col("failed") | (F.col("open") & F.col("options").isNull() & F.lit(level == 2)))
-        s = s.withColumn("prompt", question(F.col("entity"), F.col("sentence"), F.col("options"), zero_shot)).withColumn("level", F.lit(level)).withColumn("key", F.concat_ws("|", F.col("id").cast("string"), F.col("pos").cast("string")))
-        r = classifier(s.where("asks")).withColumn("reply", F.lower("reply"))
+        s = s.withColumn("prompt", question(F.col("entity"), F.col("sentence"), F.col("options"), zero_shot)).withColumn("level", F.lit(level))
+        r = classifier(s).withColumn("reply", F.lower("reply"))
         c = F.broadcast(choices.where(F.col("level") == level).select(F.col("parent_key").alias("p"), F.col("answer_key").alias("a"), "option"))
         r = r.join(c, (F.lower("category") == F.col("p")) & (F.col("reply") == F.col("a")), "left")
         unknown = F.trim("reply") == "unknown"
-        r = r.withColumn("failed", F.col("failed") | (~unknown & F.col("option").isNull())).withColumn("open", ~unknown & F.col("option").isNotNull()).withColumn("category", F.when(unknown, "unknown").otherwise(F.coalesce("option", "category")))
-        keep = [*entities.columns, "category", "open", "failed"]
-        state = r.select(*keep).unionByName(s.where("not asks").select(*keep))
-    bad = state.groupBy("id").agg(F.max("failed").alias("bad"))
-    return state.join(bad, "id").select(*entities.columns, F.when(F.col("bad"), "unknown").otherwise(F.col("category")).alias("category"))
+        asks, unknown, missed = F.col("asks"), F.coalesce(unknown, F.lit(False)), F.col("option").isNull()
+        state = r.select(
+            *entities.columns, F.when(asks & unknown, "unknown").when(asks, F.coalesce("option", "category")).otherwise(F.col("category")).alias("category"),
+            F.when(asks, ~unknown & ~missed).otherwise(F.col("open")).alias("open"), (F.col("failed") | (asks & ~unknown & missed)).alias("failed"), "key",
+        )
+    bad = F.max("failed").over(Window.partitionBy("id"))
+    return state.select(*entities.columns, F.when(bad, "unknown").otherwise(F.col("category")).alias("category"))
 
 
 def predictions(classified: DataFrame, spans: DataFrame | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tagforge.functions import rng
 from tagforge.functions import text as T
 from tagforge.operators import metrics
+from tagforge.operators.stored import written
 from tagforge.operators.taxonomy import Taxonomy, lookup, synonym_map
 
 SEED = 42
@@ -27,10 +28,6 @@ def special(o: Column) -> Column:
     return o.startswith("miscellaneous") | o.startswith("other")
 
 
-def _map(keys: list[str], values: list) -> Column:
-    return F.create_map(*[F.lit(x) for kv in zip(keys, values, strict=True) for x in kv])
-
-
 def merge(rows: DataFrame, taxonomy: Taxonomy, seed: int = SEED) -> DataFrame:
     """Stage 1: of three rows the first two become one, which asks with finer options for the second's answer.
 
@@ -120,9 +117,9 @@ def special_answers(rows: DataFrame, taxonomy: Taxonomy, seed: int = SEED) -> Da
 
 
 def pipeline(rows: DataFrame, taxonomy: Taxonomy, seed: int = SEED) -> DataFrame:
-    """All stages, one after the other. An error is raised, never passed over."""
+    """All stages, one after the other, each over a written table, as it reads its input for its metrics too. An error is raised, never passed over."""
     for stage in (merge, swap_synonyms, reduce_options, special_answers):
-        rows = stage(rows.select("row_id", "prompt", "answer"), taxonomy, seed=seed)
+        rows = stage(written(rows.select("row_id", "prompt", "answer"), "rewrite"), taxonomy, seed=seed)
     return rows
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,15 +19,21 @@ def score(truth: DataFrame, predicted: DataFrame, keys: list[str], ids: DataFram
     Labels that the truth never has do not count as predicted; strict counts them. ids: the common ids, if sentences
     without labels are to be known.
     """
-    common = ids if ids is not None else truth.select("id").distinct().join(predicted.select("id").distinct(), "id")
     labels = [F.lower(F.col(k)).alias(k) for k in keys]
-    t = truth.select("id", *labels).join(common, "id", "left_semi").distinct()
-    p = predicted.select("id", *labels).join(common, "id", "left_semi").distinct()
-    if not strict:
-        p = p.join(t.select(*keys).distinct(), keys, "left_semi")
-    both = t.withColumn("t", F.lit(1)).join(p.withColumn("p", F.lit(1)), ["id", *keys], "full_outer")
+    side = lambda df, t: df.select("id", *labels, F.lit(t).alias("t"), F.lit(1 - t).alias("p"))
+    # one row for each label of an id and whether either side has it; each side is read once
+    both = side(truth, 1).union(side(predicted, 0)).where("id is not null")
+    both = both.groupBy("id", *keys).agg(F.max("t").alias("t"), F.max("p").alias("p"))
+    if ids is None:
+        of = Window.partitionBy("id")
+        both = both.withColumn("both", F.max("t").over(of) * F.max("p").over(of)).where("both = 1")
+    else:
+        both = both.join(ids, "id", "left_semi")
+    per = both.groupBy(*keys).agg(F.sum(F.col("t") * F.col("p")).alias("tp"), F.sum("p").alias("p"), F.sum("t").alias("t"))
+    # null labels are equal to none
+    known = F.expr(" and ".join(f"`{k}` is not null" for k in keys))
     s = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    g = both.agg(s(F.col("t") * F.col("p")).alias("tp"), s(F.col("p")).alias("n_predicted"), s(F.col("t")).alias("n_truth"))
+    g = per.agg(s(F.when(known, F.col("tp"))).alias("tp"), s("p" if strict else F.when(known & (F.col("t") > 0), F.col("p"))).alias("n_predicted"), s("t").alias("n_truth"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     precision, recall = ratio(F.col("tp"), F.col("n_predicted")), ratio(F.col("tp"), F.col("n_truth"))
     return g.select("*", precision.alias("precision"), recall.alias("recall"), ratio(2.0 * F.col("tp"), F.col("n_predicted") + F.col("n_truth")).alias("f1"))

@@ -12,10 +12,13 @@ NO_SPANS = "array<struct<start:int,end:int>>"
 
 
 def occurrences(sentence: Column, entity: Column) -> Column:
-    """All zero-based starts of the entity, overlapping ones too."""
-    last = F.length(sentence) - F.length(entity)
-    places = F.when((last >= 0) & (F.length(entity) > 0), F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.filter(places, lambda p: sentence.substr(p + 1, F.length(entity)) == entity)
+    """All zero-based starts of the entity, overlapping ones too: the sentence is cut before each."""
+    literal = F.concat(F.lit("(?=\\Q"), F.replace(entity, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    start = F.when(sentence.startswith(entity), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    step = lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.concat(s["all"], F.array(s["at"] + F.length(x))).alias("all"))
+    pieces = F.split(sentence, literal)
+    cuts = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.struct(F.lit(0).alias("at"), start.alias("all")), step, lambda s: s["all"])
+    return F.when((F.length(entity) > 0) & (F.instr(sentence, entity) > 0), cuts).otherwise(F.array().cast("array<int>"))
 
 
 def mark_all(sentence: Column, entities: Column) -> Column:
@@ -39,14 +42,13 @@ def mark_each(sentence: Column, entities: Column) -> Column:
     An entity that only stands behind the cursor stays unmarked.
     """
     start = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<int>").alias("at"))
-    places = F.aggregate(
-        entities, start,
-        lambda s, e: F.struct(
-            F.when(_locate(e, sentence, s["cursor"]) > 0, _locate(e, sentence, s["cursor"]) - 1 + F.length(e)).otherwise(s["cursor"]).alias("cursor"),
-            F.concat(s["at"], F.array(_locate(e, sentence, s["cursor"]))).alias("at"),
-        ),
-        lambda s: s["at"],
-    )
+
+    def step(s, e):
+        # a lambda over one value, so that it is computed once
+        after = lambda p: F.struct(F.when(p > 0, p - 1 + F.length(e)).otherwise(s["cursor"]).alias("cursor"), F.concat(s["at"], F.array(p)).alias("at"))
+        return F.get(F.transform(F.array(_locate(e, sentence, s["cursor"])), after), F.lit(0))
+
+    places = F.aggregate(entities, start, step, lambda s: s["at"])
     return F.zip_with(entities, places, lambda e, p: F.when(p > 0, F.concat(sentence.substr(F.lit(1), p - 1), F.lit("##"), e, F.lit("##"), sentence.substr(p + F.length(e), F.length(sentence)))).otherwise(sentence))
 
 
@@ -78,8 +80,9 @@ def stage2(base: DataFrame, taxonomy: Taxonomy, max_sentences: int | None = None
     if max_sentences is not None:
         base = base.where(F.col("ord") < max_sentences)
     spark = base.sparkSession
-    each = F.arrays_zip(F.col("mentions.entity").alias("entity"), F.col("mentions.category").alias("category"), mark_each(F.col("sentence"), F.col("mentions.entity")).alias("marked"))
-    m = base.select("ord", F.posexplode(each).alias("pos", "m")).select("ord", "pos", "m.*")
+    # marked sentences are a column of their own, so that they are left out where only answers are asked for
+    m = base.select("ord", "mentions", mark_each(F.col("sentence"), F.col("mentions.entity")).alias("marked"))
+    m = m.select("ord", "marked", F.posexplode("mentions").alias("pos", "m")).select("ord", "pos", "m.entity", "m.category", F.get("marked", F.col("pos")).alias("marked"))
     m = m.join(F.broadcast(taxonomy.path_table(spark)), "category", "left")
     path = [F.coalesce(c, F.lit("miscellaneous")) for c in ("l1", "l2", "l3")]
     m = m.select("ord", "pos", "entity", "marked", F.posexplode(F.array(*path)).alias("k", "answer"))

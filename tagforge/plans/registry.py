@@ -9,6 +9,7 @@ from tagforge.functions import rng
 from tagforge.functions import text as T
 from tagforge.operators import bio, cascade, dynamic, evaluation, metrics, prompts, quality, sampling, spans
 from tagforge.operators.taxonomy import SYNONYM_LINES, Taxonomy, synonym_map, synonyms
+from tagforge.operators.stored import written
 from tagforge.plans import views
 from tagforge.plans.sql import TOKEN, WS, sql
 
@@ -579,7 +580,7 @@ def count_compare_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Entities, and a table of replies: right ones, with 'Unknown' at the second level of some and nonsense for some sentences."""
-    m = views.mentions(spark, sf_dir)
+    m = written(views.mentions(spark, sf_dir), "mentions")  # entities and replies of all levels are drawn from it
     key = F.concat_ws("|", F.col("doc_id").cast("string"), F.col("pos").cast("string"))
     reply = F.get(F.array("l1", "l2", "l3"), F.col("level") - 1)
     r = m.select("doc_id", "pos", "l1", "l2", "l3", key.alias("key"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("level"))

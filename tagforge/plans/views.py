@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagforge.functions import text as T
@@ -34,34 +34,42 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, sentence): the first long sentence of each document; of a Whole folder (number, sentence) of all."""
     if isinstance(sf_dir, Whole):
         return all_sentences(spark, sf_dir).select(F.col("number").alias("doc_id"), "sentence")
-    d = read(spark, sf_dir, "documents").select("doc_id", T.sentences(T.clean(F.col("text"))).alias("s"))
-    return d.select("doc_id", F.get("s", F.lit(0)).alias("sentence")).where("sentence is not null")
+    # exploded, as a filter on the split would compute it twice
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(F.slice(T.sentences(T.clean(F.col("text"))), 1, 1)).alias("sentence"))
+
+
+def found(sf_dir: str) -> Column:
+    """(entity, i) of a sentence's mentions in order: its first three long words (of a Whole folder all), each with the number of a leaf."""
+    words = F.regexp_extract_all("sentence", F.lit(r"[\p{L}]{6,}"), F.lit(0))
+    words = words if isinstance(sf_dir, Whole) else F.slice(words, 1, 3)
+    return F.transform(words, lambda e, p: F.struct(e.alias("entity"), F.pmod(F.col("doc_id") * F.col("doc_id") + 31 * p, F.lit(LEAVES)).cast("int").alias("i")))
+
+
+def leaf(i: Column) -> Column:
+    return F.get(F.array(*map(F.lit, sorted(Taxonomy.of().leaf_parent()))), i)
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, sentence, pos, entity, l1, l2, l3): the first three long words (of a Whole folder all), with a leaf each."""
-    s = sentences(spark, sf_dir)
-    found = F.regexp_extract_all("sentence", F.lit(r"[\p{L}]{6,}"), F.lit(0))
-    found = found if isinstance(sf_dir, Whole) else F.slice(found, 1, 3)
-    m = s.select("doc_id", "sentence", F.posexplode(found).alias("pos", "entity"))
-    i = F.pmod(F.col("doc_id") * F.col("doc_id") + 31 * F.col("pos"), F.lit(LEAVES)).cast("int")
-    return m.withColumn("i", i).join(F.broadcast(Taxonomy.of().leaf_index(spark)), "i").select("doc_id", "sentence", F.col("pos").cast("int").alias("pos"), "entity", "l1", "l2", "l3", "i")
+    m = sentences(spark, sf_dir).select("doc_id", "sentence", F.posexplode(found(sf_dir)).alias("pos", "m")).select("doc_id", "sentence", "pos", "m.*")
+    return m.join(F.broadcast(Taxonomy.of().leaf_index(spark)), "i").select("doc_id", "sentence", F.col("pos").cast("int").alias("pos"), "entity", "l1", "l2", "l3", "i")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, entity, category): mentions with losses, errors and inventions."""
-    m = mentions(spark, sf_dir).where("doc_id % 13 <> 0")
-    leaf = Taxonomy.of().leaf_index(spark).select(F.col("i").alias("j"), F.col("l3").alias("category"))
-    j = F.when((F.col("doc_id") + F.col("pos")) % 7 == 0, (F.col("i") + 1) % LEAVES).otherwise(F.col("i"))
-    kept = m.where((F.col("doc_id") + F.col("pos")) % 5 != 0).withColumn("j", j).join(F.broadcast(leaf), "j").select("doc_id", "entity", "category")
-    extra = m.where("doc_id % 11 = 0").select("doc_id", F.lit("zzzzzz").alias("entity"), F.lit("city").alias("category")).distinct()
-    return kept.union(extra)
+    s = sentences(spark, sf_dir).where("doc_id % 13 <> 0").withColumn("m", found(sf_dir))
+    d, pair = F.col("doc_id"), lambda e, c: F.struct(e.alias("entity"), c.alias("category"))
+    wrong = F.transform("m", lambda m, p: F.when((d + p) % 5 != 0, pair(m["entity"], leaf(F.when((d + p) % 7 == 0, (m["i"] + 1) % LEAVES).otherwise(m["i"])))))
+    extra = F.when((d % 11 == 0) & (F.size("m") > 0), F.array(pair(F.lit("zzzzzz"), F.lit("city"))))
+    return s.select("doc_id", F.explode(F.concat(F.filter(wrong, lambda x: x.isNotNull()), F.coalesce(extra, F.array().cast("array<struct<entity:string,category:string>>")))).alias("x")).select("doc_id", "x.*")
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ord, sentence, mentions) with a document's mentions in order."""
-    m = mentions(spark, sf_dir).groupBy("doc_id", "sentence").agg(F.array_sort(F.collect_list(F.struct("pos", "entity", "l3"))).alias("m"))
-    return m.select(F.col("doc_id").alias("ord"), "sentence", F.transform("m", lambda x: F.struct(x["entity"].alias("entity"), x["l3"].alias("category"))).alias("mentions"))
+    pairs = F.transform(found(sf_dir), lambda m: F.struct(m["entity"].alias("entity"), leaf(m["i"]).alias("category")))
+    # exploded, as a filter on the mentions would find them twice
+    some = sentences(spark, sf_dir).select(F.col("doc_id").alias("ord"), "sentence", "doc_id", F.explode(F.array(pairs)).alias("mentions"))
+    return some.where(F.size("mentions") > 0).drop("doc_id")
 
 
 def options(spark: SparkSession, sf_dir: str) -> DataFrame:
