@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import math
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagforge.operators.stored import new_path, remove, shared_dir, written
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most rows that a side may have to be broadcast (ids of 8 bytes); a larger side is joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -24,43 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One of our own only on a local master without the setting."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/") + "/tagforge"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    global _own
-    if _own is None:
-        _own = tempfile.mkdtemp(prefix="tagforge-")
-    return f"file://{_own}"
-
-
-_own: str | None = None
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives the loss of executors."""
-    path = new_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(*tables: DataFrame) -> None:
-    """Deletes tables of written(), once nothing reads them any more."""
-    for df in tables:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-            if "/tagforge" in f:
-                p = jvm.org.apache.hadoop.fs.Path(f)
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def freed(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more; else they stay on executors' disks until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def release() -> None:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hashes, byte_column, components, mixed, partitions, release, remove, row_key, shingle_hashes, signed, table, without, word_hashes, written
+from .common import Hashes, byte_column, components, freed, mixed, partitions, release, remove, row_key, shingle_hashes, signed, table, without, word_hashes, written
 
 #: The largest sum of sizes of a scheme is so many times the next smaller scheme's.
 RATIO = 1.4
@@ -493,6 +493,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     chosen = keyed.join(wanted.hint("merge"), keyed["doc_id"].eqNullSafe(wanted["i"]) & (keyed["h"] == wanted["text_h"]), "left_semi").select("text")
     whole = written(chosen.mapInArrow(_sets(k), SET_DDL).dropDuplicates(["id"]), "sets")
     remove(wanted)
+    freed(spark)
 
     shared = columns.join(whole.select("id", "n"), "id")
     # of a name in sub-blocks, every 64th row (by id) of each also meets the others' in one list

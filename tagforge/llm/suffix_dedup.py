@@ -7,14 +7,16 @@ Difference-cover blockwise suffix sorting, one suffix bucket at a time, after a
   place's anchor owns form a span of less than 2 * length bytes; spans are what the corpus is dealt as.
 * An anchor that occurs once has no repeated window. Spans that are equal throughout are one class (counts are combined
   map-side): all their windows are repeated. What is left are the open spans at the edges of repeats.
-* The open spans of an anchor, with one span of each of its closed classes as witness, are sorted in suffix buckets. In a task, the text is
+* The open spans of an anchor, with one span of each of its closed classes as witness, are sorted in suffix buckets. An anchor with more
+  than HOT classes is parted further: each of its windows is a text of its own, in a bucket by all of its bytes; of those that are
+  equal in one segment, byte by byte, one goes on as witness. In a task, the text is
   that of its spans; sample suffixes at a difference cover of period 57 get their ranks once, then suffixes are sorted by their first
   bytes bucket by bucket, and long ties are ordered by the sample ranks at the shift that puts both suffixes on the cover.
-  Neighbours with `length` equal bytes are repeats. Memory is a task's spans.
-* An anchor with more than HOT spans would put too many in one task: its windows are counted one by one, by 128-bit hash.
+  Neighbours with `length` equal bytes are repeats: ranks of the cover go by as many bytes as a window has beyond its first. Memory is a task's spans.
 
 Texts are handled once for all their copies; a text with copies is repeated as a whole. Texts are named by a 64-bit
-hash, K-grams and spans by 64-bit polynomial hashes.
+hash, K-grams and spans by 64-bit polynomial hashes, so whole copies and closed spans are not compared byte by byte. Two spans
+can only be taken for each other if they share an anchor, and have fewer bytes than the strings that make such hashes meet at any base.
 
 Defined cases: a null text is empty; texts shorter than `length` keep all; rows that repeat a doc_id are separate documents; a
 repeat inside one document counts, overlapping or not; very long texts are handled in segments; an empty table
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_column, mixed, partitions, semi_by_id, signed, table, written
+from .common import byte_column, freed, mixed, partitions, release, remove, semi_by_id, signed, table, written
 
 LENGTH = 200
 GRAM = 48
@@ -145,7 +147,7 @@ def _anchors(length: int):
 
 
 def _pieces(length: int):
-    """Of each text with its spans' states: closed runs (kind 0), bytes of spans to sort (1 open, 2 witness), windows to count (3)."""
+    """Of each text with its spans' states: closed runs (kind 0), bytes of spans to sort (1 open, 2 witness); h is the bucket within the anchor."""
 
     def run(it):
         for b in it:
@@ -156,7 +158,7 @@ def _pieces(length: int):
                 state = [dict(zip(at, f, strict=True)) for at, f in zip(part.column("at").to_pylist(), part.column("state").to_pylist(), strict=True)]
                 for seg, doc, first, last, shift, a, _ in located(texts, length):
                     rows = {k: [] for k in SPANS.names}
-                    p = roller().prefix(seg)
+                    hot = []
                     for j, (d, t0, t1, sh, x) in enumerate(zip(doc.tolist(), first.tolist(), last.tolist(), shift.tolist(), a.view(np.int64).tolist(), strict=True)):
                         f = state[d].get(t0, -1)
                         if f < 0:
@@ -166,21 +168,47 @@ def _pieces(length: int):
                             for k, v in zip(SPANS.names, (0, name, t0, t1 + length, None, None, None), strict=True):
                                 rows[k].append(v)
                         if f & 4:
-                            t = np.arange(t0 + sh, t1 + sh + 1)
-                            h1 = roller().at(p, t, length)
-                            h2 = roller().at(p, t, length // 2)
-                            for w, (u, v) in enumerate(zip(h1.view(np.int64).tolist(), h2.view(np.int64).tolist(), strict=True)):
-                                for k, y in zip(SPANS.names, (3, name, t0 + w, t0 + w + length, u, v, None), strict=True):
-                                    rows[k].append(y)
+                            hot.append((name, t0, t1, sh, x, 2 if f & 1 else 1))
                         elif f & 2:
-                            for k, v in zip(SPANS.names, (2 if f & 1 else 1, name, t0, t1 + length, x, None, seg[t0 + sh : t1 + sh + length].tobytes()), strict=True):
+                            for k, v in zip(SPANS.names, (2 if f & 1 else 1, name, t0, t1 + length, x, 0, seg[t0 + sh : t1 + sh + length].tobytes()), strict=True):
                                 rows[k].append(v)
                     if rows["d"]:
                         yield pa.RecordBatch.from_pydict(rows, schema=SPANS)
+                    if hot:
+                        yield from _windows(seg, hot, length)
+        release()
 
     return run
 
 
+def _windows(seg: np.ndarray, spans: list[tuple], length: int):
+    """The windows of a segment's spans of hot anchors: of equal ones all are repeated (kind 0) and one is a witness, the others are to sort."""
+    name, first, last, shift, anchor, kind = (np.array(v, np.int64) for v in zip(*spans, strict=True))
+    n = last - first + 1
+    of = np.repeat(np.arange(len(spans)), n)
+    at = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+    place = at + shift[of]
+    h = roller().at(roller().prefix(seg), place, length)
+    every = np.lib.stride_tricks.sliding_window_view(seg, length)
+    order = np.argsort(h, kind="stable")
+    new = np.flatnonzero(np.diff(h[order], prepend=h[order][:1] ^ np.uint64(1)))
+    lead = order[new][np.cumsum(np.diff(h[order], prepend=h[order][:1] ^ np.uint64(1)) != 0) - 1]
+    equal, step = np.zeros(len(order), bool), 1 << 15
+    for i in range(0, len(order), step):
+        equal[i : i + step] = (every[place[order[i : i + step]]] == every[place[lead[i : i + step]]]).all(axis=1)
+    again = order[equal & (lead != order)]
+    twice = np.zeros(len(order), bool)
+    twice[again] = twice[lead[np.isin(order, again)]] = True
+    goes = np.ones(len(order), bool)
+    goes[again] = False
+    for hit, kinds in ((twice, np.zeros(len(of), np.int64)), (goes, np.where(twice, 2, kind[of]))):
+        i = np.flatnonzero(hit)
+        for k in range(0, len(i), 20_000):
+            j = i[k : k + 20_000]
+            data = [every[p].tobytes() for p in place[j].tolist()] if hit is goes else [None] * len(j)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds[j].astype(np.int8)), pa.array(name[of[j]]), pa.array(at[j]), pa.array(at[j] + length), pa.array(anchor[of[j]]), signed(h[j]), pa.array(data, pa.binary())], schema=SPANS)
+
+
 def cover_shifts() -> np.ndarray:
     """shift[x, y]: the least d that puts residues x and y, both moved by d, on the cover."""
     on = np.zeros(PERIOD, bool)
@@ -328,9 +356,12 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
     met = anchors.groupBy("a").agg(F.count("*").alias("k"), F.min(F.struct("d", "at")).alias("lo"), F.max(F.struct("d", "at")).alias("hi")).where("k > 1 and lo <> hi").select("a")
     met = written(met, "met")
     again = written(semi_by_id(anchors, met, "a").distinct(), "again")
-    spans = again.groupBy("a", "s").agg(F.count("*").alias("c"), F.min(F.struct("d", "at")).alias("w"))
-    per_anchor = spans.groupBy("a").agg(F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("open"), F.count("*").alias("classes"))
-    spans = spans.join(per_anchor.where("classes > 1 or open = 0"), "a")
+    remove(anchors, met)
+    # tables of their own, so that the joins below can be split where an anchor or a span is hot
+    classes = written(again.groupBy("a", "s").agg(F.count("*").alias("c"), F.min(F.struct("d", "at")).alias("w")), "span-classes")
+    per_anchor = classes.groupBy("a").agg(F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("open"), F.count("*").alias("classes"))
+    per_anchor = written(per_anchor.where("classes > 1 or open = 0"), "span-anchors")
+    spans = classes.join(per_anchor, "a")
     closed, some, hot = F.col("c") > 1, F.col("open") > 0, F.col("classes") > HOT
     witness = closed & some & (F.col("w") == F.struct("d", "at"))
     state = F.when(closed, 1).otherwise(0) + F.when(~closed | witness, F.when(hot, 4).otherwise(2)).otherwise(0)
@@ -340,14 +371,14 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
 
     chosen = rows.join(states.hint("merge"), (rows["d"] == states["d"]) & rows["doc_id"].eqNullSafe(states["rep"])).select(rows["d"], "text", "at", "state")
     parts = written(chosen.mapInArrow(_pieces(length), "kind byte, d long, s long, e long, a long, h long, bytes binary"), "spans")
-    to_sort = parts.where("kind in (1, 2)").dropDuplicates(["d", "s"])
+    remove(again, classes, per_anchor, states)
+    freed(spark)
+    # a text that two tasks read comes twice; a place may be in a span and, of a hot anchor, a window
+    to_sort = parts.where("kind in (1, 2)").dropDuplicates(["d", "s", "a", "h"])
     size = parts.where("kind in (1, 2)").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     tasks = partitions(spark, size, IN_TASK)
-    runs = to_sort.withColumn("task", F.pmod(F.xxhash64("a"), F.lit(tasks))).groupBy("task").applyInArrow(_sorted(length), "d long, s long, e long")
-    single = parts.where("kind = 3").select("d", "s", "e", "a", "h").distinct()
-    twice = single.groupBy("a", "h").agg(F.count("*").alias("c")).where("c > 1").select("a", "h")
-    runs = runs.union(single.join(twice, ["a", "h"], "left_semi").select("d", "s", "e")).union(parts.where("kind = 0").select("d", "s", "e"))
-    runs = runs.union(texts.where(f"copies > 1 and n >= {length}").select("d", F.lit(0).cast("long"), "n"))
+    runs = to_sort.withColumn("task", F.pmod(F.xxhash64("a", "h"), F.lit(tasks))).groupBy("task").applyInArrow(_sorted(length), "d long, s long, e long")
+    runs = runs.union(parts.where("kind = 0").select("d", "s", "e")).union(texts.where(f"copies > 1 and n >= {length}").select("d", F.lit(0).cast("long"), "n"))
     blocks = partitions(spark, count, 20_000)
     merged = runs.withColumn("block", F.pmod(F.xxhash64("d"), F.lit(blocks))).groupBy("block").applyInArrow(_merged, "d long, starts array<long>, ends array<long>")
     return rows, written(merged, "runs")
