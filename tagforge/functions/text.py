@@ -19,18 +19,22 @@ def strip(s: Column) -> Column:
     return F.regexp_replace(s, rf"^{WS}+|{WS}+$", "")
 
 
-def _nfc(s: Column) -> Column:
+def _normal(s: Column, form: str) -> Column:
+    """Unicode normalisation in batches; values of ASCII alone, which it leaves as they are, take no part. (Arrow's own kernel does not compose.)"""
+
     def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
+        return x.map(lambda v: unicodedata.normalize(form, v), na_action="ignore")
 
-    return F.pandas_udf(run, T.StringType())(s)
+    plain = F.octet_length(s) == F.length(s)
+    return F.when(plain, s).otherwise(F.pandas_udf(run, T.StringType())(F.when(~plain, s)))
 
 
-def _ascii_fold(s: Column) -> Column:
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: unicodedata.normalize("NFKD", v.lower()).encode("ascii", "ignore").decode(), na_action="ignore")
+def _nfc(s: Column) -> Column:
+    return _normal(s, "NFC")
+
 
-    return F.pandas_udf(run, T.StringType())(s)
+def _ascii_fold(s: Column) -> Column:
+    return F.regexp_replace(_normal(F.lower(s), "NFKD"), r"[^\x00-\x7F]", "")
 
 
 def fold(s: Column, ascii_only: bool = False) -> Column:
@@ -78,8 +82,7 @@ def tail_options(s: Column) -> Column:
 
 def with_options(s: Column, options: Column) -> Column:
     """The message with other options after its last colon."""
-    prefix = F.when(F.instr(s, ":") > 0, F.expr("''")).otherwise(F.lit(""))
-    prefix = F.when(F.instr(s, ":") > 0, s.substr(F.lit(1), F.length(s) - F.length(tail(s)))).otherwise(prefix)
+    prefix = F.when(F.instr(s, ":") > 0, s.substr(F.lit(1), F.length(s) - F.length(tail(s)))).otherwise(F.lit(""))
     return F.concat(prefix, F.lit(" "), F.array_join(options, ", "), F.lit("?"))
 
 

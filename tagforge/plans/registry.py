@@ -9,9 +9,10 @@ from tagforge.functions import rng
 from tagforge.functions import text as T
 from tagforge.operators import bio, cascade, dynamic, evaluation, metrics, prompts, quality, sampling, spans
 from tagforge.operators.taxonomy import SYNONYM_LINES, Taxonomy, synonym_map, synonyms
-from tagforge.operators.stored import written
+from tagforge.operators.stored import new_path, written
 from tagforge.plans import views
 from tagforge.plans.sql import TOKEN, WS, sql
+from tagforge.sources import corpus
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -204,6 +205,11 @@ def label_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # training rows
 
+LISTS = """
+, lst AS (SELECT row_id, doc_id, pos, level, answer, CASE level WHEN 1 THEN (SELECT o FROM opt1) WHEN 2 THEN (SELECT list(x.name ORDER BY ord) FROM edges x WHERE x.level = 2 AND x.parent = m.l1)
+   ELSE (SELECT list(x.name ORDER BY ord) FROM edges x WHERE x.level = 3 AND x.parent = m.l2) END AS o FROM cls JOIN ment m USING (doc_id, pos))
+"""
+
 
 @query("SELECT row_id, level::INTEGER AS level, answer FROM cls")
 def stage2_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,6 +239,13 @@ def stage1_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.stage1(views.base(spark, sf_dir)).select(F.col("ord").alias("doc_id"), "answer")
 
 
+@query(LISTS + "SELECT row_id, len(o)::INTEGER AS n, array_to_string(o, '|') AS listed, array_to_string(o, '|') AS last FROM lst")
+def option_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The options of a prompt after its first 'list: ' and after its last colon."""
+    o = views.options(spark, sf_dir).select("row_id", T.list_options(F.col("prompt")).alias("listed"), T.tail_options(F.col("prompt")).alias("last"))
+    return o.select("row_id", F.size("listed").alias("n"), joined("listed").alias("listed"), joined("last").alias("last"))
+
+
 RECORDS = "CASE WHEN doc_id % 17 = 0 THEN 'no such leaf' ELSE l3 END"
 
 
@@ -285,7 +298,7 @@ def span_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def span_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An ordered fold; held against a plain version in the tests."""
+    """An ordered fold of both responses to each sentence; held against a plain version in the tests."""
     got = spans.merged_responses(views.responses(spark, sf_dir))
     return got.select("query", F.explode("spans").alias("s")).select("query", "s.*")
 
@@ -358,12 +371,6 @@ def u(row: str, slot: str) -> str:
     return U.format(row=row, slot=f"'{slot}'")
 
 
-LISTS = """
-, lst AS (SELECT row_id, doc_id, pos, level, answer, CASE level WHEN 1 THEN (SELECT o FROM opt1) WHEN 2 THEN (SELECT list(x.name ORDER BY ord) FROM edges x WHERE x.level = 2 AND x.parent = m.l1)
-   ELSE (SELECT list(x.name ORDER BY ord) FROM edges x WHERE x.level = 3 AND x.parent = m.l2) END AS o FROM cls JOIN ment m USING (doc_id, pos))
-"""
-
-
 def brief(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select("row_id", joined(T.tail_options(F.col("prompt"))).alias("options"), "answer", *more)
 
@@ -605,6 +612,71 @@ def cascade_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.predictions(cascade.classify(entities, tax(), cascade.by_table(replies))).select("id", joined("category").alias("categories"))
 
 
+@query("""
+, c AS (SELECT doc_id AS id, bool_or(doc_id % 10 = 0 AND pos = 1 AND (doc_id + pos) % 6 <> 0) AS failed, count(*) AS n, count(*) FILTER (WHERE (doc_id + pos) % 6 = 0) AS m FROM ment GROUP BY 1)
+SELECT id, n, CASE WHEN failed THEN n ELSE m END AS n_unknown FROM c
+""")
+def cascade_fill_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of each sentence, and how many are 'unknown': all of them where an answer was none of the options."""
+    entities, replies = answered(spark, sf_dir)
+    got = cascade.classify(entities, tax(), cascade.by_table(replies))
+    return got.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("category") == "unknown").alias("n_unknown"))
+
+
+# files: tables written in the corpus's formats and read back
+
+
+def lines_file(rows: DataFrame, tag: str) -> str:
+    """The path of a folder with rows (value) as lines."""
+    path = new_path(rows.sparkSession, tag)
+    rows.write.text(path)
+    return path
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations WHERE (conv_id + turn) % 13 <> 0 UNION ALL SELECT -1, count(*), 'bad', NULL FROM conversations WHERE (conv_id + turn) % 13 = 0", plain=True)
+def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as lines of JSON, every thirteenth cut off: the good rows, and the number of bad ones."""
+    c = views.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    line = F.to_json(F.struct("*"))
+    line = F.when((F.col("conv_id") + F.col("turn")) % 13 == 0, F.expr("substr(value, 1, 9)")).otherwise(F.col("value"))
+    path = lines_file(c.select("*", F.to_json(F.struct("*")).alias("value")).select(line.alias("value")), "lines")
+    kinds = dict(c.dtypes)
+    good, bad = corpus.read_json(spark, path, ", ".join(f"{k} {t}" for k, t in kinds.items()))
+    count = bad.agg(F.lit(-1).cast(kinds["conv_id"]).alias("conv_id"), F.count("*").cast(kinds["turn"]).alias("turn"), F.lit("bad").alias("role"), F.lit(None).cast("string").alias("text"))
+    return good.unionByName(count)
+
+
+@query("SELECT n_nationkey::INTEGER AS key, n_name AS name FROM nation UNION ALL SELECT -1, '7'", plain=True)
+def source_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations as one array of objects with a number among them, which comes back as a bad row."""
+    n = views.read(spark, sf_dir, "nation").select(F.to_json(F.struct(F.col("n_nationkey").cast("int").alias("key"), F.col("n_name").alias("name"))).alias("j"))
+    path = lines_file(n.agg(F.concat(F.lit("[7, "), F.array_join(F.collect_list("j"), ", "), F.lit("]")).alias("value")), "array")
+    good, bad = corpus.read_json(spark, path, "key int, name string")
+    return good.union(bad.select(F.lit(-1), "value"))
+
+
+@query("SELECT 'n' || n_nationkey AS sentence_id, n_name AS sentence, n_name AS entity, 'city' AS category FROM nation WHERE n_nationkey % 4 <> 0", plain=True)
+def source_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations as one object keyed by id; lists are cut to the shorter, so some have no mention."""
+    n = views.read(spark, sf_dir, "nation")
+    value = F.struct(F.col("n_name").alias("sentence"), F.array("n_name").alias("entity"), F.when(F.col("n_nationkey") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("city"), F.lit("more"))).alias("category"))
+    entries = n.agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), value))).alias("m"))
+    got = corpus.read_base(spark, lines_file(entries.select(F.to_json("m").alias("value")), "keyed"))
+    return got.select("sentence_id", "sentence", F.explode("mentions").alias("m")).select("sentence_id", "sentence", "m.*")
+
+
+@query("SELECT 'c' || conv_id AS query, text AS response, count(*) AS n FROM conversations WHERE turn % 4 <> 3 AND text <> '' GROUP BY ALL", plain=True)
+def source_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies in files whose rows name their fields in three ways; rows without a response are left out."""
+    c = views.read(spark, sf_dir, "conversations")
+    q = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    row = F.when(F.col("turn") % 4 == 0, F.to_json(F.struct(q.alias("query"), F.col("text").alias("response")))).when(F.col("turn") % 4 == 1, F.to_json(F.struct(F.lit("").alias("query"), q.alias("prompt"), F.col("text").alias("output"))))
+    row = row.when(F.col("turn") % 4 == 2, F.to_json(F.struct(q.alias("input"), F.col("text")))).otherwise(F.to_json(F.struct(q.alias("query"), F.lit("").alias("response"))))
+    folder = new_path(spark, "responses")
+    c.select(row.alias("value")).write.text(f"{folder}/all.jsonl")
+    return corpus.read_responses(spark, f"{folder}/all.jsonl", "*.txt").groupBy("query", "response").agg(F.count("*").alias("n"))
+
+
 @query("""
 , q AS (SELECT sentence, doc_id FROM sent), ids AS (SELECT sentence, 'ref' || max(doc_id) AS id FROM q WHERE doc_id % 2 = 0 GROUP BY sentence), d AS (SELECT DISTINCT sentence FROM q)
 SELECT md5(d.sentence) AS query, coalesce(id, 'sentence' || row_number() OVER (PARTITION BY id IS NULL ORDER BY d.sentence)) AS id FROM d LEFT JOIN ids USING (sentence)
@@ -625,7 +697,7 @@ def sentences_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OVER_VIEWS = (
-    "mark_first", "synonym_forms", "bio_encode", "bio_decode", "io_decode", "label_leaves", "stage2_answers", "stage2_prompts", "stage1_mark", "base_build", "base_reject_reasons", "synthetic_filter", "span_extract", "span_merge",
+    "option_parse", "cascade_fill_unknown", "mark_first", "synonym_forms", "bio_encode", "bio_decode", "io_decode", "label_leaves", "stage2_answers", "stage2_prompts", "stage1_mark", "base_build", "base_reject_reasons", "synthetic_filter", "span_extract", "span_merge",
     "category_freq", "metric_cohesion_proxy", "metric_entropy", "metric_gini", "metric_cv", "metric_all", "health_score", "dyn_merge", "dyn_synonym", "dyn_reduce", "dyn_special", "dyn_pipeline", "true_random", "sample_missing",
     "coverage_counts", "coverage_unknown", "coverage_summary", "coverage_missing_by_parent", "coverage_thin", "answer_in_options", "prune_rows", "gap_batches", "prf_entity", "prf_entity_category", "prf_strict",
     "count_compare_by_index", "count_compare_by_text", "cascade_classify", "cascade_predictions", "named_sentences",

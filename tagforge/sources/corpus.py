@@ -38,9 +38,11 @@ def read_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, D
     head = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> ''").head()
     kind = T._parse_datatype_string(schema)
     if head and head["v"].startswith("["):
-        whole = spark.read.text(path, wholetext=True).select(F.from_json("value", T.ArrayType(kind)).alias("r"))
-        return whole.select(F.explode("r").alias("r")).select("r.*"), spark.createDataFrame([], "value string")
-    raw = spark.read.text(path).where(F.trim("value") != "")
+        # elements as texts first, so that one of another shape is a bad row by itself; text that is no array at all is one bad row
+        whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<string>").alias("r"), "value")
+        raw = whole.select(F.explode(F.coalesce("r", F.array("value"))).alias("value")).where("value is not null")
+    else:
+        raw = spark.read.text(path).where(F.trim("value") != "")
     parsed = raw.withColumn("r", F.from_json("value", kind.add("_bad", "string"), {"columnNameOfCorruptRecord": "_bad"}))
     return parsed.where("r._bad is null").select(*[F.col(f"r.`{f.name}`") for f in kind.fields if f.name != "_bad"]), parsed.where("r._bad is not null").select("value")
 
@@ -78,12 +80,12 @@ def read_categories(spark: SparkSession, *paths: str) -> DataFrame:
     return out
 
 
-def read_responses(spark: SparkSession, folder: str) -> DataFrame:
-    """(query, ord, response) of every .jsonl in a folder, in order of file and line; fields by any of their names, '' counting as missing."""
-    raw = lines(spark, f"{folder}/*.jsonl")
+def read_responses(spark: SparkSession, folder: str, names: str = "*.jsonl") -> DataFrame:
+    """(query, ord, response) of every .jsonl in a folder, in order of file and line; fields by any of their names, '' counting as missing, and rows lacking one left out."""
+    raw = lines(spark, f"{folder}/{names}")
     get = lambda *names: F.coalesce(*[F.nullif(F.get_json_object("value", f"$.{n}"), F.lit("")) for n in names])
-    r = raw.select(get("query", "prompt", "input").alias("query"), F.coalesce(get("response", "output", "text"), F.lit("")).alias("response"), F.struct("file", "line_no").alias("ord"))
-    return r.where("query is not null")
+    r = raw.select(get("query", "prompt", "input").alias("query"), get("response", "output", "text").alias("response"), F.struct("file", "line_no").alias("ord"))
+    return r.where("query is not null and response is not null")
 
 
 def write_jsonl(rows: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:

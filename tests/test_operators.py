@@ -353,7 +353,12 @@ def test_files(spark, tmp_path):
     put("resp/1.jsonl", '{"query":"q","response":"##a##"}\n{"prompt":"q","query":"","output":"##b##"}\n')
     put("resp/2.jsonl", '{"input":"z","text":""}\nbroken\n')
     got = corpus.read_responses(spark, f"file://{tmp_path}/resp").orderBy("ord").collect()
-    assert [(r["query"], r.response) for r in got] == [("q", "##a##"), ("q", "##b##"), ("z", "")]
+    assert [(r["query"], r.response) for r in got] == [("q", "##a##"), ("q", "##b##")]
+    mixed = put("m.json", "[" + json.dumps(rec) + ', 7, {"text": ["no text"]}, null, ' + json.dumps(rec) + "]")
+    rows, bad = corpus.read_json(spark, mixed, corpus.RECORD)
+    assert rows.count() >= 2 and "7" in [r.value for r in bad.collect()] and rows.where("text = 'a è'").count() == 2
+    assert [r.value for r in corpus.read_json(spark, put("c.json", "[{broken"), corpus.RECORD)[1].collect()] == ["[{broken"]
+    rows = corpus.read_json(spark, lines, corpus.RECORD)[0]
     assert corpus.write_jsonl(rows, f"file://{tmp_path}/out").count() == 2
     corpus.write_base(corpus.read_base(spark, keyed), f"file://{tmp_path}/base")
     audit = spark.createDataFrame([(1, "dev", 'a "b", c', "e", "city")], "id int, split string, sentence string, entity string, category string")
