@@ -57,19 +57,19 @@ def letter_slots() -> np.ndarray:
 class Profiles:
     """Vectors of runs, made when first met; one for each worker process."""
 
-    def __init__(self, dim: int = DIM, seed: int = SEED):
+    def __init__(self, dim: int = DIM, seed: int = SEED, kept: int = KEPT):
         rng = np.random.default_rng(seed)
-        self.dim = dim
+        self.dim, self.kept = dim, kept
         self.letters = rng.choice(np.array([-1, 1], np.int8), (SLOTS, dim))
         self.slots = letter_slots()
         self.row = np.full(SLOTS**3, -1, np.int32)
-        self.vectors = np.empty((KEPT, dim), np.int8)
+        self.vectors = np.empty((kept, dim), np.int8)
         self.used = 0
 
     def of(self, codes: np.ndarray) -> np.ndarray:
         """The vectors of at most AT_ONCE runs."""
         new = codes[self.row[codes] < 0]
-        if self.used + len(new) > KEPT:
+        if self.used + len(new) > self.kept:
             self.row[:] = -1
             self.used, new = 0, codes
         if len(new):

@@ -562,3 +562,85 @@ def test_chaining_recall(spark):
     assert any({r.doc_id, r.source_id} == {9002, 9003} and r.end - r.start >= 110 for r in got)
     assert any(None in (r.doc_id, r.source_id) for r in got) and any(9001 in (r.doc_id, r.source_id) for r in got)
     assert (9004, min(i for i in texts[next(w for w in texts if 9004 in texts[w])])) in {(r.doc_id, r.source_id) for r in got}
+
+
+def test_language_vectors_are_bound_and_bundled():
+    """A text's vector against the same computation run by run, letter by letter."""
+    p = lang_id.Profiles()
+    for text in ("Eine kleine Straße, 12 Häuser!", "aaa aaa", "λόγος и слово", "x", prose(300, 3)):
+        s = [0]
+        for c in text.lower():
+            k = int(p.slots[min(ord(c), 0xFFFF)])
+            if k or s[-1]:
+                s.append(k)
+        s.append(0)
+        runs = Counter((a, b, c) for a, b, c in zip(s, s[1:], s[2:], strict=False) if b)
+        want = np.zeros(p.dim)
+        for (a, b, c), n in runs.items():
+            want += np.sqrt(n) * np.roll(p.letters[a].astype(int), 2) * np.roll(p.letters[b].astype(int), 1) * p.letters[c]
+        got, letters = p.vector(text)
+        assert letters == sum(runs.values())
+        np.testing.assert_allclose(got, want / np.linalg.norm(want), atol=1e-5)
+    assert p.vector("12 !?") == (None, 0) and p.vector(None) == (None, 0)
+
+
+def test_language_profiles_are_bounded(monkeypatch):
+    monkeypatch.setattr(lang_id, "AT_ONCE", 32)
+    small, whole = lang_id.Profiles(kept=64), lang_id.Profiles()
+    for i in range(5):
+        np.testing.assert_allclose(small.vector(prose(200, i))[0], whole.vector(prose(200, i))[0], atol=1e-5)
+        assert small.used <= 64
+
+
+def test_language_held_out(spark):
+    """Predictions of documents that were not learned from, on the driver's table."""
+    sf = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    got = [r for r in lang_id.op7(spark, sf).collect() if r.held_out and truth[r.doc_id] is not None]
+    assert len(got) > 200 and sum(r.lang_pred == truth[r.doc_id] for r in got) >= 0.99 * len(got)
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in got)
+
+
+def test_jaccard_names_meet():
+    """Every pair of sets that links has a block's name in common in the scheme of its sizes, and passes the bound by column counts."""
+    rng = np.random.default_rng(4)
+    for num, den in ((90, 100), (80, 100), (55, 100), (100, 100)):
+        schemes = jaccard_join.Schemes(num, den)
+        linked = 0
+        for _ in range(400):
+            n = int(rng.integers(1, 150))
+            base = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+            gone, new = (int(rng.integers(0, int(n * x) + 2)) for x in (1 - num / den, den / num - 1))
+            a, b = np.unique(base), np.unique(np.concatenate([base[min(gone, n - 1) :], rng.integers(0, 1 << 63, new, dtype=np.uint64) * np.uint64(2)]))
+            both = len(np.intersect1d(a, b))
+            na, nb = np.array([len(a)]), np.array([len(b)])
+            counts = jaccard_join.Counts([jaccard_join.column_counts(x) for x in (a, b)])
+            links = both * den >= (len(a) + len(b) - both) * num
+            need = schemes.least_overlap(na, nb)
+            assert (jaccard_join.overlaps([a], [b], need)[0] >= need[0]) == links
+            if not links or both == len(a) == len(b):
+                continue
+            linked += 1
+            common_names = np.intersect1d(np.concatenate(schemes.names(a)), np.concatenate(schemes.names(b))).view(np.int64)
+            assert schemes.meant(common_names, na, nb).any()
+            assert counts.apart(np.array([0]), np.array([1]))[0] <= schemes.may_differ(na, nb)[0]
+        assert linked > 50 or num == den
+    with pytest.raises(ValueError):
+        jaccard_join.Schemes(50, 100)
+
+
+def test_components_of_many_edges(spark, monkeypatch):
+    """Star rounds, as if a task held only a few edges at once."""
+    monkeypatch.setattr(common, "FOREST", 40)
+    r = random.Random(21)
+    edges = [(i, i + 1) for i in range(300)] + [(1000 + r.randrange(60), 1000 + r.randrange(60)) for _ in range(900)] + [(2000, 2000 + i) for i in range(200)]
+    got = {x.a: x.root for x in components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    want = {x: x for e in edges if e[0] != e[1] for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if a != b and want[a] != want[b]:
+                want[a] = want[b] = min(want[a], want[b])
+                changed = True
+    assert got == want
