@@ -173,6 +173,7 @@ def _splitter(ranges: int, path: str):
 def _encoder(path: str):
     def run(key, tab):
         """The blocks' words of one hash range: each distinct one is encoded once."""
+        release()  # what the group before has left
         words = [zstandard.ZstdDecompressor().decompress(x).decode().split("\n") for x in tab.column("words").to_pylist()]
         ends = np.cumsum([0, *map(len, words)])
         coded = pa.chunked_array([pa.array(w, pa.string()) for w in words]).combine_chunks().dictionary_encode()
@@ -205,6 +206,7 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _assemble(key, docs, coded):
     """Ids joined back by position: a block's documents and its words' ids."""
+    release()
     if not docs.num_rows:
         return IDS.empty_table()
     coded = coded.sort_by("range")

@@ -54,7 +54,7 @@ def test_stages_of_odd_rows(spark):
     schema = table(spark, SF, "documents").schema
     words = "the people of that small town were walking along the river and they talked about their houses and gardens while others worked".split()
     text = " ".join(words * 4)
-    rows = [(1, text, "en", "a", 9), (1, text, "en", "a", 9), (2, None, "en", "a", None), (3, "", None, None, 0), (None, text + " end", "en", "b", 1), (4, "12 34", "en", "b", 5), (5, " ".join(words), "en", None, 3), (6, text.upper(), None, "a", 2)]
+    rows = [(1, text, "en", "a", 9), (1, text, "en", "a", 9), (2, None, "en", "a", None), (3, "", None, None, 0), (None, text + " end", "en", "b", 1), (4, "12 34", "en", "b", 5), (5, " ".join(words[::-1]), "en", None, 3), (6, text.upper(), None, "a", 2)]
     docs = spark.createDataFrame([dict(zip(("doc_id", "text", "lang", "source", "n_chars"), r, strict=True)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs = docs.select(*[docs[f.name].cast(f.dataType) for f in schema.fields])
     s = dict(P.STAGES)
