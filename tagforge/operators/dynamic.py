@@ -2,7 +2,8 @@
 
 Rows: row_id, prompt, answer (and options, which are read from the prompt). Chance comes from hashes of
 seed, row and slot, so results do not depend on partitioning. The metrics and the frequencies are one
-row each and are joined as a broadcast; nothing is collected.
+row each and are joined as a broadcast; nothing is collected. A stage reads its rows two or three times, so give it a
+table, not a long plan.
 """
 
 from __future__ import annotations

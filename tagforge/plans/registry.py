@@ -371,6 +371,11 @@ def u(row: str, slot: str) -> str:
     return U.format(row=row, slot=f"'{slot}'")
 
 
+def optioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a rewrite as a written table, as each reads them for its metrics too."""
+    return written(views.options(spark, sf_dir).select("row_id", "prompt", "answer"), "options")
+
+
 def brief(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select("row_id", joined(T.tail_options(F.col("prompt"))).alias("options"), "answer", *more)
 
@@ -388,7 +393,7 @@ SELECT k.row_id, f.options, k.second AS answer FROM k JOIN f USING (row_id)
 UNION ALL SELECT row_id, array_to_string(o, '|'), answer FROM lst WHERE row_id % 3 = 2 OR row_id // 3 IN (SELECT g FROM h WHERE NOT hit)
 """)
 def dyn_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return brief(dynamic.merge(views.options(spark, sf_dir), tax()))
+    return brief(dynamic.merge(optioned(spark, sf_dir), tax()))
 
 
 @query(LISTS + f""", p AS (SELECT CASE WHEN coefficient_of_variation > 2.0 THEN 0.2 ELSE 0.4 END AS p, gini_coefficient > 0.6 AS high, (SELECT list_sort(list(n))[len(list(n)) // 2 + 1] FROM hist) AS med FROM met),
@@ -398,7 +403,7 @@ q AS (SELECT row_id, string_agg(to_, '|' ORDER BY i) AS options FROM (SELECT row
 SELECT x.row_id, CASE WHEN hit THEN q.options ELSE array_to_string(o, '|') END AS options, CASE WHEN hit THEN w.to_ ELSE answer END AS answer FROM x LEFT JOIN q USING (row_id) JOIN w ON w.name = answer
 """)
 def dyn_synonym(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return brief(dynamic.swap_synonyms(views.options(spark, sf_dir), tax()))
+    return brief(dynamic.swap_synonyms(optioned(spark, sf_dir), tax()))
 
 
 def sort_by(items: str, row: str, slot: str) -> str:
@@ -413,7 +418,7 @@ z AS (SELECT *, list_prepend(answer, others[1:take]) AS kept FROM y)
 SELECT row_id, array_to_string(CASE WHEN hit THEN {sort_by('kept', 'row_id', 'order')} ELSE o END, '|') AS options, answer FROM z
 """)
 def dyn_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return brief(dynamic.reduce_options(views.options(spark, sf_dir), tax()))
+    return brief(dynamic.reduce_options(optioned(spark, sf_dir), tax()))
 
 
 @query(LISTS + f""", m AS (SELECT *, .4 * cohesion_score + .3 * normalized_entropy + .2 * (1 - gini_coefficient) + .1 * (2.5 - least(coefficient_of_variation, 2.5)) / 2.5 < 0.4 AS weak FROM met),
@@ -427,7 +432,7 @@ f AS (SELECT *, list_filter(o3, lambda v: NOT list_contains(gone, v)) AS kept FR
 SELECT row_id, array_to_string(CASE WHEN hit THEN {sort_by('kept', 'row_id', 'order4')} ELSE o END, '|') AS options, CASE WHEN hit THEN new ELSE answer END AS answer, CASE WHEN hit THEN answer END AS original_answer FROM f
 """)
 def dyn_special(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return brief(dynamic.special_answers(views.options(spark, sf_dir), tax()), "original_answer")
+    return brief(dynamic.special_answers(optioned(spark, sf_dir), tax()), "original_answer")
 
 
 @query()
