@@ -230,9 +230,9 @@ def _signatures(k: int, num: int, den: int):
 
 
 def hot_names(counts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted names, log2 of their rows) of those with 2^SPLIT_AT rows, or total / 2^HOTTEST: so there are 2^HOTTEST at most."""
+    """(sorted names, log2 of their sub-blocks) of those with 2^SPLIT_AT rows, or total / 2^HOTTEST: so there are 2^HOTTEST at most."""
     least = max(1 << SPLIT_AT, total >> HOTTEST)
-    got = counts.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("a", F.floor(F.log2("n")).cast("int").alias("c")).toArrow()
+    got = counts.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("a", F.greatest(F.floor(F.log2("n")) - (SPLIT_AT - 1), F.lit(0)).cast("int").alias("c")).toArrow()
     tok, c = got.column("a").to_numpy().view(np.uint64), got.column("c").to_numpy().astype(np.uint8)
     order = np.argsort(tok)
     return tok[order], c[order]
@@ -249,7 +249,7 @@ def _deal(blocks: int, hot):
         if len(tok):
             at = np.minimum(np.searchsorted(tok, names), len(tok) - 1)
             hit = tok[at] == names
-            salts[hit] = np.left_shift(1, np.maximum(cls[at[hit]].astype(np.int32) - SPLIT_AT + 1, 0))
+            salts[hit] = np.left_shift(1, cls[at[hit]].astype(np.int32))
             salt[hit] = salt_of(ids[of[hit]], salts[hit])
         block = (mixed(names + salt.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(blocks)).astype(np.int32)
         order = np.argsort(block, kind="stable")
@@ -503,22 +503,24 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     links = verified(near.distinct(), whole, num, den, "near")
     roots = written(components(links), "roots")
 
+    rows = columns
     for every in (False, True):
         info = whole.select("id", "n", "counts").join(roots.withColumnRenamed("a", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        rows = columns.join(info.select("id", "root"), "id")
-        # names under which components meet; rows of the others are not moved again
-        met = rows.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
-        rows = written(columns.join(met, "tok", "left_semi"), "met")
+        # names under which components meet; rows of the others are not read again, as components only grow
+        met = rows.join(info.select("id", "root"), "id").groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tok")
+        old, rows = rows, written(rows.join(met, "tok", "left_semi"), "met")
+        remove(old)
+        freed(spark)
         mixed_blocks = partitions(spark, rows.count(), IN_BLOCK // 4)
         tiles = rows.where("salts > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("i", F.least("salt", "o")).withColumn("j", F.greatest("salt", "o")).drop("o")
         alone = rows.where("salts = 1").withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
         tile = F.pmod(F.xxhash64("tok", "i", "j"), F.lit(mixed_blocks)).alias("block")
         far = alone.unionByName(tiles).join(info, "id").select("tok", "i", "j", "salt", "id", "n", "root", "counts", tile).groupBy("block").applyInArrow(_whole(num, den, every), PAIR_DDL)
         links = links.union(verified(far.distinct(), whole, num, den, "far"))
-        remove(rows)
         old, roots = roots, written(components(links), "roots")
         remove(old)
-    remove(columns, whole, links)
+        freed(spark)
+    remove(rows, whole, links)
 
     # a component's smallest doc_id: of each class, then of the linked classes
     least = reps.join(roots.withColumnRenamed("a", "id"), "id").groupBy("root").agg(F.min("doc_id").alias("component_id"))
