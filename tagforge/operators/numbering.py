@@ -6,15 +6,16 @@ from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+
+from tagforge.operators.stored import written
 
 
 def numbered(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
     """df with n = 0, 1, ... by order, which must be total: ranges are sorted by themselves and shifted by the rows before them.
 
-    The driver gets one count for each partition.
+    The ranges are a written table, and the driver gets one count for each.
     """
-    p = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    p = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
     counts = {r["_part"]: r["count"] for r in p.groupBy("_part").count().collect()}
     parts = sorted(counts)
     before = list(accumulate([counts[k] for k in parts], initial=0))[:-1]
