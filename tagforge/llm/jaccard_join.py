@@ -469,24 +469,36 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, tag: str) ->
     side = lambda x, *cols: sets.select(F.col("id").alias(x), *[F.col(c).alias(c[0] + x) for c in cols])
     close = pairs.join(side("a", "n", "counts"), "a").join(side("b", "n", "counts"), "b").mapInArrow(_near(num, den), PAIR_DDL)
     close = written(close, tag + "-pairs")
+    freed(close.sparkSession)
     links = written(close.join(side("a", "n", "s"), "a").join(side("b", "n", "s"), "b").mapInArrow(_linked(num, den), PAIR_DDL), tag + "-links")
     remove(close)
+    freed(links.sparkSession)
     return links
 
 
+def representatives(sets: DataFrame) -> DataFrame:
+    """(id, doc_id, h) of one row of each set, the smallest doc_id's, a null one last."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h")).alias("r")
+    return sets.where("n_shingles > 0").groupBy("id").agg(least).select("id", "r.doc_id", "r.h")
+
+
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text), its set's id and h, a hash of its text."""
     spark = docs.sparkSession
     i, h = row_key()
     keyed = docs.select(i.alias("doc_id"), h, "text")
     first = written(keyed.mapInArrow(_signatures(k, num, den), FIRST_DDL), "signatures")
-    sets = first.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), "id", "h")
-    reps = sets.where("n_shingles > 0").groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h")).alias("r")).select("id", "r.doc_id", "r.h")
     total = first.where("kind = 1").agg(F.sum("n")).first()[0] or 0
     hot = spark.sparkContext.broadcast(hot_names(first.where("kind = 2"), total))
     blocks = partitions(spark, total, IN_BLOCK)
     dealt = first.where("kind = 1").select("ids", "counts", "names").mapInArrow(_deal(blocks, hot), DEALT_DDL)
     columns = written(dealt.groupBy("block").applyInArrow(_shared, COLUMN_DDL), "columns")
+    # the names are done with: what is still asked for of each document is a small table of its own
+    packed, first = first, written(first.where("kind = 0").select("a", "n", "id", "h"), "documents")
+    remove(packed)
+    freed(spark)
+    sets = first.select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), "id", "h")
+    reps = representatives(sets)
 
     # whole sets of the rows that share a name; ids may be null or repeated, so that a row is named by its text's hash too
     wanted = written(columns.select("id").distinct().join(reps, "id").select(F.col("doc_id").alias("i"), F.col("h").alias("text_h")).distinct(), "wanted")
