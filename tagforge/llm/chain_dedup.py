@@ -3,12 +3,14 @@
 * Seeds are runs of K words, the least by hash of each NEAR neighbours, so an equal stretch of K + NEAR - 1 words has a common seed in
   both places, a shorter one of K words at least with even chances. A seed brings 4 bits of each of the SIDE words on either side of it,
   and two places are only linked if ALIKE of these words are equal; by chance one in 15 is. That keeps stock phrases apart.
-* A seed's places in the text of least name, its leader, are linked to those of each other text, first to first and so on, which
-  keeps periodic passages on one diagonal; a place is also linked to the one before in its own text, and beyond the other text's last
-  one only to that if it stands amid the same words (so a line repeated a thousand times is one passage). Texts of seeds that PAIRED texts
-  have, or fewer, are all linked to each other. Each FAR-th seed or so is also linked to the least text in which it stands amid the
-  same words: that with the same least hash of the seeds around it. So a passage whose seeds are all frequent elsewhere is found.
-* Places are linked in each task first, and only the leaders go on to the block of their seed, so no seed gathers all its places.
+* Places of a seed with equal words on their sides are a class. Its places in the text of least name, the leader, are linked to those of
+  each other text, first to first and so on, which keeps periodic passages on one diagonal; a place is also linked to the one before in its
+  own text (so a line repeated a thousand times is one passage). Texts of seeds that PAIRED texts have, or fewer, are all linked to each
+  other, and those of other seeds to the text of least name. Then each class is linked to the most alike of those before it, and classes
+  that are alike but not yet connected are linked: however many texts have a seed, places of it that any chain of alike ones connects
+  are connected, and none that is like another is left alone. Each FAR-th seed or so is also linked to the least text in which it stands
+  amid the same words: that with the same least hash of the seeds around it.
+* Places are linked in each task first, and only the leaders of classes go on to the block of their seed.
 * For each pair of documents, linked places are chained in order: a chain scores the words that its matches cover, less
   a cost for gaps, and the best predecessor comes from a tree over the other document's positions, which holds those within REACH.
 * Chains are aligned: the words of both passages are joined, gaps between matches are aligned by edit distance and ends
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hashes, byte_column, freed, mixed, partitions, release, remove, row_key, table, word_hashes, written
+from .common import Hashes, byte_column, mixed, partitions, release, remove, row_key, settled, table, word_hashes
 
 K = 6
 #: Neighbouring seeds of which the least stays; of which one is linked amid its words too; words on either side of a seed for that.
@@ -45,6 +47,9 @@ AMID = 17
 SIDE = 8
 ALIKE = 6
 TOUCH = 18
+#: Classes of a seed from which two words at a time say which of them are compared; pairs compared at once.
+WIDE = 64
+PAIRS = 500_000
 #: Seeds that a task holds at once; seeds of a block, about.
 CHUNK = 1_000_000
 IN_BLOCK = 1_000_000
@@ -145,6 +150,13 @@ def _groups(key: np.ndarray, d: np.ndarray, at: np.ndarray):
     return group, number - number[group], i - text, text, number, np.flatnonzero(doc)
 
 
+def _classes(key: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order of key and sides, the number of the class and where each class begins."""
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (sides[1:] != sides[:-1])
+    return np.cumsum(new) - 1, np.flatnonzero(new)
+
+
 def equal_sides(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """How many of the words next to a seed are equal on the left without a break, on the right, and in all."""
     four, runs, total = np.uint64(0xF), [], np.zeros(len(a), np.int64)
@@ -174,6 +186,90 @@ def _other(i, to, count, r, sides) -> tuple[np.ndarray, np.ndarray]:
     return i[go], (to + np.minimum(r[i], count - 1))[go]
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the words on the sides are equal, as equal_sides has it."""
+    ones = np.uint64(0x1111111111111111)
+
+    def some(x):
+        x = x | (x >> np.uint64(1))
+        return (x | (x >> np.uint64(2))) & ones
+
+    return np.bitwise_count(some(a) & ~some(a ^ b))
+
+
+def _joint(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the edges i-j, the first ones first, are a spanning forest of what root, each node's least, has not yet connected; root then has."""
+    kept, at = [], np.arange(len(i))
+    while True:
+        at = at[root[i[at]] != root[j[at]]]
+        if not len(at):
+            return np.concatenate(kept) if kept else at
+        x, y = root[i[at]], root[j[at]]
+        hi, first = np.unique(np.maximum(x, y), return_index=True)
+        kept.append(at[first])
+        root[hi] = np.minimum(x, y)[first]
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def bridges(group: np.ndarray, sides: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of alike rows of one group, given in order of it: of each row to the most alike one before it, and those that connect what chains of alike rows do; root is as for _joint.
+
+    Rows of a group of WIDE or more are compared if two of their words are equal that are in one of ALIKE - 1 parts of the places, as
+    of ALIKE equal words two must be.
+    """
+    found, whole = [(np.zeros(0, np.int64),) * 2], root.copy()
+    most, to = np.full(len(root), ALIKE - 1), np.full(len(root), -1)
+
+    def compare(rows, key):
+        """Pairs of rows of one key, given in order of it."""
+        end = np.searchsorted(key, key, side="right")
+        count = end - np.arange(len(key)) - 1
+        ends = np.cumsum(count)
+        at = 0
+        while at < len(key):
+            done = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + PAIRS, side="right")))
+            # one row may have more partners than are compared at once
+            for lo in range(0, max(1, int(ends[stop - 1] - done)), PAIRS):
+                c = count[at:stop] if stop > at + 1 else np.minimum(count[at:stop] - lo, PAIRS)
+                i = np.repeat(np.arange(at, stop), c)
+                j = lo + i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+                i, j = rows[i], rows[j]
+                equal = alike(sides[i], sides[j]).astype(np.int64)
+                some = equal >= ALIKE
+                i, j, equal = i[some], j[some], equal[some]
+                best = np.lexsort((i, -equal, j))
+                best = best[np.concatenate([[True], np.diff(j[best]) != 0])[: len(best)]]
+                x, y, n = i[best], j[best], equal[best]
+                better = (n > most[y]) | ((n == most[y]) & (x < to[y]))
+                most[y[better]], to[y[better]] = n[better], x[better]
+                for level in range(2 * SIDE, ALIKE - 1, -1):
+                    some = np.flatnonzero(equal == level)
+                    if len(some):
+                        some = some[_joint(whole, i[some], j[some])]
+                        found.append((i[some], j[some]))
+            at = stop
+
+    size = np.bincount(group)[group] if len(group) else group
+    few, many = np.flatnonzero(size < WIDE), np.flatnonzero(size >= WIDE)
+    compare(few, group[few])
+    if len(many):
+        four = np.uint64(0xF)
+        for part in np.array_split(np.arange(2 * SIDE), ALIKE - 1):
+            for m, k in enumerate(part.tolist()):
+                for n in part[:m].tolist():
+                    x, y = ((sides[many] >> np.uint64(4 * z)) & four for z in (k, n))
+                    rows, key = many[(x > 0) & (y > 0)], (group[many] * 256 + (x * np.uint64(16) + y).astype(np.int64))[(x > 0) & (y > 0)]
+                    order = np.argsort(key, kind="stable")
+                    compare(rows[order], key[order])
+    j = np.flatnonzero(to >= 0)
+    _joint(root, to[j], j)
+    x, y = (np.concatenate(v) for v in zip(*found, strict=True))
+    more = _joint(root, x, y)
+    return np.concatenate([to[j], x[more]]), np.concatenate([j, y[more]])
+
+
 def _planes(a: np.ndarray) -> bytes:
     """Bytes of equal weight together, as most of the high ones are zero."""
     return a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
@@ -184,28 +280,37 @@ def _from_planes(b: bytes) -> np.ndarray:
 
 
 def _seeds(blocks: int):
-    """Seeds by block, packed, of about CHUNK seeds: for each key the places of the leader, or of the first PAIRED + 1 texts; the others are linked here.
+    """Seeds by block, packed, of about CHUNK words: of each class of a seed the places of its leader, and those of the first PAIRED + 1 texts of the seed; the others are linked here.
 
     A key is a seed (low bit 0) or a seed with what it stands amid (1).
     """
 
     def send(texts, names):
         of, at, seed, sides, far, amid = seeds(texts)
+        key = np.concatenate([seed & ~np.uint64(1), mixed(seed[far] ^ (amid[far] >> np.uint64(1))) | np.uint64(1)])
+        of, at, sides = (np.concatenate([v, v[far]]) for v in (of, at, sides))
         rank = np.argsort(np.argsort(names, kind="stable"), kind="stable")
         names = np.sort(names)
         of = rank[of]
-        key = np.concatenate([seed & ~np.uint64(1), mixed(seed[far] ^ (amid[far] >> np.uint64(1))) | np.uint64(1)])
-        of, at, sides = (np.concatenate([v, v[far]]) for v in (of, at, sides))
-        order = np.lexsort((at, of, key))
-        key, of, at, sides = key[order], of[order], at[order], sides[order]
-        d = names[of]
-        group, q, r, text, number, heads = _groups(key, of, at)
-        go = q <= np.where(key & np.uint64(1), 0, PAIRED)
-        held = np.flatnonzero(~go)
-        count = np.diff(np.concatenate([heads, [len(key)]]))
-        same = held[r[held] > 0]
-        pairs = _other(held, group[held], count[number[group[held]]], r, sides), (same, same - 1)
-        links = [np.concatenate(v) for v in zip(*(_joined(i, j, d, at, sides) for i, j in pairs), strict=True)]
+        # most seeds stand in one place
+        order = np.argsort(key)
+        again = np.zeros(len(key), bool)
+        again[1:] = key[order[1:]] == key[order[:-1]]
+        again[:-1] |= again[1:]
+        many = order[again]
+        many = many[np.lexsort((at[many], of[many], key[many]))]
+        _, nth, *_ = _groups(key[many], of[many], at[many])
+        by = np.lexsort((at[many], of[many], sides[many], key[many]))
+        many, nth = many[by], nth[by]
+        class_, _ = _classes(key[many], sides[many])
+        group, q, r, text, number, heads = _groups(class_, of[many], at[many])
+        count = np.diff(np.concatenate([heads, [len(many)]]))
+        held = np.flatnonzero((q > 0) & (nth > np.where(key[many] & np.uint64(1), 0, PAIRED)))
+        same, to = held[r[held] > 0], held[r[held] < count[number[group[held]]]]
+        pairs = (to, group[to] + r[to]), (same, same - 1)
+        links = [np.concatenate(v) for v in zip(*(_joined(many[i], many[j], names[of], at, sides) for i, j in pairs), strict=True)]
+        go = np.ones(len(key), bool)
+        go[many[held]] = False
         key, of, at, sides = key[go], of[go], at[go], sides[go]
         at_block = ((key >> np.uint64(1)) % np.uint64(blocks)).astype(np.int32)
         short = ((((key >> np.uint64(1)) // np.uint64(blocks)) << np.uint64(1)) | (key & np.uint64(1))).astype(np.uint32)
@@ -246,7 +351,7 @@ def _seeds(blocks: int):
 
 
 def _links(tab):
-    """Links of a block's seeds: each text's places to the leader's, and to its own place before; of few texts, all to each other."""
+    """Links of a block's seeds: each text's places to those of its class's leader, and to its own place before; of few texts, all to each other; of classes, the bridges."""
     ready = [np.frombuffer(x, np.int64).reshape(5, -1) for x in tab.column("links").to_pylist() if x]
     rows = [i for i, x in enumerate(tab.column("seed").to_pylist()) if x]
     out = [np.concatenate(ready, axis=1)] if ready else []
@@ -262,21 +367,46 @@ def _links(tab):
         once = np.ones(len(key), bool)
         once[1:] = (key[1:] != key[:-1]) | (d[1:] != d[:-1]) | (at[1:] != at[:-1])
         d, at, key, sides = (v[once] for v in (d, at, key, sides))
+        # most seeds stand in one place
+        again = np.zeros(len(key), bool)
+        again[1:] = key[1:] == key[:-1]
+        again[:-1] |= again[1:]
+        d, at, key, sides = (v[again] for v in (d, at, key, sides))
         group, q, r, text, number, heads = _groups(key, d, at)
         count = np.diff(np.concatenate([heads, [len(key)]]))
         i = np.arange(len(key))
         texts = np.zeros(len(key), np.int64)
         np.maximum.at(texts, group, q + 1)
         later = i[q > 0]
-        pairs = [_other(later, group[later], count[number[group[later]]], r, sides), (i[r > 0], i[r > 0] - 1)]
-        few = i[(q > 1) & (key % 2 == 0) & (texts[group] <= PAIRED)]
+        pairs = [(i[r > 0], i[r > 0] - 1), _other(later, group[later], count[number[group[later]]], r, sides)]
+        few = i[(key % 2 == 0) & (texts[group] <= PAIRED)]
         for step in range(1, PAIRED - 1):
             some = few[q[few] > step]
             if not len(some):
                 break
             to = number[some] - step
             pairs.append(_other(some, heads[to], count[to], r, sides))
+        by = np.lexsort((at, d, sides, key))
+        class_, first = _classes(key[by], sides[by])
+        head, _, r, _, number, heads = _groups(class_, d[by], at[by])
+        count = np.diff(np.concatenate([heads, [len(key)]]))
+        to = np.flatnonzero((heads[number] > head) & (r < count[number[head]]))
+        pairs += [(by[to], by[head[to] + r[to]]), (by[r > 0], by[np.flatnonzero(r > 0) - 1])]
         a, b = (np.concatenate(v) for v in zip(*pairs, strict=True))
+        a, b = np.divmod(np.unique(np.maximum(a, b) * len(key) + np.minimum(a, b)), max(1, len(key)))
+        ok = alike(sides[a], sides[b]) >= ALIKE
+        a, b = a[ok], b[ok]
+        # classes of seeds in order of their leaders
+        first = np.sort(by[first])
+        first = first[key[first] % 2 == 0]
+        of = np.empty(len(key), np.int64)
+        of[by] = by[head]
+        seed = key[a] % 2 == 0
+        root = np.arange(len(first))
+        _joint(root, np.searchsorted(first, of[a[seed]]), np.searchsorted(first, of[b[seed]]))
+        x, y = bridges(np.searchsorted(np.unique(group), group[first]), sides[first], root)
+        x, y = first[x], first[y]
+        a, b = np.divmod(np.unique(np.concatenate([a * len(key) + b, np.maximum(x, y) * len(key) + np.minimum(x, y)])), max(1, len(key)))
         out.append(np.stack(_joined(a, b, d, at, sides)))
     got = np.concatenate(out, axis=1) if out else np.zeros((5, 0), np.int64)
     return pa.table(list(got), schema=LINK)
@@ -479,30 +609,29 @@ def passages(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     i, h = row_key()
     docs = docs.select(i.alias("doc_id"), h, "text")
-    first = written(docs.mapInArrow(_texts, "d long, n long, doc_id long, h long"), "names")
-    texts = written(first.where("n > 0").groupBy("d").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h")).alias("r"), F.max("n").alias("n"), F.count("*").alias("copies")).select("d", F.col("r.doc_id").alias("rep"), F.col("r.h").alias("rep_h"), "n", "copies"), "texts")
+    first = settled(docs.mapInArrow(_texts, "d long, n long, doc_id long, h long"), "names")
+    texts = settled(first.where("n > 0").groupBy("d").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h")).alias("r"), F.max("n").alias("n"), F.count("*").alias("copies")).select("d", F.col("r.doc_id").alias("rep"), F.col("r.h").alias("rep_h"), "n", "copies"), "texts")
     total, words = texts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     packed = docs.select("text").mapInArrow(_seeds(partitions(spark, words, IN_BLOCK)), PACKED_DDL)
     links = packed.groupBy("block").applyInArrow(_links, LINK_DDL)
     blocks = partitions(spark, total, 4000)
     found = links.withColumn("block", F.pmod(F.xxhash64("d", "o"), F.lit(blocks))).groupBy("block").applyInArrow(_chain, CHAIN_DDL)
     edge = lambda k, up: (F.greatest(F.lit(0), F.floor((F.col(k) + (MARGIN + STEP - 1 if up else -MARGIN)) / STEP) * STEP)).cast("long")
-    found = written(found.withColumns({"fa": edge("x0", False), "ta": edge("x1", True), "fb": edge("y0", False), "tb": edge("y1", True)}), "chains")
-    freed(spark)
+    found = settled(found.withColumns({"fa": edge("x0", False), "ta": edge("x1", True), "fb": edge("y0", False), "tb": edge("y1", True)}), "chains")
 
     # a stretch is asked for once, however many chains lead to it, so a text's stretches are bounded by its length
     asked = found.select("d", F.col("fa").alias("lo"), F.col("ta").alias("hi")).union(found.select("o", "fb", "tb")).distinct()
-    asked = written(asked.groupBy("d").agg(F.collect_list(F.struct("lo", "hi")).alias("asked")).join(texts.select("d", "rep", "rep_h"), "d"), "asked")
+    asked = settled(asked.groupBy("d").agg(F.collect_list(F.struct("lo", "hi")).alias("asked")).join(texts.select("d", "rep", "rep_h"), "d"), "asked")
     # ids may be null or repeated, so that a row is named by its text's hash too
     rows = docs.join(asked.hint("merge"), docs["doc_id"].eqNullSafe(asked["rep"]) & (docs["h"] == asked["rep_h"])).select("d", "text", "asked").mapInArrow(_slices, "d long, lo long, hi long, words binary")
-    slices = written(rows.dropDuplicates(["d", "lo", "hi"]), "slices")
+    slices = settled(rows.dropDuplicates(["d", "lo", "hi"]), "slices")
     side = lambda d, lo, hi, w: slices.select(F.col("d").alias(d), F.col("lo").alias(lo), F.col("hi").alias(hi), F.col("words").alias(w))
     both = found.join(side("d", "fa", "ta", "wa"), ["d", "fa", "ta"]).join(side("o", "fb", "tb", "wb"), ["o", "fb", "tb"])
     aligned = both.mapInArrow(_aligned, "d long, o long, x0 long, x1 long, y0 long, y1 long, equal long")
     kept = aligned.withColumn("block", F.pmod(F.xxhash64("d"), F.lit(blocks))).groupBy("block").applyInArrow(_passages, "d long, o long, x0 long, x1 long, y0 long, y1 long, equal long")
     name = lambda k, v: texts.select(F.col("d").alias(k), F.col("rep").alias(v))
     near = kept.join(name("d", "doc_id"), "d").join(name("o", "source_id"), "o").select("doc_id", "source_id", F.col("x0").alias("start"), F.col("x1").alias("end"), F.col("y0").alias("source_start"), F.col("y1").alias("source_end"), F.col("equal").alias("n_equal"))
-    near = written(near, "passages")
+    near = settled(near, "passages")
     remove(found, asked, slices)
     copies = first.select("d", "doc_id").distinct().join(texts.where(f"copies > 1 and n >= {LEAST}"), "d").where("not (doc_id <=> rep)")
     zero = F.lit(0).cast("long")

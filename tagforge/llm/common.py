@@ -31,6 +31,17 @@ def freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """written(), with which the shuffle files of its plan go at once, whenever the driver collects its garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return written(df, tag)
+    finally:
+        conf.set(key, before)
+
+
 def release() -> None:
     """Gives freed memory back to the system, as Python workers stay for later tasks, of other operators too."""
     pa.default_memory_pool().release_unused()

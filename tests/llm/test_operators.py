@@ -436,6 +436,43 @@ def test_links_of_frequent_seeds():
         assert len({root[name[i]] for i in found}) <= 1 and len(got) < 200 * (chain_dedup.PAIRED + 3)
 
 
+def test_links_of_texts_unlike_the_leader():
+    """A seed of 300 texts: places are connected by links just as all pairs of alike places connect them, in one task or more."""
+    r, memo = random.Random(21), common.Hashes()
+    fill = lambda n: [f"w{r.random()}" for _ in range(n)]
+    # one that is less than its neighbours, whatever they are
+    some = [fill(chain_dedup.K) for _ in range(5000)]
+    seed = some[int(np.argmin(chain_dedup.seeds([common.word_hashes(" ".join(w).encode(), memo) for w in some])[2]))]
+    docs = []
+    for family in range(100):
+        side = fill(2 * chain_dedup.SIDE)
+        for _ in range(3):
+            own = [w if r.random() < 0.75 and i not in (7, 8) else fill(1)[0] for i, w in enumerate(side)]
+            docs.append(fill(20) + own[:8] + seed + own[8:] + fill(20))
+    text = [" ".join(w) for w in docs]
+    words = [common.word_hashes(t.encode(), memo) for t in text]
+    name = {chain_dedup._name(w): i for i, w in enumerate(words)}
+    of, _, key, sides = chain_dedup.seeds(words)[:4]
+    at = np.flatnonzero(key == Counter(key.tolist()).most_common(1)[0][0])
+    assert sorted(of[at]) == list(range(300))
+
+    def connected(pairs):
+        root = list(range(300))
+        for a, b in pairs:
+            x, y = sorted((root[a], root[b]))
+            root = [x if v == y else v for v in root]
+        return root
+
+    i, j = np.triu_indices(300, 1)
+    close = chain_dedup.equal_sides(sides[at[i]], sides[at[j]])[2] >= chain_dedup.ALIKE
+    want = connected(zip(of[at[i[close]]].tolist(), of[at[j[close]]].tolist(), strict=True))
+    assert 70 <= len(set(want)) <= 150
+    for parts in ([text], [text[:70], text[70:130], text[130:]]):
+        rows = [b for p in parts for b in chain_dedup._seeds(1)(iter([pa.RecordBatch.from_pydict({"text": p})]))]
+        got = chain_dedup._links(pa.Table.from_batches(rows)).to_pylist()
+        assert connected((name[x["d"]], name[x["o"]]) for x in got) == want and len(got) < 300 * chain_dedup.PAIRED
+
+
 def test_chains_within_reach():
     """With the operator's reach: a long match far before hides no near predecessor."""
     far, near = (0, 0, 200), [(300, 300, 9), (312, 312, 9), (324, 325, 9), (336, 337, 9)]
