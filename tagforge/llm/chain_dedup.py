@@ -6,7 +6,8 @@
 * Places of a seed with equal words on their sides are a class. Its places in the text of least name, the leader, are linked to those of
   each other text, first to first and so on, which keeps periodic passages on one diagonal; a place is also linked to the one before in its
   own text (so a line repeated a thousand times is one passage). Texts of seeds that PAIRED texts have, or fewer, are all linked to each
-  other, and those of other seeds to the text of least name. Then each class is linked to the most alike of those before it, and classes
+  other, and those of other seeds to the text of least name. Then each class is linked to the most alike of those before it (of seeds with
+  WIDE classes or more, to the most alike of some), and classes
   that are alike but not yet connected are linked: however many texts have a seed, places of it that any chain of alike ones connects
   are connected, and none that is like another is left alone. Each FAR-th seed or so is also linked to the least text in which it stands
   amid the same words: that with the same least hash of the seeds around it.
@@ -213,7 +214,7 @@ def _joint(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def bridges(group: np.ndarray, sides: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of alike rows of one group, given in order of it: of each row to the most alike one before it, and those that connect what chains of alike rows do; root is as for _joint.
+    """Links of alike rows of one group, given in order of it: of each row to the most alike one before it (from WIDE rows on, to one of these), and those that connect what chains of alike rows do; root is as for _joint.
 
     Rows of a group of WIDE or more are compared if two of their words are equal that are in one of ALIKE - 1 parts of the places, as
     of ALIKE equal words two must be.
@@ -221,8 +222,12 @@ def bridges(group: np.ndarray, sides: np.ndarray, root: np.ndarray) -> tuple[np.
     found, whole = [(np.zeros(0, np.int64),) * 2], root.copy()
     most, to = np.full(len(root), ALIKE - 1), np.full(len(root), -1)
 
-    def compare(rows, key):
-        """Pairs of rows of one key, given in order of it."""
+    def compare(rows, key, wide=False):
+        """Pairs of rows of one key, given in order of it; if wide, no more of those that are connected."""
+        if wide and len(key):
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            open_ = np.repeat(np.minimum.reduceat(whole[rows], begin) != np.maximum.reduceat(whole[rows], begin), np.diff(np.concatenate([begin, [len(key)]])))
+            rows, key = rows[open_], key[open_]
         end = np.searchsorted(key, key, side="right")
         count = end - np.arange(len(key)) - 1
         ends = np.cumsum(count)
@@ -236,6 +241,9 @@ def bridges(group: np.ndarray, sides: np.ndarray, root: np.ndarray) -> tuple[np.
                 i = np.repeat(np.arange(at, stop), c)
                 j = lo + i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
                 i, j = rows[i], rows[j]
+                if wide:
+                    open_ = (whole[i] != whole[j]) | (to[j] < 0)
+                    i, j = i[open_], j[open_]
                 equal = alike(sides[i], sides[j]).astype(np.int64)
                 some = equal >= ALIKE
                 i, j, equal = i[some], j[some], equal[some]
@@ -262,7 +270,7 @@ def bridges(group: np.ndarray, sides: np.ndarray, root: np.ndarray) -> tuple[np.
                     x, y = ((sides[many] >> np.uint64(4 * z)) & four for z in (k, n))
                     rows, key = many[(x > 0) & (y > 0)], (group[many] * 256 + (x * np.uint64(16) + y).astype(np.int64))[(x > 0) & (y > 0)]
                     order = np.argsort(key, kind="stable")
-                    compare(rows[order], key[order])
+                    compare(rows[order], key[order], True)
     j = np.flatnonzero(to >= 0)
     _joint(root, to[j], j)
     x, y = (np.concatenate(v) for v in zip(*found, strict=True))
