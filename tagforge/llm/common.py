@@ -32,7 +32,7 @@ def freed(spark: SparkSession) -> None:
 
 
 def settled(df: DataFrame, tag: str) -> DataFrame:
-    """written(), with which the shuffle files of its plan go at once, whenever the driver collects its garbage."""
+    """written(); the shuffle files of its plan are removed at once, not when the driver happens to collect its garbage."""
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(key, "false")
     conf.set(key, "true")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -473,6 +474,19 @@ def test_links_of_texts_unlike_the_leader():
         assert connected((name[x["d"]], name[x["o"]]) for x in got) == want and len(got) < 300 * chain_dedup.PAIRED
 
 
+def test_settled_tables_leave_no_shuffle_files(spark):
+    """Without a collection of the driver's garbage; and the session's setting is as before."""
+    held = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(key), held()
+    got = common.settled(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count(), "settled")
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.2)
+    assert held() <= before and got.count() == 10 and spark.conf.get(key) == was
+
+
 def test_chains_within_reach():
     """With the operator's reach: a long match far before hides no near predecessor."""
     far, near = (0, 0, 200), [(300, 300, 9), (312, 312, 9), (324, 325, 9), (336, 337, 9)]
