@@ -204,39 +204,49 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return flat[np.arange(total) + shift]
 
 
-def _assemble(key, docs, coded):
-    """Ids joined back by position: a block's documents and its words' ids."""
-    release()
-    if not docs.num_rows:
-        return IDS.empty_table()
-    coded = coded.sort_by("range")
-    counts, words = (unpacked(docs.column(k)[0].as_py()) for k in ("counts", "sizes"))
-    at, codes = positions(counts), uncoded(docs.column("codes")[0].as_py())
-    each = [unpacked(x) for x in coded.column("sizes").to_pylist()]
-    in_order = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
-    parts = [unpacked(x) for x in coded.column("ids").to_pylist()]
-    flat = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
-    size, start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    size[at], start[at] = in_order, np.cumsum(in_order) - in_order
-    ids = docs.column("doc_ids")[0].values
-    out, ends = [], np.concatenate([[0], np.cumsum(words.astype(np.int64))])
-    for i in range(0, len(words), 1000):
-        j = min(i + 1000, len(words))
-        c = codes[ends[i] : ends[j]]
-        cum = np.concatenate([[0], np.cumsum(size[c])])
-        lists = pa.ListArray.from_arrays(pa.array(cum[ends[i : j + 1] - ends[i]].astype(np.int32)), pa.array(gather(flat, start[c], size[c])))
-        out.append(pa.record_batch([ids[i:j], lists], schema=IDS))
-    return pa.Table.from_batches(out, schema=IDS)
-
-
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids) of every row, as the tokenizers library encodes its text without adding special tokens."""
+def _assembler(path: str, text: bool):
+    """Ids joined back by position: a block's documents and its words' ids; with text, also what the ids decode to."""
+    schema, table_ = IDS.append(pa.field("text", pa.string())) if text else IDS, []
+
+    def run(key, docs, coded):
+        release()
+        if not docs.num_rows:
+            return schema.empty_table()
+        coded = coded.sort_by("range")
+        counts, words = (unpacked(docs.column(k)[0].as_py()) for k in ("counts", "sizes"))
+        at, codes = positions(counts), uncoded(docs.column("codes")[0].as_py())
+        each = [unpacked(x) for x in coded.column("sizes").to_pylist()]
+        in_order = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
+        parts = [unpacked(x) for x in coded.column("ids").to_pylist()]
+        flat = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+        size, start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        size[at], start[at] = in_order, np.cumsum(in_order) - in_order
+        if text and not table_:
+            table_.append(pa.array(pieces(path), pa.large_string()))
+        ids = docs.column("doc_ids")[0].values
+        out, ends = [], np.concatenate([[0], np.cumsum(words.astype(np.int64))])
+        for i in range(0, len(words), 1000):
+            j = min(i + 1000, len(words))
+            c = codes[ends[i] : ends[j]]
+            cum = np.concatenate([[0], np.cumsum(size[c])])
+            lists = pa.ListArray.from_arrays(pa.array(cum[ends[i : j + 1] - ends[i]].astype(np.int32)), pa.array(gather(flat, start[c], size[c])))
+            out.append(pa.record_batch([ids[i:j], lists, *(joined(lists, x) for x in table_)], schema=schema))
+        return pa.Table.from_batches(out, schema=schema)
+
+    return run
+
+
+def encode(docs: DataFrame, path: str, text: bool = False) -> DataFrame:
+    """(doc_id, ids) of every row, as the tokenizers library encodes its text without adding special tokens; with text, also the decoded text.
+
+    Decoding where the ids are joined spares a second Python worker for each running task; workers stay, and hold memory, long after.
+    """
     ranges = partitions(docs.sparkSession, docs.count(), RANGE_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     t = written(rows.mapInArrow(_splitter(ranges, path), "block long, range int, words binary, doc_ids array<long>, sizes binary, codes array<binary>, counts binary"), "words")
     coded = t.where("range is not null").select("block", "range", "words").groupBy("range").applyInArrow(_encoder(path), "block long, range int, sizes binary, ids binary")
     blocks = t.where("range is null").select("block", "doc_ids", "sizes", "codes", "counts")
-    return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
+    return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assembler(path, text), "doc_id long, ids array<int>" + ", text string" * text)
 
 
 def pieces(path: str) -> list[str]:
@@ -245,6 +255,12 @@ def pieces(path: str) -> list[str]:
     return [whole.id_to_token(i) or "" for i in range(whole.get_vocab_size())]
 
 
+def joined(lists: pa.ListArray, table_: pa.Array) -> pa.Array:
+    """The pieces of each list of ids, joined by spaces."""
+    ends = lists.offsets.to_numpy()
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int64)), table_.take(lists.flatten())), pa.scalar(" ", pa.large_string())).cast(pa.string())
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded with a column text: the ids' pieces joined by spaces, as the library does for a file without decoder."""
     names = encoded.columns
@@ -253,18 +269,14 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         table_ = pa.array(pieces(path), pa.large_string())
         for big in it:
             for b in batches([big], 256):
-                lists = b.column("ids")
-                got = table_.take(lists.flatten())
-                ends = lists.offsets.to_numpy()
-                joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int64)), got), pa.scalar(" ", pa.large_string()))
-                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), joined.cast(pa.string())], names=[*names, "text"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), joined(b.column("ids"), table_)], names=[*names, "text"])
 
     return encoded.mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in encoded.dtypes) + ", text string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
-    return decode(encode(docs, path), path).select(
+    return encode(docs, path, text=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

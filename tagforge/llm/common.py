@@ -31,17 +31,32 @@ def freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def settled(df: DataFrame, tag: str) -> DataFrame:
-    """written(); the shuffle files of its plan are removed at once, not when the driver happens to collect its garbage."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, "false")
-    conf.set(key, "true")
+def _written_under(df: DataFrame, tag: str, key: str, before: str, value: str) -> DataFrame:
+    conf = df.sparkSession.conf
+    conf.set(key, value)
     try:
         return written(df, tag)
     finally:
         conf.set(key, before)
 
 
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """written(); the shuffle files of its plan are removed at once, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    return _written_under(df, tag, key, df.sparkSession.conf.get(key, "false"), "true")
+
+
+def narrow(df: DataFrame, tag: str) -> DataFrame:
+    """written(); Python gets batches of about BATCH_BYTES, or of the session's limit if that is less."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before := spark.conf.get(key))
+    return _written_under(df, tag, key, before, str(min(limit, BATCH_BYTES) if limit > 0 else BATCH_BYTES))
+
+
+#: Each running task has a batch in its executor's memory outside the heap, in buffers of up to twice its size, and again in Python; Spark's own limit is 64 MB.
+BATCH_BYTES = 4 << 20
+
+
 def release() -> None:
     """Gives freed memory back to the system, as Python workers stay for later tasks, of other operators too."""
     pa.default_memory_pool().release_unused()

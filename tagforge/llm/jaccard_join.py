@@ -38,21 +38,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hashes, byte_column, components, freed, mixed, partitions, release, remove, row_key, shingle_hashes, signed, table, without, word_hashes, written
+from .common import Hashes, byte_column, components, freed, mixed, narrow, partitions, release, remove, row_key, shingle_hashes, signed, table, without, word_hashes, written
 
 #: The largest sum of sizes of a scheme is so many times the next smaller scheme's.
 RATIO = 1.4
 SCHEMES = 64
 LEVELS = 4
-#: Names held while a task counts or deals its own, and names of a block, about.
+#: Names held while a task counts its own (half as many while it deals them), names of a block, about, and rows of a block of the further products, which come with their column counts.
 CHUNK = 1_000_000
 IN_BLOCK = 400_000
+WHOLE_BLOCK = 25_000
 #: log2 of the rows from which a name is dealt to sub-blocks of half as many; 2^HOTTEST names are dealt at most, the least number of rows rises with the corpus.
 SPLIT_AT = 14
 HOTTEST = 18
-#: Pairs compared at once, and bytes of their column counts.
-PAIRS = 1_000_000
-COMPARED = 16 << 20
+#: Pairs compared at once, and bytes of their column counts; a task holds some ten times as much.
+PAIRS = 250_000
+COMPARED = 4 << 20
 #: Rows under one name from which neighbours in size are tried too.
 NEIGHBOURS = 8
 
@@ -239,7 +240,7 @@ def hot_names(counts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _deal(blocks: int, hot):
-    """Names to blocks: a row for each block of about CHUNK names, with the rows' ids, which of these each name is of, and its sub-blocks."""
+    """Names to blocks: a row for each block of about CHUNK / 2 names, with the rows' ids, which of these each name is of, and its sub-blocks."""
 
     def send(ids, of, names):
         tok, cls = hot.value
@@ -271,7 +272,7 @@ def _deal(blocks: int, hot):
                 names.append(np.frombuffer(x, np.uint64))
                 base += len(ids[-1])
                 size += len(names[-1])
-                if size >= CHUNK:
+                if size >= CHUNK // 2:
                     yield send(ids, of, names)
                     ids, of, names, size, base = [], [], [], 0, 0
         if names:
@@ -325,6 +326,16 @@ def _numbers(tab, *names):
     return (tab.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in names)
 
 
+def _taken(col: pa.ChunkedArray, rows: np.ndarray) -> list[bytes]:
+    """Values at these rows, without a copy of the others."""
+    out, ends = np.empty(len(rows), object), np.cumsum([len(c) for c in col.chunks])
+    chunk = np.searchsorted(ends, rows, side="right")
+    for k in np.unique(chunk).tolist():
+        some = np.flatnonzero(chunk == k)
+        out[some] = col.chunk(k).take(pa.array(rows[some] - (ends[k] - len(col.chunk(k))))).to_pylist()
+    return out.tolist()
+
+
 def _sparse(num: int, den: int):
     def run(tab):
         schemes = Schemes(num, den)
@@ -349,6 +360,15 @@ def _sparse(num: int, den: int):
 def _whole(num: int, den: int, every: bool):
     """Pairs of rows of different components under one name; if not every, the closest of each two components."""
 
+    def closest(root, i, j, far):
+        p, q = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+        best = np.lexsort((far, q, p))
+        p, q = p[best], q[best]
+        new = np.ones(len(p), bool)
+        new[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+        best = best[new]
+        return i[best], j[best], far[best]
+
     def run(tab):
         schemes = Schemes(num, den)
         cols = dict(zip(names := ("tok", "i", "j", "salt", "id", "n", "root"), _numbers(tab, *names), strict=True))
@@ -364,7 +384,7 @@ def _whole(num: int, den: int, every: bool):
         x, g, order = {k: v[keep] for k, v in x.items()}, g[keep], order[keep]
         ids, n, root, salt, tok = x["id"], x["n"].astype(np.int64), x["root"], x["salt"], x["tok"]
         _, first, of = np.unique(ids, return_index=True, return_inverse=True)
-        counts = Counts(tab.column("counts").combine_chunks().take(pa.array(order[first])).to_pylist())
+        counts = Counts(_taken(tab.column("counts"), order[first]))
         across = x["i"] != x["j"]
         width = int(n.max()) + 1
         end = np.searchsorted(g * width + n, g * width + np.minimum(n * den // num, width - 1), side="right")
@@ -387,16 +407,12 @@ def _whole(num: int, den: int, every: bool):
             far = counts.apart(of[i], of[j])
             ok = far <= schemes.may_differ(n[i], n[j])
             i, j, far = i[ok], j[ok], far[ok]
-            if not every:
-                p, q = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
-                best = np.lexsort((far, q, p))
-                p, q = p[best], q[best]
-                new = np.ones(len(p), bool)
-                new[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1])
-                i, j = i[best[new]], j[best[new]]
-            found.append((ids[i], ids[j]))
+            found.append((i, j, far) if every else closest(root, i, j, far))
             at = to
-        return _once(*(np.concatenate(p) for p in zip(*found, strict=True)))
+        i, j, far = (np.concatenate(p) for p in zip(*found, strict=True))
+        if not every:
+            i, j, far = closest(root, i, j, far)
+        return _once(ids[i], ids[j])
 
     return run
 
@@ -468,9 +484,9 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, tag: str) ->
     """Those of the pairs (a, b) that link, as a written table."""
     side = lambda x, *cols: sets.select(F.col("id").alias(x), *[F.col(c).alias(c[0] + x) for c in cols])
     close = pairs.join(side("a", "n", "counts"), "a").join(side("b", "n", "counts"), "b").mapInArrow(_near(num, den), PAIR_DDL)
-    close = written(close, tag + "-pairs")
+    close = narrow(close, tag + "-pairs")
     freed(close.sparkSession)
-    links = written(close.join(side("a", "n", "s"), "a").join(side("b", "n", "s"), "b").mapInArrow(_linked(num, den), PAIR_DDL), tag + "-links")
+    links = narrow(close.join(side("a", "n", "s"), "a").join(side("b", "n", "s"), "b").mapInArrow(_linked(num, den), PAIR_DDL), tag + "-links")
     remove(close)
     freed(links.sparkSession)
     return links
@@ -487,12 +503,12 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     spark = docs.sparkSession
     i, h = row_key()
     keyed = docs.select(i.alias("doc_id"), h, "text")
-    first = written(keyed.mapInArrow(_signatures(k, num, den), FIRST_DDL), "signatures")
+    first = narrow(keyed.mapInArrow(_signatures(k, num, den), FIRST_DDL), "signatures")
     total = first.where("kind = 1").agg(F.sum("n")).first()[0] or 0
     hot = spark.sparkContext.broadcast(hot_names(first.where("kind = 2"), total))
     blocks = partitions(spark, total, IN_BLOCK)
     dealt = first.where("kind = 1").select("ids", "counts", "names").mapInArrow(_deal(blocks, hot), DEALT_DDL)
-    columns = written(dealt.groupBy("block").applyInArrow(_shared, COLUMN_DDL), "columns")
+    columns = narrow(dealt.groupBy("block").applyInArrow(_shared, COLUMN_DDL), "columns")
     # the names are done with: what is still asked for of each document is a small table of its own
     packed, first = first, written(first.where("kind = 0").select("a", "n", "id", "h"), "documents")
     remove(packed)
@@ -503,7 +519,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     # whole sets of the rows that share a name; ids may be null or repeated, so that a row is named by its text's hash too
     wanted = written(columns.select("id").distinct().join(reps, "id").select(F.col("doc_id").alias("i"), F.col("h").alias("text_h")).distinct(), "wanted")
     chosen = keyed.join(wanted.hint("merge"), keyed["doc_id"].eqNullSafe(wanted["i"]) & (keyed["h"] == wanted["text_h"]), "left_semi").select("text")
-    whole = written(chosen.mapInArrow(_sets(k), SET_DDL).dropDuplicates(["id"]), "sets")
+    whole = narrow(chosen.mapInArrow(_sets(k), SET_DDL).dropDuplicates(["id"]), "sets")
     remove(wanted)
     freed(spark)
 
@@ -523,7 +539,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
         old, rows = rows, written(rows.join(met, "tok", "left_semi"), "met")
         remove(old)
         freed(spark)
-        mixed_blocks = partitions(spark, rows.count(), IN_BLOCK // 4)
+        mixed_blocks = partitions(spark, rows.count(), WHOLE_BLOCK)
         tiles = rows.where("salts > 1").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("i", F.least("salt", "o")).withColumn("j", F.greatest("salt", "o")).drop("o")
         alone = rows.where("salts = 1").withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
         tile = F.pmod(F.xxhash64("tok", "i", "j"), F.lit(mixed_blocks)).alias("block")

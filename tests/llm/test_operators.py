@@ -111,6 +111,73 @@ def test_jaccard_through_a_null_id(spark):
     assert (2, 1) in got and (None, 1) in got
 
 
+def test_jaccard_batches_are_small(spark, monkeypatch):
+    """Long texts do not come to Python 10000 at once, and the session's limit is as it was afterwards."""
+    signatures, key = jaccard_join._signatures, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def watched(*args):
+        run = signatures(*args)
+
+        def checked(it):
+            for b in it:
+                assert b.nbytes <= 8 << 20
+                yield from run(iter([b]))
+
+        return checked
+
+    monkeypatch.setattr(jaccard_join, "_signatures", watched)
+    before = spark.conf.get(key)
+    docs = spark.range(0, 600, 1, 1).selectExpr("id as doc_id", "repeat(concat('w', id div 2), 10000) as text")
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(docs, 5, 80, 100).collect()}
+    assert got == {i: i - i % 2 for i in range(600)} and spark.conf.get(key) == before
+    monkeypatch.undo()
+    spark.conf.set(key, "1000")
+    try:
+        sizes = common.narrow(docs.limit(50).mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in it), "n long"), "sizes").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert [r.n for r in sizes] == [1] * 50
+
+
+def test_jaccard_pairs_of_a_block(monkeypatch):
+    """Rows under one name: every pair within bounds, or the closest of each two components however the pairs are cut, in little memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    n, size = 3000, 400
+    base = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[3 * (r % 10) :], rng.integers(0, 1 << 63, 2, dtype=np.uint64)])) for r in range(n)]
+    lens, root = np.array([len(x) for x in sets]), np.arange(n) % 40
+    schemes = jaccard_join.Schemes(80, 100)
+    kind = next(j for j, total in enumerate(schemes.sums) if total >= 2 * size - 60) * jaccard_join.LEVELS
+    cols = {"tok": np.full(n, kind), "i": np.zeros(n, int), "j": np.zeros(n, int), "salt": np.zeros(n, int), "id": np.arange(n), "n": lens, "root": root}
+    tab = pa.concat_tables([pa.table(cols | {"counts": [jaccard_join.column_counts(x) for x in sets]}).slice(at, 700) for at in range(0, n, 700)])
+
+    def pairs(rows, every):
+        got = jaccard_join._whole(80, 100, every)(rows)
+        return list(zip(*(got.column(k).to_pylist() for k in ("a", "b")), strict=True))
+
+    tracemalloc.start()
+    one = pairs(tab, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20, peak
+    few, counts = tab.slice(0, 900), jaccard_join.Counts(tab.column("counts").to_pylist()[:900])
+    i, j = np.triu_indices(900, 1)
+    far = counts.apart(i, j)
+    ok = schemes.meant(np.full(len(i), kind), lens[i], lens[j]) & (root[i] != root[j]) & (far <= schemes.may_differ(lens[i], lens[j]))
+    assert pairs(few, True) == list(zip(i[ok].tolist(), j[ok].tolist(), strict=True)) and ok.sum() > 100_000
+    least = {}
+    for a, b, f in zip(i[ok].tolist(), j[ok].tolist(), far[ok].tolist(), strict=True):
+        of = (min(root[a], root[b]), max(root[a], root[b]))
+        least[of] = min(f, least.get(of, f))
+    monkeypatch.setattr(jaccard_join, "PAIRS", 5000)
+    for found in (one, pairs(few, False)):
+        assert len(found) == len({(min(root[a], root[b]), max(root[a], root[b])) for a, b in found}) == len(least)
+    far_of = lambda a, b: int(counts.apart(np.array([a]), np.array([b]))[0])
+    assert all(far_of(a, b) == least[min(root[a], root[b]), max(root[a], root[b])] for a, b in pairs(few, False))
+
+
 def test_sub_blocks_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SPLIT_AT", 1)
     test_jaccard_near_copies_of_one_text(spark)
@@ -261,6 +328,19 @@ def test_bpe_words(spark):
     assert bpe_words.digests(frame(spark, []), path).count() == 0
 
 
+def test_bpe_words_needs_one_worker_a_task(spark):
+    """No task of the encoding pipes rows through two Python workers; decode() by itself gives the same texts."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = frame(spark)
+    out = bpe_words.digests(docs, path)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and " MapInArrow" not in plan
+    apart = bpe_words.decode(bpe_words.encode(docs, path), path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"))
+    assert rows_of(out, "doc_id", "n_tokens", "decoded_sha256") == rows_of(apart, "doc_id", "n_tokens", "decoded_sha256")
+
+
 def test_packing_round_trip():
     for a in (np.array([], np.uint32), np.array([0, 1, 2**32 - 1, 70000], np.uint32), np.arange(1000, dtype=np.uint32)):
         assert (bpe_words.unpacked(bpe_words.packed(a)) == a).all()
