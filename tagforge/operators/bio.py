@@ -31,16 +31,19 @@ def encode(base: DataFrame, split: callable = tokens) -> DataFrame:
 
     split: tokens() for words, characters() for languages without spaces. Mentions without tokens are left out.
     """
-    placed = F.transform("mentions", lambda m: F.struct(first_match(F.col("tokens"), split(m["entity"])).alias("at"), F.size(split(m["entity"])).alias("n"), tag_name(m["category"]).alias("tag")))
-    placed = F.filter(placed, lambda p: (p["at"] >= 0) & (p["n"] > 0))
-
-    def tag(_, i):
-        over = F.filter(F.col("placed"), lambda p: (p["at"] <= i) & (i < p["at"] + p["n"]))
-        top = F.element_at(over, -1)
-        return F.when(F.size(over) == 0, "O").otherwise(F.concat(F.when(top["at"] == i, "B-").otherwise("I-"), top["tag"]))
-
-    got = base.withColumn("tokens", split(F.col("sentence"))).withColumn("placed", placed)
-    return got.withColumn("tags", F.transform("tokens", tag)).drop("placed")
+    # exploded arrays of one struct: each is then computed once for a row, not once for each element that looks it up
+    row = lambda df, **cols: df.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))).alias("_x")).select(*df.columns, "_x.*")
+    last = F.reverse(F.filter("mentions", lambda m: m["entity"].isNotNull()))
+    got = row(base, tokens=split(F.col("sentence")), _last=last, _of=F.transform(last, lambda m: m["entity"]))
+    # equal entities lie on the same tokens, so the last of them counts; then the first in this order is on top
+    got = row(got, _parts=F.transform(F.array_distinct("_of"), lambda e: F.struct(split(e).alias("part"), tag_name(F.get(F.col("_last"), (F.array_position("_of", e) - 1).cast("int"))["category"]).alias("tag"))))
+    at = lambda p: F.when(F.size(p) == 1, F.array_position("tokens", p[0]).cast("int") - 1).otherwise(first_match(F.col("tokens"), p))
+    placed = F.filter(F.transform("_parts", lambda p: F.struct(at(p["part"]).alias("at"), F.size(p["part"]).alias("n"), p["tag"].alias("tag"))), lambda p: (p["at"] >= 0) & (p["n"] > 0))
+    got = row(got, _placed=placed)
+    over = F.flatten(F.transform("_placed", lambda p: F.sequence(p["at"], p["at"] + p["n"] - 1)))
+    tags = F.flatten(F.transform("_placed", lambda p: F.transform(F.sequence(F.lit(1), p["n"]), lambda k: F.concat(F.when(k == 1, "B-").otherwise("I-"), p["tag"]))))
+    got = row(got, _over=over, _tags=F.concat(F.array(F.lit("O")), tags))
+    return got.select(*base.columns, "tokens", F.transform("tokens", lambda _, i: F.get("_tags", F.array_position("_over", i).cast("int"))).alias("tags"))
 
 
 def token_rows(tagged: DataFrame, *keys: str) -> DataFrame:
