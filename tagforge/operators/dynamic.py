@@ -19,12 +19,26 @@ from tagforge.operators.taxonomy import Taxonomy, lookup, synonym_map
 
 SEED = 42
 
+#: So many different pairs of prompt and answer at most are worked out apart from the rows.
+PAIRS = 50_000
+
 
 def _with(rows: DataFrame, one: DataFrame) -> DataFrame:
     """rows with the columns of a one-row table."""
     return rows.join(F.broadcast(one))
 
 
+def _known(rows: DataFrame, *keys: str, one: DataFrame | None = None, **columns: Column) -> DataFrame:
+    """rows with columns that depend on their keys, and a one-row table, alone: where many rows share keys, they are worked out once for each and looked up."""
+    n = rows.agg(F.approx_count_distinct(F.xxhash64(*keys)).alias("n")).first()["n"]
+    if n > PAIRS:
+        return (rows if one is None else _with(rows, one)).select(*rows.columns, *[c.alias(k) for k, c in columns.items()])
+    few = rows.select(*keys).distinct()
+    few = (few if one is None else _with(few, one)).select(*[F.col(k).alias(f"_{k}") for k in keys], *[c.alias(k) for k, c in columns.items()])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return rows.join(F.broadcast(few), same).drop(*[f"_{k}" for k in keys])
+
+
 def special(o: Column) -> Column:
     return o.startswith("miscellaneous") | o.startswith("other")
 
@@ -38,7 +52,9 @@ def merge(rows: DataFrame, taxonomy: Taxonomy, seed: int = SEED) -> DataFrame:
     g = rows.groupBy(F.floor(F.col("row_id") / 3).cast("long").alias("g")).agg(F.array_sort(F.collect_list(F.struct("row_id", "prompt", "answer"))).alias("r"))
     g = _with(g, m).withColumn("hit", (F.size("r") >= 2) & (rng.uniform(seed, F.col("g"), "merge") < F.col("p")))
     one, two = F.col("r")[0], F.get("r", F.lit(1))
-    parents = taxonomy.parent()
+    # chances are known now, so that lists are read where they hit alone
+    only = lambda c: F.when(F.col("hit"), c)
+    parents = {k: v for k, v in taxonomy.parent().items() if k != v}
     parent = lambda c: F.coalesce(lookup(parents, c), c)
     related = taxonomy.related_table(rows.sparkSession)
     g = g.withColumn("second", two["answer"]).join(F.broadcast(related.withColumnRenamed("category", "second")), "second", "left")
@@ -46,10 +62,15 @@ def merge(rows: DataFrame, taxonomy: Taxonomy, seed: int = SEED) -> DataFrame:
     g = g.withColumn("related", F.coalesce("related", F.array(*map(F.lit, taxonomy.first))))
     others = F.filter(T.list_options(two["prompt"]), lambda o: o != F.col("second"))
     ranked = F.array_sort(F.transform(others, lambda o: F.struct((~F.array_contains("related", o)).alias("k"), rng.digest(seed, F.col("g"), F.concat(F.lit("type|"), o)).alias("h"), o.alias("o"))))
-    g = g.withColumn("types", F.concat(F.array("second"), F.transform(F.slice(ranked, 1, 2), lambda s: s["o"])))
-    kept = F.filter(T.list_options(one["prompt"]), lambda o: ~F.exists("types", lambda t: parent(t) == o))
-    g = g.withColumn("all", F.array_distinct(F.concat(kept, "types")))
-    g = g.withColumn("new", F.array_sort(F.filter("all", lambda o: ~F.exists("all", lambda x: (x != o) & (parent(x) == o)))))
+    # each column is exploded, so that it is there once when the next one looks it up for each of its elements
+    put = lambda df, name, c: df.select("*", F.explode(F.array(c)).alias(name))
+    g = put(g, "types", only(F.concat(F.array("second"), F.transform(F.slice(ranked, 1, 2), lambda s: s["o"]))))
+    g = put(g, "above", only(F.transform("types", parent)))
+    kept = F.filter(T.list_options(one["prompt"]), lambda o: ~F.coalesce(F.array_contains("above", o), F.lit(False)))
+    g = put(g, "all", only(F.array_distinct(F.concat(kept, "types"))))
+    # names above another of the list: those that are above themselves alone have no parent here
+    g = put(g, "uppers", only(F.filter(F.transform("all", lambda x: lookup(parents, x)), lambda p: p.isNotNull())))
+    g = g.withColumn("new", only(F.array_sort(F.filter("all", lambda o: ~F.array_contains("uppers", o)))))
     merged = F.struct(one["row_id"].alias("row_id"), T.with_options(one["prompt"], F.col("new")).alias("prompt"), F.col("second").alias("answer"))
     out = F.when(F.col("hit"), F.concat(F.array(merged), F.slice("r", 3, F.greatest(F.size("r") - 2, F.lit(0))))).otherwise(F.col("r"))
     return g.select(F.explode(out).alias("x")).select("x.*")
@@ -64,7 +85,7 @@ def swap_synonyms(rows: DataFrame, taxonomy: Taxonomy, synonyms: dict[str, str]
     """Stage 2: in some rows options and answers more frequent (or rarer) than the median give way to synonyms."""
     m = metrics.evaluate(rows, taxonomy).select(F.when(F.col(metrics.NAMES[3]) > 2.0, 0.2).otherwise(0.4).alias("p"), (F.col(metrics.NAMES[2]) > 0.6).alias("high"))
     table = synonyms or synonym_map()
-    r = _with(_with(rows, m), _frequencies(rows))
+    one = _with(m, _frequencies(rows))
 
     def swap(w: Column) -> Column:
         n = F.coalesce(F.col("freq")[w], F.lit(0))
@@ -72,15 +93,17 @@ def swap_synonyms(rows: DataFrame, taxonomy: Taxonomy, synonyms: dict[str, str]
         s = lookup(table, T.fold(w, ascii_only=True))
         return F.when(due & s.isNotNull(), s).otherwise(w)
 
+    # what a hit gives depends on the prompt and the answer alone
+    few = _known(rows, "prompt", "answer", one=one, p=F.col("p"), swapped=F.struct(T.with_options(F.col("prompt"), F.transform(T.tail_options(F.col("prompt")), swap)).alias("prompt"), swap(F.col("answer")).alias("answer")))
     hit = rng.uniform(seed, F.col("row_id"), "synonym") <= F.col("p")
-    return r.select("row_id", F.when(hit, T.with_options(F.col("prompt"), F.transform(T.tail_options(F.col("prompt")), swap))).otherwise(F.col("prompt")).alias("prompt"), F.when(hit, swap(F.col("answer"))).otherwise(F.col("answer")).alias("answer"))
+    return few.select("row_id", *[F.when(hit, F.col(f"swapped.{c}")).otherwise(F.col(c)).alias(c) for c in ("prompt", "answer")])
 
 
 def reduce_options(rows: DataFrame, taxonomy: Taxonomy, seed: int = SEED) -> DataFrame:
     """Stage 3: in some rows with more than three options only the answer and a random choice of the others stay."""
     m = metrics.evaluate(rows, taxonomy).select(F.when(F.col(metrics.NAMES[1]) < 0.8, 0.24).otherwise(0.3).alias("p"))
     id_ = F.col("row_id")
-    r = _with(rows, m).withColumn("o", T.tail_options(F.col("prompt")))
+    r = _with(_known(rows, "prompt", "answer", o=T.tail_options(F.col("prompt"))), m)
     r = r.withColumn("hit", (F.size("o") > 3) & (rng.uniform(seed, id_, "reduce") < F.col("p")))
     size = F.size("o") + F.when(F.array_contains("o", F.col("answer")), 0).otherwise(1)
     others = F.filter("o", lambda x: x != F.col("answer"))
@@ -102,17 +125,18 @@ def special_answers(rows: DataFrame, taxonomy: Taxonomy, seed: int = SEED) -> Da
         weights(0.1, 0.2).alias("w0"), weights(0.3, 0.5).alias("w1"), weights(0.5, 0.8).alias("w2"),
     )
     id_ = F.col("row_id")
-    r = _with(rows, m).withColumn("o", T.tail_options(F.col("prompt")))
-    first = F.array_position(F.transform("o", special), True)
-    r = r.withColumn("o", F.filter("o", lambda x, i: ~special(x) | (i + 1 == first)))
-    r = r.withColumn("hit", (F.size("o") >= 3) & (rng.uniform(seed, id_, "special") < F.col("p")))
-    r = r.withColumn("new", F.coalesce(F.get(F.filter("o", special), F.lit(0)), F.lit("unknown")))
-    r = r.withColumn("o", F.when(F.array_contains("o", F.col("new")), F.col("o")).otherwise(F.concat("o", F.array("new"))))
+    o = T.tail_options(F.col("prompt"))
+    first = F.get(F.filter(o, special), F.lit(0))
+    at = F.array_position(F.transform(o, special), True)
+    o, new = F.filter(o, lambda x, i: ~special(x) | (i + 1 == at)), F.coalesce(first, F.lit("unknown"))
+    more = F.when(F.array_contains(o, new), o).otherwise(F.concat(o, F.array(new)))
+    r = _with(_known(rows, "prompt", "answer", enough=F.size(o) >= 3, new=new, o=more), m)
+    r = r.withColumn("hit", F.col("enough") & (rng.uniform(seed, id_, "special") < F.col("p")))
     u = rng.uniform(seed, id_, "drop")
     cut = F.when(u < F.col("w0"), 0).when(u < F.col("w1"), 1).when(u < F.col("w2"), 2).otherwise(3)
     r = r.withColumn("cut", F.greatest(F.lit(0), F.least(cut, F.size("o") - 3)))
     gone = F.slice(rng.shuffled(seed, id_, "gone", F.filter("o", lambda x: x != F.col("new"))), F.lit(1), F.col("cut"))
-    r = r.withColumn("gone", gone)
+    r = r.select("*", F.explode(F.array(F.when(F.col("hit"), gone))).alias("gone"))
     kept = F.filter("o", lambda x: ~F.array_contains("gone", x))
     return r.select("row_id", F.when(F.col("hit"), T.with_options(F.col("prompt"), rng.shuffled(seed, id_, "order4", kept))).otherwise(F.col("prompt")).alias("prompt"), F.when(F.col("hit"), F.col("new")).otherwise(F.col("answer")).alias("answer"), F.when(F.col("hit"), F.col("answer")).alias("original_answer"))
 
@@ -132,11 +156,13 @@ def random_variant(rows: DataFrame, taxonomy: Taxonomy, synonyms: dict[str, str]
     table = synonym_map() if synonyms is None else synonyms
     leaf = {k.lower(): v.lower() for k, v in taxonomy.leaf_parent().items()}
     id_, old = F.col("row_id"), F.lower(T.strip(F.col("response")))
-    r = rows.withColumn("old", old).withColumn("s", F.floor(rng.uniform(seed, id_, "strategy") * 4).cast("int") + 1).withColumn("list", T.listed(F.col("query")))
+    listed = T.listed(F.col("query"))
+    r = _known(rows, "query", "response", old=old, list=listed, o=F.transform(F.split(listed, ","), lambda x: F.when(~F.coalesce(F.lower(T.strip(x)) == old, F.lit(False)), T.strip(x))))
+    r = r.withColumn("s", F.floor(rng.uniform(seed, id_, "strategy") * 4).cast("int") + 1)
     catch = F.when(rng.uniform(seed, id_, "catch") < 0.5, "miscellaneous").otherwise("other")
     swapped = F.coalesce(lookup(table, F.col("old")), F.col("old")) if table else F.col("old")
     r = r.withColumn("new", F.when(F.col("s") == 1, F.coalesce(lookup(leaf, F.col("old")), F.col("old"))).when(F.col("s") == 2, swapped).when(F.col("s") == 4, catch).otherwise(F.col("old")))
-    r = r.withColumn("o", F.transform(F.split("list", ","), lambda x: F.when(F.lower(T.strip(x)) == F.col("old"), F.col("new")).otherwise(T.strip(x))))
+    r = r.select(*[c for c in r.columns if c != "o"], F.explode(F.array(F.transform("o", lambda x: F.coalesce(x, F.col("new"))))).alias("o"))
     at = F.array_position("o", F.col("new"))
     rest = F.filter("o", lambda _, i: i + 1 != at)
     take = rng.randint(seed, id_, "fewer", 2, F.size("o") - 1) - 1

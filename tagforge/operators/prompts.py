@@ -41,6 +41,16 @@ def mark_each(sentence: Column, entities: Column) -> Column:
 
     An entity that only stands behind the cursor stays unmarked.
     """
+    return F.zip_with(entities, places_of(sentence, entities), lambda e, p: mark_at(sentence, e, p))
+
+
+def mark_at(sentence: Column, entity: Column, place: Column) -> Column:
+    """The sentence with the entity at a place (one-based, 0: nowhere) marked."""
+    return F.when(place > 0, F.concat(sentence.substr(F.lit(1), place - 1), F.lit("##"), entity, F.lit("##"), sentence.substr(place + F.length(entity), F.length(sentence)))).otherwise(sentence)
+
+
+def places_of(sentence: Column, entities: Column) -> Column:
+    """One-based places of entities that are sought left to right, each from the end of the last found; 0 for one that is not there."""
     start = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<int>").alias("at"))
 
     def step(s, e):
@@ -48,14 +58,13 @@ def mark_each(sentence: Column, entities: Column) -> Column:
         after = lambda p: F.struct(F.when(p > 0, p - 1 + F.length(e)).otherwise(s["cursor"]).alias("cursor"), F.concat(s["at"], F.array(p)).alias("at"))
         return F.get(F.transform(F.array(_locate(e, sentence, s["cursor"])), after), F.lit(0))
 
-    places = F.aggregate(entities, start, step, lambda s: s["at"])
-    return F.zip_with(entities, places, lambda e, p: F.when(p > 0, F.concat(sentence.substr(F.lit(1), p - 1), F.lit("##"), e, F.lit("##"), sentence.substr(p + F.length(e), F.length(sentence)))).otherwise(sentence))
+    return F.aggregate(entities, start, step, lambda s: s["at"])
 
 
 def _locate(e: Column, sentence: Column, cursor: Column) -> Column:
     """One-based place of e at or after the cursor (zero-based), 0 without one; an empty entity has none."""
-    rest = F.instr(sentence.substr(cursor + 1, F.length(sentence)), e)
-    return F.when((rest > 0) & (F.length(e) > 0), rest + cursor).otherwise(F.lit(0)).cast("int")
+    at = F.call_function("locate", e, sentence, cursor + 1)
+    return F.when((at > 0) & (F.length(e) > 0), at).otherwise(F.lit(0)).cast("int")
 
 
 def conversation(prompt: Column, answer: Column) -> Column:
@@ -71,21 +80,29 @@ def stage1(base: DataFrame, max_sentences: int | None = None) -> DataFrame:
     return base.select("ord", F.col("sentence").alias("prompt"), answer.alias("answer")).withColumn("conversations", conversation(F.col("prompt"), F.col("answer")))
 
 
-def stage2(base: DataFrame, taxonomy: Taxonomy, max_sentences: int | None = None) -> DataFrame:
+def stage2(base: DataFrame, taxonomy: Taxonomy, max_sentences: int | None = None, sentences: bool = True) -> DataFrame:
     """(row_id, ord, pos, level, prompt, answer, options): three prompts for each mention, one for each level.
 
+    sentences=False leaves entity and sentence out of prompts whose sentence has no 'list:', for those who only read or rewrite the
+    options: these are found by 'list: ', 'in the list:' and the last colon, so such a prompt reads the same without its sentence.
     row_id keeps the order and the threes of a numbering by sentence, mention and level, without a global sort:
     3 * (ord * 2^32 + pos) + level - 1.
     """
     if max_sentences is not None:
         base = base.where(F.col("ord") < max_sentences)
     spark = base.sparkSession
-    # marked sentences are a column of their own, so that they are left out where only answers are asked for
-    m = base.select("ord", "mentions", mark_each(F.col("sentence"), F.col("mentions.entity")).alias("marked"))
-    m = m.select("ord", "marked", F.posexplode("mentions").alias("pos", "m")).select("ord", "pos", "m.entity", "m.category", F.get("marked", F.col("pos")).alias("marked"))
+    # places and marked sentences are columns of their own, so that they are left out where only answers are asked for; sentences are
+    # marked a mention at a time, as those of all mentions are too much for one row
+    told = F.lit(True) if sentences else F.instr("sentence", "list:") > 0
+    entities = F.col("mentions.entity")
+    places = places_of(F.col("sentence"), entities) if sentences else F.when(told, places_of(F.col("sentence"), entities))
+    m = base.select("ord", "mentions", F.when(told, F.col("sentence")).alias("sentence"), places.alias("places"))
+    m = m.select("ord", "sentence", "places", F.posexplode("mentions").alias("pos", "m")).select("ord", "pos", "m.entity", "m.category", "sentence", F.get("places", F.col("pos")).alias("place"))
+    marked = mark_at(F.col("sentence"), F.col("entity"), F.col("place"))
+    shown = [F.col("entity"), marked] if sentences else [F.when(F.col("sentence").isNull(), "").otherwise(F.col("entity")), F.coalesce(marked, F.lit(""))]
     m = m.join(F.broadcast(taxonomy.path_table(spark)), "category", "left")
     path = [F.coalesce(c, F.lit("miscellaneous")) for c in ("l1", "l2", "l3")]
-    m = m.select("ord", "pos", "entity", "marked", F.posexplode(F.array(*path)).alias("k", "answer"))
+    m = m.select("ord", "pos", shown[0].alias("entity"), shown[1].alias("marked"), F.posexplode(F.array(*path)).alias("k", "answer"))
     o = taxonomy.options_table(spark)
     m = m.join(F.broadcast(o), (o["level"] == m["k"] + 1) & (o["category"] == m["answer"]), "left")
     return m.select(

@@ -6,8 +6,9 @@ import threading
 from pyspark.sql import functions as F
 
 from tagforge.functions import text as T
-from tagforge.operators import bio
+from tagforge.operators import bio, dynamic, prompts
 from tagforge.operators.numbering import numbered
+from tagforge.operators.taxonomy import Taxonomy
 
 MENTIONS = "array<struct<entity:string,category:string>>"
 
@@ -70,3 +71,36 @@ def test_white_space_at_the_ends_and_between(spark):
     texts = ["".join(r.choice("ab-\n \t\x85 \x1c") for _ in range(30)) for _ in range(300)]
     old = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("t", rf"-\n{T.WS}*", ""), "\n", " "), rf"{T.WS}+", " "), "^ +| +$", "")
     assert spark.createDataFrame([(t,) for t in texts], "t string").where(T.clean(F.col("t")) != old).count() == 0
+
+
+def test_options_need_no_sentence(spark):
+    """A long sentence of many mentions: rewrites read the options alone, unless the sentence has a list of its own."""
+    words = long_words(3000)
+    d = spark.createDataFrame([(0, " of ".join(words), [(w, "city") for w in words]), (1, "See list: museums, or so: it is", [("museums", "film")])], f"ord int, sentence string, mentions {MENTIONS}")
+    short, full = (prompts.stage2(d, Taxonomy.of(), sentences=x).select("row_id", "prompt", "answer") for x in (False, True))
+    parts = lambda r: [c.alias(k) for k, c in {"a": T.list_options(F.col("prompt")), "b": T.tail_options(F.col("prompt")), "c": T.listed(F.col("prompt"))}.items()]
+    got = soon(spark, short.select("row_id", F.length("prompt").alias("n"), *parts(short)))
+    few = full.where("row_id % 97 < 3 or row_id >= 3 * (1L << 32)")
+    want = {r.row_id: r for r in few.select("row_id", *parts(few)).collect()}
+    assert len(got) == 9003 and sum(r.n for r in got) < 9003 * 400 and len(want) > 100
+    assert all((r.a, r.b, r.c) == (want[r.row_id].a, want[r.row_id].b, want[r.row_id].c) for r in got if r.row_id in want)
+    assert {tuple(r.a) for r in got if r.row_id >> 32 >= 3} == {("##museums##", "or so: it is\" belongs to which entity in the ")}
+
+
+def test_lists_in_one_string(spark):
+    r = random.Random(6)
+    texts = ["".join(r.choice(["a", "b c", ",", ", ", " ", "?", "\t", "\u00a0", ":"]) for _ in range(8)) for _ in range(500)]
+    d = spark.createDataFrame([(t,) for t in [*texts, None, "x: a, b c, d?"]], "t string")
+    assert d.where(~T.tail_joined(F.col("t")).eqNullSafe(F.array_join(T.tail_options(F.col("t")), "|"))).count() == 0
+
+
+def test_rewrites_look_pairs_up(spark, monkeypatch):
+    """Each stage gives the same with lists worked out once for a pair and for each row."""
+    t = Taxonomy.of()
+    rows = [(i, f"q: {', '.join(t.options(k, p[k - 1]))}?", p[k - 1]) for i, n in enumerate(sorted(t.leaf_parent()) * 2) for p in [t.path(n)] for k in [i % 3 + 1]]
+    d = spark.createDataFrame([*rows, (9000, None, "city"), (9001, "no list", None)], "row_id long, prompt string, answer string")
+    run = lambda f: sorted(map(str, f(d, t).collect()))
+    stages = (dynamic.swap_synonyms, dynamic.reduce_options, dynamic.special_answers)
+    once = [run(f) for f in stages]
+    monkeypatch.setattr(dynamic, "PAIRS", 0)
+    assert [run(f) for f in stages] == once and all(len(x) == len(rows) + 2 for x in once)
