@@ -75,6 +75,30 @@ def decode(rows: DataFrame, *keys: str) -> DataFrame:
     return spans.where("category <> ''").select(*keys, F.array_join(F.col("t.token"), " ").alias("entity"), "category", F.col("t.pos")[0].alias("start"))
 
 
+def _once(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """df with a column that is computed once for a row, however often lambdas look into it."""
+    return df.select("*", F.explode(F.array(c)).alias(name))
+
+
+def _runs(items: Column, starts: Column) -> Column:
+    """Slices of items, each from one of the starts (zero-based, in order) to the next."""
+    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(items)))
+    return F.zip_with(starts, ends, lambda a, b: F.slice(items, a + 1, b - a))
+
+
+def decode_arrays(tagged: DataFrame, *keys: str) -> DataFrame:
+    """decode() of rows with arrays of tokens and tags: nothing is sorted or moved."""
+    t = F.filter(F.arrays_zip("tokens", "tags", F.sequence(F.lit(0), F.size("tokens") - 1).alias("pos")), lambda x: x["tags"].isin("O", "") | x["tags"].startswith("B-") | x["tags"].startswith("I-"))
+    t = F.transform(t, lambda x: F.struct(x["pos"].alias("pos"), x["tokens"].alias("token"), F.substring(x["tags"], 1, 1).alias("kind"), F.when(~x["tags"].isin("O", ""), F.substring(x["tags"], 3, 1 << 20)).alias("category")))
+    r = _once(tagged.where(F.size("tokens") > 0).select(*keys, "tokens", "tags"), "_t", t)
+    before = lambda i: F.get("_t", i - 1)["category"]
+    starts = F.filter(F.transform("_t", lambda x, i: F.when((i == 0) | (x["kind"] == "B") | ~x["category"].eqNullSafe(before(i)), i)), lambda i: i.isNotNull())
+    r = _once(r, "_s", starts)
+    spans = r.select(*keys, F.explode(_runs(F.col("_t"), F.col("_s"))).alias("t"))
+    spans = spans.select(*keys, F.array_join(F.col("t.token"), " ").alias("entity"), F.col("t")[0]["category"].alias("category"), F.col("t")[0]["pos"].alias("start"))
+    return spans.where("category <> ''")
+
+
 def to_leaves(spans: DataFrame, valid: DataFrame, table: dict[str, str] = LABEL_LEAVES) -> DataFrame:
     """spans with leaf and problem: `unmapped` labels, or mapped ones that are `invalid`."""
     key = F.upper("category")
@@ -117,3 +141,19 @@ def decode_plain(lines: DataFrame, keep_unterminated: bool = True) -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("tag") != "O", F.array_join(F.col("t.token"), " ")))).alias("entities"),
     )
     return whole.withColumn("idx", F.row_number().over(Window.partitionBy("file").orderBy("sentence")))
+
+
+def decode_plain_arrays(files: DataFrame, keep_unterminated: bool = True) -> DataFrame:
+    """decode_plain() of files whose lines are an array (file, lines): nothing is sorted or moved."""
+    f = _once(files.select("file", "lines"), "_f", F.transform("lines", lambda v: F.filter(F.split(F.trim(F.regexp_replace(v, r"\s+", " ")), " "), lambda x: x != "")))
+    blank = F.filter(F.transform("_f", lambda x, i: F.when(F.size(x) == 0, i)), lambda i: i.isNotNull())
+    f = _once(f, "_starts", F.concat(F.array(F.lit(0)), F.transform(blank, lambda i: i + 1)))
+    parts = F.transform(_runs(F.col("_f"), F.col("_starts")), lambda p: F.filter(p, lambda x: F.size(x) >= 2))
+    parts = parts if keep_unterminated else F.slice(parts, F.lit(1), F.size("_starts") - 1)
+    s = f.select("file", F.posexplode(F.filter(parts, lambda p: F.size(p) > 0)).alias("n", "p"))
+    tags = F.transform("p", lambda x: F.element_at(x, -1))
+    s = _once(_once(s, "tags", tags), "tokens", F.transform("p", lambda x: x[0]))
+    starts = F.filter(F.transform("tags", lambda g, i: F.when((i == 0) | (g != F.get("tags", i - 1)), i)), lambda i: i.isNotNull())
+    s = _once(s, "_s", starts)
+    runs = F.filter(F.transform(_runs(F.arrays_zip("tokens", "tags"), F.col("_s")), lambda x: F.when(x[0]["tags"] != "O", F.array_join(x["tokens"], " "))), lambda x: x.isNotNull())
+    return s.select("file", F.array_join("tokens", " ").alias("text"), F.array_sort(F.array_distinct(runs)).alias("entities"), (F.col("n") + 1).alias("idx"))

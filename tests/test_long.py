@@ -9,7 +9,9 @@ from tagforge.functions import text as T
 from tagforge.operators import bio, dynamic, prompts
 from tagforge.operators.numbering import numbered
 from tagforge.operators.taxonomy import Taxonomy
+from tagforge.plans.registry import QUERIES
 
+SF = "/root/testdata/sf0.001"
 MENTIONS = "array<struct<entity:string,category:string>>"
 
 
@@ -104,3 +106,23 @@ def test_rewrites_look_pairs_up(spark, monkeypatch):
     once = [run(f) for f in stages]
     monkeypatch.setattr(dynamic, "PAIRS", 0)
     assert [run(f) for f in stages] == once and all(len(x) == len(rows) + 2 for x in once)
+
+
+def test_decoding_of_arrays(spark):
+    r = random.Random(8)
+    tags = ["O", "", "B-X", "I-X", "B-Y", "I-Y", "B-", "I-", "?", None]
+    rows = [(i, [r.choice("abc") for _ in range(n)], [r.choice(tags) for _ in range(n)]) for i in range(120) for n in [r.randrange(12)]]
+    d = spark.createDataFrame(rows, "id int, tokens array<string>, tags array<string>")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(bio.decode_arrays(d, "id")) == key(bio.decode(bio.token_rows(d, "id"), "id")) and "Exchange" not in plan(bio.decode_arrays(d, "id"))
+    files = [(i, [r.choice(["", " ", "a x O", "b  LOC", "c PER", "d\tPER", "lone"]) for _ in range(r.randrange(9))]) for i in range(120)]
+    f = spark.createDataFrame(files, "file int, lines array<string>")
+    lines = f.select("file", F.posexplode("lines").alias("line_no", "value"))
+    for keep in (True, False):
+        a, b = (x.select("file", "text", "entities") for x in (bio.decode_plain_arrays(f, keep), bio.decode_plain(lines, keep)))
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and "Exchange" not in plan(a)
+
+
+def test_records_are_not_grouped(spark):
+    for name in ("base_build", "synthetic_filter", "bio_decode", "io_decode"):
+        assert "hashpartitioning" not in plan(QUERIES[name](spark, SF))
