@@ -131,7 +131,7 @@ def base_sentences(records: DataFrame, leaves: DataFrame, composed: bool = False
     r = r.withColumn("mentions", F.slice("mentions", 1, F.greatest(F.size("entities"), F.lit(0))))
     fault = F.transform("mentions", lambda m: F.when(~F.array_contains("leaves", m["category"]), "invalid_category").when(F.instr(F.col("sentence"), m["entity"]) == 0, "not_in_text"))
     reason = F.when(F.coalesce(F.size("entities"), F.lit(0)) <= 0, "no_entity").otherwise(F.get(F.filter(fault, lambda x: x.isNotNull()), F.lit(0)))
-    return r.select("ord", F.concat(F.lit("sentence"), (F.col("ord") + 1).cast("string")).alias("sentence_id"), "sentence", "mentions", reason.alias("reason"))
+    return r.select("ord", F.concat(F.lit("sentence"), (F.col("ord") + 1).cast("string")).alias("sentence_id"), "sentence", "mentions", F.explode(F.array(reason)).alias("reason"))  # exploded, as a filter on it would compute it twice
 
 
 def normalised_rows(rows: DataFrame) -> DataFrame:

@@ -43,10 +43,12 @@ def filter_synthetic(records: DataFrame, leaves: DataFrame) -> tuple[DataFrame,
     empty = (F.coalesce("text", F.lit("")) == "") | (F.coalesce(F.size("entities"), F.lit(0)) <= 0)
     valid = lambda e: F.array_contains("leaves", F.coalesce(e["category"], F.lit("")))
     there = lambda e: F.instr(F.col("text"), F.coalesce(e["text"], F.lit(""))) > 0
-    r = r.withColumn("empty", empty).withColumn("good", F.filter("entities", lambda e: valid(e) & there(e)))
+    kinds = F.transform("entities", lambda e: F.when(~valid(e), 1).when(~there(e), 2).otherwise(0))
+    r = r.withColumn("empty", empty).select("*", F.explode(F.array(kinds)).alias("kinds"))  # exploded, so that it is there once
+    r = r.withColumn("good", F.filter("entities", lambda e, i: F.get("kinds", i) == 0))
     r = r.withColumns({
-        "invalid": F.when(empty, 0).otherwise(F.size(F.filter("entities", lambda e: ~valid(e)))),
-        "lost": F.when(empty, 0).otherwise(F.size(F.filter("entities", lambda e: valid(e) & ~there(e)))),
+        "invalid": F.when(empty, 0).otherwise(F.size(F.filter("kinds", lambda k: k == 1))),
+        "lost": F.when(empty, 0).otherwise(F.size(F.filter("kinds", lambda k: k == 2))),
     })
     entity = F.transform("good", lambda e: F.struct(e["text"].alias("text"), F.lit(0).alias("start"), F.lit(0).alias("end"), e["category"].alias("category")))
     keep = [c for c in records.columns if c not in ("entities", "source")]
