@@ -2,38 +2,40 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tagforge.functions import text as T
 from tagforge.operators.taxonomy import Taxonomy
 
-NO_SPANS = "array<struct<start:int,end:int>>"
-
-
-def occurrences(sentence: Column, entity: Column) -> Column:
-    """All zero-based starts of the entity, overlapping ones too: the sentence is cut before each."""
-    literal = F.concat(F.lit("(?=\\Q"), F.replace(entity, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-    start = F.when(sentence.startswith(entity), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    step = lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.concat(s["all"], F.array(s["at"] + F.length(x))).alias("all"))
-    pieces = F.split(sentence, literal)
-    cuts = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.struct(F.lit(0).alias("at"), start.alias("all")), step, lambda s: s["all"])
-    return F.when((F.length(entity) > 0) & (F.instr(sentence, entity) > 0), cuts).otherwise(F.array().cast("array<int>"))
+def marked_all(sentence: str, entities: list[str]) -> str:
+    """Every occurrence of every entity between ##, longer entities first, none across another."""
+    taken, spans = bytearray(len(sentence)), []
+    for e in sorted({e for e in entities if e}, key=lambda e: (-len(e), e)):
+        at, n = sentence.find(e), len(e)
+        while at >= 0:
+            # what is taken is as long or longer, so it covers an end of what it meets
+            free = not (taken[at] or taken[at + n - 1])
+            if free:
+                taken[at : at + n] = b"\1" * n
+                spans.append((at, at + n))
+            at = sentence.find(e, at + n if free else at + 1)
+    out, last = [], 0
+    for a, b in sorted(spans):
+        out += sentence[last:a], "##", sentence[a:b], "##"
+        last = b
+    return "".join(out) + sentence[last:]
 
 
 def mark_all(sentence: Column, entities: Column) -> Column:
-    """Every occurrence of every entity between ##, longer entities first, none across another."""
-    found = F.flatten(F.transform(F.array_distinct(entities), lambda e: F.transform(occurrences(sentence, e), lambda p: F.struct((-F.length(e)).alias("k"), e.alias("e"), p.alias("p")))))
+    """marked_all() in batches: a choice over places that are taken has no equivalent in Spark that is not quadratic."""
 
-    def take(held, c):
-        span = F.struct(c["p"].alias("start"), (c["p"] - c["k"]).alias("end"))
-        meets = F.exists(held, lambda h: (c["p"] < h["end"]) & (c["p"] - c["k"] > h["start"]))
-        return F.when(meets, held).otherwise(F.concat(held, F.array(span)))
+    def run(s: pd.Series, e: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else marked_all(x, y) for x, y in zip(s, e, strict=True)], dtype=object)
 
-    spans = F.array_sort(F.aggregate(F.array_sort(found), F.array().cast(NO_SPANS), take))
-    first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda s, x: F.struct(F.concat(s["out"], sentence.substr(s["at"] + 1, x["start"] - s["at"]), F.lit("##"), sentence.substr(x["start"] + 1, x["end"] - x["start"]), F.lit("##")).alias("out"), x["end"].alias("at"))
-    return F.aggregate(spans, first, step, lambda s: F.concat(s["out"], sentence.substr(s["at"] + 1, F.length(sentence))))
+    return F.pandas_udf(run, StringType())(sentence, entities)
 
 
 def mark_each(sentence: Column, entities: Column) -> Column:

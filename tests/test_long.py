@@ -6,7 +6,7 @@ import threading
 from pyspark.sql import functions as F
 
 from tagforge.functions import text as T
-from tagforge.operators import bio, dynamic, prompts
+from tagforge.operators import bio, dynamic, evaluation, prompts, spans
 from tagforge.operators.numbering import numbered
 from tagforge.operators.taxonomy import Taxonomy
 from tagforge.plans.registry import QUERIES
@@ -126,3 +126,44 @@ def test_decoding_of_arrays(spark):
 def test_records_are_not_grouped(spark):
     for name in ("base_build", "synthetic_filter", "bio_decode", "io_decode"):
         assert "hashpartitioning" not in plan(QUERIES[name](spark, SF))
+
+
+def test_marking_and_folding_of_long_sentences(spark):
+    words = long_words(6000, 26)
+    d = spark.createDataFrame([(0, " of ".join(words), [(w, "city") for w in words])], f"ord int, sentence string, mentions {MENTIONS}")
+    got = soon(spark, prompts.stage1(d))[0]
+    assert got.answer.count("##") == 12000 and got.answer.replace("##", "") == got.prompt
+    rows = spark.createDataFrame([(got.prompt, 1, got.answer)] * 3, "query string, ord int, response string")
+    assert len(soon(spark, spans.merged_responses(rows))[0].spans) == len(set(words))
+
+
+def test_folding_of_equal_responses(spark):
+    r = random.Random(9)
+    rows = []
+    for q in range(40):
+        query = f"{q} " + "".join(r.choice("abc") for _ in range(12))
+        cut = lambda query=query: "x ".join(f"##{query[a : a + r.randint(0, 4)]}##" for a in r.choices(range(len(query)), k=4))
+        kinds = [(r.randrange(2), cut()) for _ in range(3)]
+        rows += [(query, *r.choice(kinds)) for _ in range(7)]
+    d = spark.createDataFrame(rows, "query string, ord int, response string")
+    old = d.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("ord", "response"))).alias("r"))
+    old = old.select("query", spans.merge(F.flatten(F.transform("r", lambda x: spans.extract(F.col("query"), x["response"])))).alias("spans"))
+    assert sorted(map(str, spans.merged_responses(d).collect())) == sorted(map(str, old.collect()))
+
+
+def test_scores_of_arrays(spark):
+    r = random.Random(10)
+    label = lambda: (r.choice(["Roma", "roma", "a", "a1"]), r.choice(["City", "x", "1x"]))
+    rows = [(i, [label() for _ in range(r.randrange(4))], [label() for _ in range(r.randrange(4))]) for i in range(60)]
+    pairs = "array<struct<entity:string,category:string>>"
+    d = spark.createDataFrame(rows, f"id int, truth {pairs}, predicted {pairs}")
+    t, p = (d.select("id", F.explode(c).alias("x")).select("id", "x.*") for c in ("truth", "predicted"))
+    for keys in (["entity"], ["entity", "category"]):
+        for strict in (False, True):
+            got = evaluation.score_arrays(d, keys, strict)
+            assert got.collect() == evaluation.score(t, p, keys, strict=strict).collect()
+    assert plan(evaluation.score_arrays(d, keys)).count("hashpartitioning") == 1
+
+
+def test_counts_are_taken_in_their_rows(spark):
+    assert "Exchange" not in plan(QUERIES["count_compare_by_index"](spark, SF)) and "Join" not in plan(QUERIES["count_compare_by_text"](spark, SF))
