@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagforge.functions.text import question
+from tagforge.operators.stored import written
 from tagforge.operators.taxonomy import Taxonomy
 
 Classifier = Callable[[DataFrame], DataFrame]
@@ -23,6 +24,19 @@ def by_table(replies: DataFrame) -> Classifier:
     return lambda rows: rows.join(replies.select("key", "level", F.col("reply").alias("r")), ["key", "level"], "left").withColumn("reply", F.when(F.col("asks"), F.coalesce("r", F.lit("unknown")))).drop("r")
 
 
+class Wide:
+    """by_table() of (key, replies), an array with a reply for each level: joined once, before the first level, and not at each."""
+
+    def __init__(self, replies: DataFrame):
+        self.replies = replies
+
+    def prepare(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.replies.select("key", F.col("replies").alias("_replies")), "key", "left")
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("reply", F.when(F.col("asks"), F.coalesce(F.get("_replies", F.col("level") - 1), F.lit("unknown"))))
+
+
 def batched(load: Callable[[], Callable[[list[str]], list[str]]], size: int = 32) -> Classifier:
     """A model that load() gives, once for each worker process, asked in batches of prompts."""
 
@@ -52,7 +66,10 @@ def classify(entities: DataFrame, taxonomy: Taxonomy, classifier: Classifier, ze
     offered = entities.sparkSession.createDataFrame(lists, "level int, parent_key string, options array<string>")
     depth = 1 if not taxonomy.second else 2 if not taxonomy.third else 3
     key = F.concat_ws("|", F.col("id").cast("string"), F.col("pos").cast("string"))
-    state = entities.withColumns({"category": F.lit(""), "open": F.lit(True), "failed": F.lit(False), "key": key})
+    state = entities.withColumn("key", key)
+    state = classifier.prepare(state) if hasattr(classifier, "prepare") else state
+    own = [c for c in state.columns if c != "key"]
+    state = state.withColumns({"category": F.lit(""), "open": F.lit(True), "failed": F.lit(False)})
     for level in range(1, depth + 1):
         o = F.broadcast(offered.where(F.col("level") == level).select(F.col("parent_key").alias("p"), "options"))
         s = state.join(o, F.lower("category") == F.col("p"), "left").drop("p")
@@ -65,7 +82,7 @@ def classify(entities: DataFrame, taxonomy: Taxonomy, classifier: Classifier, ze
         unknown = F.trim("reply") == "unknown"
         asks, unknown, missed = F.col("asks"), F.coalesce(unknown, F.lit(False)), F.col("option").isNull()
         state = r.select(
-            *entities.columns, F.when(asks & unknown, "unknown").when(asks, F.coalesce("option", "category")).otherwise(F.col("category")).alias("category"),
+            *own, F.when(asks & unknown, "unknown").when(asks, F.coalesce("option", "category")).otherwise(F.col("category")).alias("category"),
             F.when(asks, ~unknown & ~missed).otherwise(F.col("open")).alias("open"), (F.col("failed") | (asks & ~unknown & missed)).alias("failed"), "key",
         )
     bad = F.max("failed").over(Window.partitionBy("id"))
@@ -73,9 +90,10 @@ def classify(entities: DataFrame, taxonomy: Taxonomy, classifier: Classifier, ze
 
 
 def predictions(classified: DataFrame, spans: DataFrame | None = None) -> DataFrame:
-    """(id, sentence, entity, category): the parallel lists of each sentence, in order of pos."""
-    g = classified.groupBy("id", "sentence").agg(F.array_sort(F.collect_list(F.struct("pos", "entity", "category"))).alias("m"))
-    return g.select("id", "sentence", F.col("m.entity").alias("entity"), F.col("m.category").alias("category"))
+    """(id, sentence, entity, category): the parallel lists of each sentence, in order of pos. Rows without the sentence are put together by id."""
+    keys = [c for c in ("id", "sentence") if c in classified.columns]
+    g = classified.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "entity", "category"))).alias("m"))
+    return g.select(*keys, F.col("m.entity").alias("entity"), F.col("m.category").alias("category"))
 
 
 def named(queries: DataFrame, reference: DataFrame, limit: int | None = None) -> DataFrame:
@@ -84,7 +102,7 @@ def named(queries: DataFrame, reference: DataFrame, limit: int | None = None) ->
     The unmapped are numbered over range partitions: a partition's rows are counted, so no task sees all of them.
     """
     ids = reference.groupBy("sentence").agg(F.max_by("id", "ord").alias("id"))
-    q = queries.join(ids, queries["query"] == ids["sentence"], "left").drop("sentence")
+    q = written(queries.join(ids, queries["query"] == ids["sentence"], "left").drop("sentence"), "named")  # it is read three times
     from tagforge.operators.numbering import numbered
 
     free = numbered(q.where("id is null").drop("id"), "query").withColumn("id", F.concat(F.lit("sentence"), (F.col("n") + 1).cast("string"))).drop("n")

@@ -6,7 +6,7 @@ import threading
 from pyspark.sql import functions as F
 
 from tagforge.functions import text as T
-from tagforge.operators import bio, dynamic, evaluation, prompts, spans
+from tagforge.operators import bio, cascade, dynamic, evaluation, prompts, spans
 from tagforge.operators.numbering import numbered
 from tagforge.operators.taxonomy import Taxonomy
 from tagforge.plans.registry import QUERIES
@@ -167,3 +167,21 @@ def test_scores_of_arrays(spark):
 
 def test_counts_are_taken_in_their_rows(spark):
     assert "Exchange" not in plan(QUERIES["count_compare_by_index"](spark, SF)) and "Join" not in plan(QUERIES["count_compare_by_text"](spark, SF))
+
+
+def test_replies_are_joined_once(spark):
+    e = spark.createDataFrame([(1, 0, "x", "x y"), (1, 1, "y", "x y"), (2, 0, "a", "a b"), (2, 1, "b", "a b")], "id int, pos int, entity string, sentence string")
+    wide = [("1|0", ["PERSON", "real person", "Artist"]), ("1|1", ["unknown", None, None]), ("2|0", ["person", "real person", "nonsense"])]
+    w = spark.createDataFrame(wide, "key string, replies array<string>")
+    long = w.select("key", F.posexplode("replies").alias("k", "reply")).select("key", (F.col("k") + 1).alias("level"), "reply")
+    got, want = (cascade.classify(e, Taxonomy.of(), c) for c in (cascade.Wide(w), cascade.by_table(long)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.columns == want.columns
+    p = plan(QUERIES["cascade_predictions_whole"](spark, SF))
+    assert p.count("SortMergeJoin") <= 1 and "sentence" not in p.split("Exchange hashpartitioning")[1].split("\n")[0]
+
+
+def test_forms_are_counted_in_their_rows(spark, tmp_path):
+    spark.createDataFrame([(1, "Zebra museum garden museum MUSEUM gardens garden museum. Too short."), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    q = QUERIES["synonym_forms_whole"](spark, str(tmp_path))
+    assert "hashpartitioning" not in plan(q)
+    assert sorted(tuple(r) for r in q.collect()) == [(0, "garden", 2), (0, "gardens", 1), (0, "museum", 4)]
